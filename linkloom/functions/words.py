@@ -53,6 +53,11 @@ def fold(word: Column) -> Column:
     return F.translate(word, fixed.FOLD_FROM, fixed.FOLD_TO)
 
 
+def one_of(word: Column, values: list[str]) -> Column:
+    """Membership in a word list, as one literal (a hundred literals per use make plans slow to build)."""
+    return F.find_in_set(word, F.lit(",".join(values))) > 0
+
+
 def by_lang(lang: Column, table: dict[str, list[str]], test) -> Column:
     """test(values of the row's language); False for a language without an entry."""
     out = F.lit(False)
@@ -62,7 +67,7 @@ def by_lang(lang: Column, table: dict[str, list[str]], test) -> Column:
 
 
 def is_filler(word: Column, lang: Column, stopwords: dict[str, list[str]] = fixed.STOPWORDS) -> Column:
-    return by_lang(lang, stopwords, lambda s: word.isin(s)) | word.rlike("^[0-9]+$")
+    return by_lang(lang, stopwords, lambda s: one_of(word, s)) | word.rlike("^[0-9]+$")
 
 
 def content_words(text: Column, lang: Column, stopwords: dict[str, list[str]] = fixed.STOPWORDS) -> Column:
@@ -106,7 +111,11 @@ def detect_lang(lang: Column, url: Column, text: Column, markers: dict[str, list
     codes = list(markers)
     prefix = F.lower(F.regexp_extract(path_of(url), "^/*([^/]*)", 1))
     sample = words(F.left(text, F.lit(5000)))
-    hits = [F.size(F.filter(sample, lambda w, m=m: w.isin(m))) for m in markers.values()]
+
+    def count(listed: list[str]) -> Column:
+        return F.size(F.filter(sample, lambda w: one_of(w, listed)))
+
+    hits = [count(m) for m in markers.values()]
     floor = F.greatest(F.lit(3.0), F.size(sample) * 0.03)
     top = F.greatest(*hits) if len(hits) > 1 else hits[0]
     guess = F.lit("")

@@ -14,6 +14,7 @@ from .context import common_stems, name_words, shared_names, target_profiles
 from .graph import already_linked, sitewide_links
 from .passages import shown_text, surroundings
 from .phrases import find_phrases, find_single_words
+from ..session import stage
 from .scale import spread_join
 
 
@@ -100,11 +101,11 @@ def named_pairs(context: DataFrame, cfg: dict = fixed.DEFAULTS) -> DataFrame:
     flags = context.select("site", "u", "is_target", "archive")
     eligible = profiles.join(flags, ["site", "u"])
     texts = link_blocks(context)
-    found = find_phrases(texts, eligible.filter("is_target").drop("is_target", "archive"))
+    found = stage(find_phrases(texts, eligible.filter("is_target").drop("is_target", "archive")))
     linked = already_linked(context, sitewide_links(context))
     fresh = found.join(linked, ["site", "src", "dst"], "left_anti")
     n_sources = context.groupBy("site").agg(F.count_if("is_source").alias("sources"))
-    kept = drop_template_phrases(fresh, n_sources, cfg["template_share"])
+    kept = stage(drop_template_phrases(fresh, n_sources, cfg["template_share"]))
     return drop_reserved_phrases(kept, eligible.filter("not archive").drop("is_target", "archive"))
 
 
@@ -221,7 +222,7 @@ def keyword_pairs(context: DataFrame, resolved: DataFrame) -> DataFrame:
                             content_words(F.col("keyword"), F.col("target_lang")).alias("_w"))
     # a title several pages share names none of them, as a keyword neither
     named = named.withColumn("name", F.array_join(F.array_sort("_w"), " ")).join(shared_names(context), ["site", "name"], "left_anti")
-    profiles = name_words(named, [F.col("_w")])
+    profiles = stage(name_words(named, [F.col("_w")]))
     k = profiles.select("site", "u", "lang", "vocab", "names", F.size("_w").alias("n_words"))
     places = k.select("site", "u", F.posexplode("vocab").alias("k", "w")).withColumn("stem", F.left("w", F.lit(5)))
     telling = (spread_join(places, common_stems(context), ["site", "stem"], "left_anti", ["u", "k"])

@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions.texts import block_key, excerpt_key, first_words, is_cut
 from ..functions.urls import norm_url
 from ..functions.words import n_tokens
+from ..session import stage
 from .scale import spread_join
 
 
@@ -152,4 +153,4 @@ def strip_excerpts(pages: DataFrame, min_words: int = 150) -> DataFrame:
 def clean_pages(pages: DataFrame, min_words: int = 150) -> DataFrame:
     """Template blocks first (by declared language), then excerpts."""
     u = pages if "u" in pages.columns else pages.withColumn("u", norm_url(F.col("url")))
-    return strip_excerpts(strip_templates(u), min_words)
+    return stage(strip_excerpts(stage(strip_templates(u)), min_words))

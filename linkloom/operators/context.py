@@ -9,6 +9,7 @@ from ..functions import fixed
 from ..functions.texts import strip_suffix, title_suffix
 from ..functions.urls import is_archive, path_of, slug
 from ..functions.words import content_words, detect_lang, fold, n_tokens, same_word, words
+from ..session import stage
 from .scale import spread_join
 
 
@@ -50,13 +51,12 @@ def site_context(pages: DataFrame, cfg: dict = fixed.DEFAULTS, *, sources_re: st
     `archive`, `is_source`, `is_target`: a source has min_words words and is no listing or archive; a
     target is no archive; both honour the path patterns and the address lists.
     """
-    spoken = (pages.withColumn("lang", detect_lang(F.col("lang"), F.col("url"), F.col("text")))
-              .filter("lang <> ''"))
+    spoken = stage(pages.withColumn("lang", detect_lang(F.col("lang"), F.col("url"), F.col("text"))).filter("lang <> ''"))
     flagged = (with_clean_titles(spoken)
                .withColumn("archive", is_archive(F.col("url"), cfg)))
     flagged = on_list(on_list(flagged, sources, "_src"), targets, "_tgt")
     enough = n_tokens(F.col("text")) >= cfg["min_words"]
-    return (flagged
+    return stage(flagged
             .withColumn("is_source", enough & ~F.col("listing") & ~F.col("archive") & F.col("_src")
                         & path_allowed(F.col("url"), sources_re))
             .withColumn("is_target", ~F.col("archive") & F.col("_tgt") & path_allowed(F.col("url"), targets_re))
@@ -138,10 +138,10 @@ def target_profiles(context: DataFrame) -> DataFrame:
         base = (spread_join(base.withColumn("_name", key(c)), mark, ["site", "_name"], "left", ["u"])
                 .withColumn(c, F.when(F.col("_dup"), F.array().cast("array<string>")).otherwise(F.col(c)))
                 .drop("_name", "_dup"))
-    profiles = name_words(base, [F.col("_t"), F.col("_h"), F.col("_s")]).drop("_t", "_h", "_s")
+    profiles = stage(name_words(base, [F.col("_t"), F.col("_h"), F.col("_s")]).drop("_t", "_h", "_s"))
 
     places = profiles.select("site", "u", F.posexplode("vocab").alias("k", "w")).withColumn("stem", F.left("w", F.lit(5)))
     telling = (spread_join(places, common_stems(context), ["site", "stem"], "left_anti", ["u"])
                .groupBy("site", "u").agg(F.array_sort(F.collect_list("k")).alias("distinctive")))
-    return (profiles.join(telling, ["site", "u"], "left")
-            .withColumn("distinctive", F.coalesce("distinctive", F.array().cast("array<int>"))))
+    return stage(profiles.join(telling, ["site", "u"], "left")
+                 .withColumn("distinctive", F.coalesce("distinctive", F.array().cast("array<int>"))))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.words import (by_lang, close_form, edge_word, escape_class, first_word, fold, is_filler, same_word,
+from ..functions.words import (by_lang, close_form, edge_word, escape_class, first_word, fold, is_filler, one_of, same_word,
                                strip_punct, tokens, word_key, words)
 
 _OPEN = f"^[{escape_class(fixed.OPENERS)}]"
@@ -29,7 +29,7 @@ def token_table(text: Column, lang: Column) -> Column:
         word = first_word(t)
         kind = F.when(word == "", 0).when(is_filler(word, lang), 1).otherwise(2)
         return F.struct(t.alias("t"), fold(word).alias("w"), kind.alias("kind"), t.rlike(_OPEN).alias("opens"),
-                        t.rlike(_STOP).alias("ends"), by_lang(lang, fixed.CONJUNCTIONS, lambda c: word.isin(c)).alias("conj"))
+                        t.rlike(_STOP).alias("ends"), by_lang(lang, fixed.CONJUNCTIONS, lambda c: one_of(word, c)).alias("conj"))
 
     return F.transform(tokens(text), describe)
 
@@ -190,7 +190,7 @@ def phrase_candidates(passages: DataFrame, keys: list[str]) -> DataFrame:
     def describe(t: Column) -> Column:
         w = first_word(t)
         filler = is_filler(w, lang)
-        conj = by_lang(lang, fixed.CONJUNCTIONS, lambda c: w.isin(c))
+        conj = by_lang(lang, fixed.CONJUNCTIONS, lambda c: one_of(w, c))
         closed = (w == "") | t.rlike(_OPEN) | conj | (t == fixed.LINK_MARK)
         return F.struct(t.alias("t"), filler.alias("filler"), edge_word(t, w, lang).alias("edge"),
                         closed.alias("closed"), t.rlike(_STOP).alias("ends"))

@@ -193,6 +193,8 @@ def parse_subqueries(content: Column) -> Column:
         return F.struct(q.alias("query"), F.when(x["type"].isin(fixed.SUBQUERY_TYPES), x["type"]).otherwise("related").alias("type"))
 
     clean = F.filter(F.transform(listed, tidy), lambda x: x["query"] != "")
-    first = F.filter(clean, lambda x, i: ~F.exists(F.slice(clean, 1, i), lambda y: F.lower(y["query"]) == F.lower(x["query"])))
+    # a fold evaluates the cleaned list once, whatever its length
+    first = F.aggregate(clean, F.array().cast(item), lambda kept, x: F.when(
+        F.exists(kept, lambda y: F.lower(y["query"]) == F.lower(x["query"])), kept).otherwise(F.concat(kept, F.array(x))))
     n = F.size(first)
     return F.when(listed.isNotNull() & ~bad & n.between(fixed.SUBQUERIES_MIN, fixed.SUBQUERIES_MAX), first)

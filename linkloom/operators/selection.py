@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import ensure_checkpoint_dir
+from ..session import stage
 from .scale import spread_join
 
 
@@ -84,7 +83,7 @@ def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame
     limit, a non-empty keyword. A rejected row uses up no limit, so plain ranks would be wrong. Each
     round accepts every open row that no open or accepted row can push out (best of its phrase, among
     the first of its page and of its target) and rejects open rows behind a full group. The best open
-    row always settles, so the rounds end with the sequential result. State is checkpointed per round.
+    row always settles, so the rounds end with the sequential result. Each round writes its state to the shared folder.
     """
     phrase, page, target = ["site", "source_url", "low"], ["site", "source_url"], ["site", "target_url"]
     exempt = F.coalesce(_c("keyword") != "", F.lit(False)) if "keyword" in passing.columns else F.lit(False)
@@ -95,8 +94,7 @@ def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame
         accepted = _best(firsts, page, max_links).drop("_rn")
         return _reasons(slim, accepted, max_links, max_per_target)
 
-    ensure_checkpoint_dir(passing.sparkSession)
-    open_rows = slim.checkpoint()
+    open_rows = slim = stage(slim)
     accepted = open_rows.filter(F.lit(False))
     while not open_rows.isEmpty():
         live = open_rows.union(accepted)
@@ -105,9 +103,10 @@ def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame
         room = _best(live, target, max_per_target).select(*PAIR, F.lit(True).alias("room"))
         chosen = (open_rows.join(fits, PAIR, "left_semi").join(room, PAIR, "left")
                   .filter(F.col("room") | F.col("exempt")).drop("room"))
-        accepted = accepted.union(chosen).checkpoint()
+        accepted = stage(accepted.union(chosen))
         left = open_rows.join(accepted.select(*PAIR), PAIR, "left_anti")
-        open_rows = _reasons(left, accepted, max_links, max_per_target, keep="open").checkpoint()
+        open_rows = _reasons(left, accepted, max_links, max_per_target, keep="open")
+        open_rows = stage(open_rows)
     return _reasons(slim, accepted, max_links, max_per_target)
 
 
@@ -132,7 +131,7 @@ def _reasons(rows: DataFrame, accepted: DataFrame, max_links: int, max_per_targe
 def select_links(rows: DataFrame, cfg: dict = fixed.DEFAULTS, max_links: int | None = None,
                  why: Column | None = None) -> DataFrame:
     """Adds decision and decision_reason to scored rows (one row per site, source and target)."""
-    ruled = rows.withColumn("decision_reason", reject_reason(cfg) if why is None else why).persist(StorageLevel.MEMORY_AND_DISK)
+    ruled = stage(rows.withColumn("decision_reason", reject_reason(cfg) if why is None else why))
     passing = ruled.filter("decision_reason = ''")
     settled = settle(passing, max_links or cfg["max_links_per_page"], cfg.get("max_links_per_target") or 0)
     return (ruled.join(settled, PAIR, "left")

@@ -12,6 +12,7 @@ from ..functions.texts import page_text, query_text
 from ..operators import candidates as cand
 from ..operators import clean, context as ctx, coverage as cov, graph, repair, scoring, selection
 from ..operators.passages import passages
+from ..session import stage
 from ..sinks import briefs, report, tables
 
 
@@ -73,7 +74,7 @@ class LinkEngine:
         """Cleaned pages with languages, clean titles and eligibility."""
         for name in ("sources_re", "targets_re", "hubs_re"):
             self.check_pattern(name, getattr(options, name))
-        kept, _ = clean.one_page_per_address(pages)
+        kept = stage(clean.one_page_per_address(pages)[0])
         cleaned = clean.clean_pages(kept, self.cfg["min_words"]).drop("templates_removed", "excerpts_removed")
         return ctx.site_context(cleaned, self.cfg, sources_re=options.sources_re, targets_re=options.targets_re,
                                 sources=options.sources, targets=options.targets)
@@ -110,7 +111,8 @@ class LinkEngine:
         """
         fresh: dict[str, DataFrame] = {}
         found, fresh["passages"] = self._vectors(passages(context), F.col("passage"), hooks)
-        found = found.select("site", "lang", "u", "block", "vector").cache()
+        found = found.select("site", "lang", "u", "block", "vector")
+        found = stage(found)
         linked = graph.already_linked(context, graph.sitewide_links(context))
         flags = context.select("site", "u", "is_source", "is_target")
         parts, items = [], None
@@ -121,7 +123,7 @@ class LinkEngine:
             merged = cov.merge_queries(with_vectors, self.cfg["fanout_merge_min"])
             vec = with_vectors.select("site", "hub", "query", "lang", "vector").dropDuplicates(["site", "hub", "query"])
             states = cov.answer_states(merged.join(vec, ["site", "hub", "query"]), found, flags, linked, self.cfg["fanout_answer_min"])
-            items = cov.coverage_candidates(states, existing).cache()
+            items = stage(cov.coverage_candidates(states, existing))
             parts.append(items.filter("picked").select(
                 "site", "lang", F.col("hub").alias("src"), F.col("hub_block").alias("block"), F.col("best").alias("dst"),
                 F.col("similarity").alias("passage_similarity"), F.col("query").alias("subquery"), F.lit("fanout").alias("anchor_type")))
@@ -165,7 +167,7 @@ class LinkEngine:
             todo = asked.join(fits.select("key"), "key", "left_anti").select("site", "key", "lang", "phrases", "choice_state").dropDuplicates(["key"])
             fresh = (scoring.run_hook(todo, hooks.choose).filter("error is null").withColumnRenamed("answer", "response")
                      .join(todo.select("key", "phrases"), "key").filter(scoring.well_formed_choice()).select("key", "response"))
-        return scoring.choose_link_text(offers, fits.unionByName(fresh)), fresh
+        return stage(scoring.choose_link_text(offers, fits.unionByName(fresh))), fresh
 
     # ---- a whole run --------------------------------------------------------------------------
 
@@ -174,18 +176,20 @@ class LinkEngine:
             options: Options = Options()) -> Result:
         """From pages to decided links, for every site of the table."""
         res = Result()
-        context = self.prepare(pages, options).cache()
+        context = self.prepare(pages, options)
         pairs, resolved = self.candidates(context, keywords)
-        rows = cand.pair_rows(pairs, context)
+        rows = stage(cand.pair_rows(pairs, context))
         broken = None
         if statuses is not None:
             unknown = repair.unknown_links(context)
             known, _ = repair.link_statuses(unknown, statuses)
-            broken = repair.broken_table(repair.suggest_pages(repair.broken_links(unknown, known, context), context), context).cache()
+            broken = repair.broken_table(repair.suggest_pages(repair.broken_links(unknown, known, context), context), context)
+            broken = stage(broken)
             rows = repair.without_repaired(rows, broken)
             res.tables["broken"] = tables.broken_output(broken)
         vectors, res.new_answers["page_vectors"] = self.page_vectors(context, hooks)
-        vectors = vectors.select("site", "lang", "u", "vector").filter("vector is not null").cache()
+        vectors = vectors.select("site", "lang", "u", "vector").filter("vector is not null")
+        vectors = stage(vectors)
         items = None
         if console is not None or generated is not None or semantic:
             known_pairs = rows.select("site", "src", "dst")
@@ -206,7 +210,8 @@ class LinkEngine:
         rows = graph.with_similarity(rows, vectors)
         scored, res.new_answers["scores"] = scoring.score_pairs(
             rows, self._cache(hooks.answers, "key string, response string"), hooks.score, hooks.version)
-        decided = selection.select_links(scored.drop("key", "state"), self.cfg, options.max_links).cache()
+        decided = selection.select_links(scored.drop("key", "state"), self.cfg, options.max_links)
+        decided = stage(decided)
         res.tables["recommendations"] = tables.recommendation_table(decided)
         res.tables["links"] = tables.links_table(decided)
         res.tables["decisions"] = selection.decision_counts(decided)
@@ -225,7 +230,7 @@ class LinkEngine:
                 semantic: bool = False, generated: DataFrame | None = None, options: Options = Options()) -> DataFrame:
         """What a run would send, per site: pairs, pairs to score, pages and passages to embed, hubs to ask,
         the ceiling of further calls and the estimated cost."""
-        context = self.prepare(pages, options).cache()
+        context = self.prepare(pages, options)
         pairs, _ = self.candidates(context, keywords)
         rows = cand.pair_rows(pairs, context).withColumn("key", scoring.pair_key(hooks.version))
         vectors = self._cache(hooks.vectors, "key string, vector array<double>").select("key")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -16,11 +17,27 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.driver.memory", os.environ.get("LINKLOOM_DRIVER_MEMORY", "12g"))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; a private one only where none is set (tests, local runs)."""
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches: the one the cluster names; a private one only where none is set
+    (tests, local runs)."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linkloom-checkpoint-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    Stage boundaries keep plans short (later stages use a table several times), survive lost executors
+    and leave a columnar table, so the next stage reads only the columns it needs.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import norm_url, target_path
 from ..operators.scale import spread_join
+from ..session import stage
 
 _ROOT = r"(?s)<(?:\w+:)?(urlset|sitemapindex)\b[^>]*xmlns(?::\w+)?=[\"']http://www\.sitemaps\.org/schemas/sitemap/0\.9[\"']"
 _FILE = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
@@ -28,7 +29,7 @@ def sitemap_urls(files: DataFrame, roots: DataFrame, max_depth: int = 10) -> Dat
     One join per level of index files (sites nest them once or twice); a file is read once however
     often it is named.
     """
-    entries = sitemap_entries(files).cache()
+    entries = stage(sitemap_entries(files))
     names = entries.filter("kind = 'file'").select("site", "url", "loc")
     reached = level = roots.select("site", "url").distinct()
     for _ in range(max_depth):
