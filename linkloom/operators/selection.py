@@ -97,13 +97,13 @@ def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame
     open_rows = slim = stage(slim)
     accepted = open_rows.filter(F.lit(False))
     while not open_rows.isEmpty():
-        live = open_rows.union(accepted)
+        live = open_rows.unionByName(accepted)
         fits = (_best(live, phrase, 1).select(*PAIR)
                 .join(_best(live, page, max_links).select(*PAIR), PAIR, "left_semi"))
         room = _best(live, target, max_per_target).select(*PAIR, F.lit(True).alias("room"))
         chosen = (open_rows.join(fits, PAIR, "left_semi").join(room, PAIR, "left")
                   .filter(F.col("room") | F.col("exempt")).drop("room"))
-        accepted = stage(accepted.union(chosen))
+        accepted = stage(accepted.unionByName(chosen))
         left = open_rows.join(accepted.select(*PAIR), PAIR, "left_anti")
         open_rows = _reasons(left, accepted, max_links, max_per_target, keep="open")
         open_rows = stage(open_rows)

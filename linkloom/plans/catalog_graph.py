@@ -210,7 +210,7 @@ def ag15(spark, sf):
 
 @query("jn15_target_status", _VERIFY + """
 , t AS (SELECT st.*, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS k FROM st)
-SELECT site, l_orderkey, anchor, CASE WHEN status IN ('ok', 'other_text') AND (p.u IS NULL OR p.lang = 'f') THEN 'target_error' ELSE status END AS status, count(*) AS n
+SELECT t.site, l_orderkey, anchor, CASE WHEN status IN ('ok', 'other_text') AND (p.u IS NULL OR p.lang = 'f') THEN 'target_error' ELSE status END AS status, count(*) AS n
 FROM t LEFT JOIN opages p ON p.u = t.site || '/o/' || k || '/' GROUP BY ALL""")
 def jn15(spark, sf):
     """Targets answer 200 when they are an order page, finished orders redirect, others did not load."""
@@ -223,7 +223,7 @@ def jn15(spark, sf):
 
 @query("jn16_previous_links", _VERIFY + """
 , t AS (SELECT st.*, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS k FROM st)
-SELECT site, status, status IN ('ok', 'other_text') AND p.u IS NULL AS gone, count(*) AS n FROM t LEFT JOIN opages p ON p.u = t.site || '/o/' || k || '/' GROUP BY ALL""")
+SELECT t.site, status, status IN ('ok', 'other_text') AND p.u IS NULL AS gone, count(*) AS n FROM t LEFT JOIN opages p ON p.u = t.site || '/o/' || k || '/' GROUP BY ALL""")
 def jn16(spark, sf):
     pages, links = _checked(spark, sf)
     out = verify.check_previous(links, pages)

@@ -392,19 +392,19 @@ WITH h AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DO
 SELECT vec_id, i, round(x / sqrt(list_sum(list_transform(e, lambda y: y * y))), 4) AS x FROM (SELECT vec_id, e, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM h)""")
 def sc28(spark, sf):
     e = inp.table(spark, sf, "embeddings")
-    return e.select("vec_id", F.posexplode(unit(F.col("embedding"), 16, 5)).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 4).alias("x"))
+    return e.select("vec_id", F.posexplode(unit(F.col("embedding"), 16)).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.round("x", 4).alias("x"))
 
 
 @query("sc29_jn17_cosine", with_views(inp.VECTORS) + """
 , pairs AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem)
-SELECT l_orderkey, l_linenumber, a, b, round(list_sum(list_transform(list_zip(x.e, y.e), lambda p: p[1] * p[2])), 2) AS similarity
+SELECT l_orderkey, l_linenumber, a, b, round(list_sum(list_transform(list_zip(x.e, y.e), lambda p: p[1] * p[2])), 3) + 0 AS similarity
 FROM pairs LEFT JOIN units x ON x.u = a LEFT JOIN units y ON y.u = b""")
 def sc29(spark, sf):
     from ..operators.graph import with_similarity
     li = inp.table(spark, sf, "lineitem").select(F.lit("vectors.example.com").alias("site"), "l_orderkey", "l_linenumber",
                                                  F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b"))
     out = with_similarity(li, inp.unit_vectors(spark, sf), "a", "b")
-    return out.select("l_orderkey", "l_linenumber", "a", "b", F.round("similarity", 2).alias("similarity"))
+    return out.select("l_orderkey", "l_linenumber", "a", "b", "similarity")
 
 
 # ---- filters -----------------------------------------------------------------------------------

@@ -122,7 +122,7 @@ def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     return best.select(F.lit("shop").alias("site"), F.concat(F.lit("o"), "l_orderkey").alias("source_url"), F.concat(F.lit("s"), "l_suppkey").alias("target_url"),
                        "r.*", F.lit(0.5).alias("value"), kind.alias("anchor_type"),
                        F.when(F.col("r.status") == "F", "ok").otherwise("off_topic").alias("verdict"),
-                       F.round(F.col("r.score") / 2 + F.col("r.p_context") / 2, 3).alias("similarity")).drop("status")
+                       F.round(F.col("r.score") * 0.6 + F.col("r.p_context") * 0.4, 4).alias("similarity")).drop("status")
 
 
 def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ scored AS (SELECT 'shop' AS site, 'o' || l_orderkey AS source_url, 's' || l_supp
   CASE WHEN l_linestatus = 'F' THEN 'ok' ELSE 'off_topic' END AS verdict
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_extendedprice DESC, l_linenumber DESC) = 1),
-scored2 AS (SELECT *, round(score / 2 + p_context / 2, 3) AS similarity FROM scored)
+scored2 AS (SELECT *, round(score * 0.6 + p_context * 0.4, 4) AS similarity FROM scored)
 """
 
 LABELLED = """
