@@ -189,5 +189,5 @@ def coverage_results(items: DataFrame, context: DataFrame, rows: DataFrame) -> D
 
 def coverage_counts(items: DataFrame) -> DataFrame:
     """Sub-queries per hub and state; hub = null is the whole site."""
-    return (items.rollup("site", "hub").agg(*[F.count_if(F.col("state") == s).alias(s) for s in fixed.STATES],
+    return (items.rollup("site", "hub").agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in fixed.STATES],
                                             F.count(F.lit(1)).alias("subqueries")).filter("site is not null"))

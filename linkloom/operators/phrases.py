@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.vectors import bind
 from ..functions.words import (by_lang, close_form, edge_word, escape_class, first_word, fold, is_filler, one_of, same_word,
                                strip_punct, tokens, word_key, words)
 
@@ -25,13 +26,18 @@ def token_table(text: Column, lang: Column) -> Column:
     t token, w its folded first word, kind 0 break / 1 function word / 2 content word, opens and ends
     flags, conj for a conjunction.
     """
-    def describe(t: Column) -> Column:
-        word = first_word(t)
+    def describe(x: Column) -> Column:
+        t, word = x["t"], x["word"]
         kind = F.when(word == "", 0).when(is_filler(word, lang), 1).otherwise(2)
         return F.struct(t.alias("t"), fold(word).alias("w"), kind.alias("kind"), t.rlike(_OPEN).alias("opens"),
                         t.rlike(_STOP).alias("ends"), by_lang(lang, fixed.CONJUNCTIONS, lambda c: one_of(word, c)).alias("conj"))
 
-    return F.transform(tokens(text), describe)
+    return F.transform(_with_word(text), describe)
+
+
+def _with_word(text: Column) -> Column:
+    """Tokens with their first word, found once per token."""
+    return F.transform(tokens(text), lambda t: F.struct(t.alias("t"), first_word(t).alias("word")))
 
 
 def _runs(table: Column) -> Column:
@@ -124,10 +130,15 @@ def best_in_row(matches: DataFrame, min_hits: int = 2) -> DataFrame:
     def phrase(n: Column) -> Column:
         part = F.slice(ks, 1, n)
         hits = F.array_distinct(F.transform(part, lambda r: r["k"]))
+        return bind(F.struct(hits.alias("hits"), F.element_at(part, -1).alias("last")), rated)
+
+    def rated(x: Column) -> Column:
+        hits, last = x["hits"], x["last"]
         whole = F.filter("names", lambda s: F.size(F.array_except(s, hits)) == 0)
-        covered = F.coalesce(F.array_max(F.transform(whole, F.size)), F.lit(0))
+        return bind(F.coalesce(F.array_max(F.transform(whole, F.size)), F.lit(0)), lambda covered: option(hits, last, covered))
+
+    def option(hits: Column, last: Column, covered: Column) -> Column:
         telling = F.size(F.array_intersect(hits, F.col("distinctive")))
-        last = F.element_at(part, -1)
         exact = covered > 0
         clean = exact | (~last["conj"] & strong(ks[0]) & strong(last))
         ok = (F.size(hits) >= min_hits) & (exact | (telling > 0)) & F.arrays_overlap(hits, F.col("_foreign")) & clean
@@ -187,15 +198,15 @@ def phrase_candidates(passages: DataFrame, keys: list[str]) -> DataFrame:
     lang, size = F.col("lang"), fixed.MAX_WORDS
     hint = F.transform(F.filter(words(F.col("hint")), lambda w: ~is_filler(w, lang)), fold)
 
-    def describe(t: Column) -> Column:
-        w = first_word(t)
+    def describe(x: Column) -> Column:
+        t, w = x["t"], x["word"]
         filler = is_filler(w, lang)
         conj = by_lang(lang, fixed.CONJUNCTIONS, lambda c: one_of(w, c))
         closed = (w == "") | t.rlike(_OPEN) | conj | (t == fixed.LINK_MARK)
         return F.struct(t.alias("t"), filler.alias("filler"), edge_word(t, w, lang).alias("edge"),
                         closed.alias("closed"), t.rlike(_STOP).alias("ends"))
 
-    base = passages.select(*keys, "lang", hint.alias("_hint"), F.transform(tokens(F.col("text")), describe).alias("_t"))
+    base = passages.select(*keys, "lang", hint.alias("_hint"), F.transform(_with_word(F.col("text")), describe).alias("_t"))
     table = F.col("_t")
 
     def grow(a: Column, x: Column) -> Column:

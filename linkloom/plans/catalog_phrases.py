@@ -77,13 +77,13 @@ def ag04_names(spark, sf):
 
 
 @query("ag04_common_stems", f"""
-WITH d AS (SELECT 'all' AS site, doc_id, lang, text, split_part(text, '.', 1) AS title FROM documents),
+WITH d AS (SELECT lang AS site, doc_id, lang, text, split_part(text, '.', 1) AS title FROM documents),
 t AS (SELECT site, left(w, 5) AS stem, count(DISTINCT doc_id) AS n FROM (SELECT site, doc_id, unnest({sql_content("title || ' '", 'lang')}) AS w FROM d) GROUP BY ALL),
 x AS (SELECT site, left({FOLD.format('w')}, 5) AS stem, count(DISTINCT doc_id) AS n FROM (SELECT site, doc_id, unnest({W.format('text')}) AS w FROM d) GROUP BY ALL)
-SELECT site, stem FROM t WHERE n >= greatest(3, 0.1 * (SELECT count(*) FROM d)) UNION SELECT site, stem FROM x WHERE n > 0.8 * (SELECT count(*) FROM d)""")
+SELECT site, stem FROM t WHERE n >= greatest(3, 0.1 * (SELECT count(*) FROM d WHERE d.site = t.site)) UNION SELECT site, stem FROM x WHERE n > 0.8 * (SELECT count(*) FROM d WHERE d.site = x.site)""")
 def ag04(spark, sf):
     d = inp.table(spark, sf, "documents")
-    return ctx.common_stems(d.select(F.lit("all").alias("site"), "lang", "text", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.lit("").alias("h1")))
+    return ctx.common_stems(d.select(F.col("lang").alias("site"), "lang", "text", F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.lit("").alias("h1")))
 
 
 @query("jn01_likely_targets", f"""
@@ -204,9 +204,8 @@ QUALIFY row_number() OVER (PARTITION BY pos ORDER BY hk / n DESC, hw / m DESC, '
 def jn08(spark, sf):
     """Benchmark items as keywords; documents, named by their first sentence, as pages."""
     d = inp.table(spark, sf, "documents").filter("lang = 'en'")
-    c = d.select(F.lit("en.example.com").alias("site"), inp.doc_u().alias("u"), F.lit("").alias("url"), "lang",
-                 F.split_part("text", F.lit("."), F.lit(1)).alias("clean_title"), F.lit("").alias("h1"), F.lit(False).alias("archive")).withColumn("url", F.concat(F.lit("https://x/123"), F.lit("/")))
-    c = c.withColumn("url", F.concat(F.col("u"), F.lit("?9")))
+    c = d.select(F.lit("en.example.com").alias("site"), inp.doc_u().alias("u"), F.concat(inp.doc_u(), F.lit("?9")).alias("url"), "lang",
+                 F.split_part("text", F.lit("."), F.lit(1)).alias("clean_title"), F.lit("").alias("h1"), F.lit(False).alias("archive"))
     b = inp.table(spark, sf, "benchmark").select(F.lit("en.example.com").alias("site"), F.col("item_id").alias("pos"),
                                                  F.split_part("text", F.lit("."), F.lit(1)).alias("keyword"), F.lit("").alias("target_url"), F.lit("partial").alias("match"))
     resolved, _ = cand.resolve_keywords(stage(b), stage(c))
@@ -229,9 +228,9 @@ def jn09(spark, sf):
 
 
 @query("ag10_keyword_summary", with_views(inp.SCORED) + """
-, r AS (SELECT anchor, decision_reason, count(*) AS n, row_number() OVER (PARTITION BY anchor ORDER BY count(*) DESC, decision_reason) AS k FROM (
-  SELECT anchor, CASE WHEN p_context < 0.5 THEN 'off_topic' WHEN p_anchor < 0.95 THEN 'weak_anchor' WHEN score < 0.5 THEN verdict ELSE '' END AS decision_reason FROM scored2)
-  WHERE decision_reason <> '' GROUP BY ALL)
+, d AS (SELECT anchor, CASE WHEN p_context < 0.5 THEN 'off_topic' WHEN p_anchor < 0.95 THEN 'weak_anchor' WHEN score < 0.5 THEN verdict ELSE '' END AS decision_reason FROM scored2),
+g AS (SELECT anchor, decision_reason, count(*) AS n FROM d WHERE decision_reason <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY n DESC, decision_reason) AS k FROM g)
 SELECT p_name AS keyword, (SELECT count(*) FROM scored2 s WHERE s.anchor = p_name) AS pages_with_phrase,
  (SELECT count(*) FROM scored2 s WHERE s.anchor = p_name AND NOT (p_context < 0.5) AND NOT (p_anchor < 0.95) AND NOT (score < 0.5)) AS links_to_insert,
  coalesce((SELECT string_agg(decision_reason || ' ' || n, ', ' ORDER BY k) FROM r WHERE r.anchor = p_name AND k <= 3), '') AS top_reject_reasons FROM (SELECT DISTINCT p_name FROM part)""")

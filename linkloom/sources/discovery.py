@@ -37,7 +37,7 @@ def sitemap_urls(files: DataFrame, roots: DataFrame, max_depth: int = 10) -> Dat
         level = deeper.join(reached, ["site", "url"], "left_anti")
         if level.isEmpty():
             break
-        reached = reached.union(level)
+        reached = reached.unionByName(level)
     pages = entries.filter("kind = 'page'").join(reached, ["site", "url"], "left_semi")
     return pages.select("site", F.col("loc").alias("url")).distinct()
 
