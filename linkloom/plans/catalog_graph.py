@@ -29,7 +29,7 @@ frequent AS (SELECT f.* FROM f JOIN n USING (site, lang) WHERE n >= 4 AND pages
 
 @query("ag01_template_keys", _TEMPLATES + " SELECT site, lang, key, pages FROM frequent")
 def ag01(spark, sf):
-    return clean.template_keys(inp.doc_pages(spark, sf)).withColumn("key", F.lower(F.hex("key")))
+    return clean.template_keys(stage(inp.doc_pages(spark, sf))).withColumn("key", F.lower(F.hex("key")))
 
 
 @query("jn07_strip_templates", _TEMPLATES + f"""
@@ -47,7 +47,9 @@ o AS (SELECT *, array_to_string(string_split(exc, ' ')[1:8], ' ') AS opening FRO
 m AS (SELECT site, u, title, {_EXC_SQL.replace('lower(raw)', 'lower(meta)')} AS mexc FROM doc_heads),
 starts AS (SELECT site, u, opening FROM o UNION SELECT site, u, array_to_string(string_split(mexc, ' ')[1:8], ' ') FROM m WHERE len(string_split(mexc, ' ')) >= 8),
 t AS (SELECT site, u, string_agg(exc, ' ' ORDER BY block) AS body FROM b GROUP BY ALL),
-links AS (SELECT a.site, a.u, z.u AS shown FROM m a JOIN m z ON a.site = z.site AND a.title = z.title AND a.u <> z.u),
+ends AS (SELECT site, title, min(u) AS lo, max(u) AS hi FROM m GROUP BY ALL),
+links AS (SELECT a.site, a.u, lo AS shown FROM m a JOIN ends e ON a.site = e.site AND a.title = e.title WHERE a.u <> lo UNION
+  SELECT a.site, a.u, hi FROM m a JOIN ends e ON a.site = e.site AND a.title = e.title WHERE a.u <> hi),
 pairs AS (SELECT o.site, o.u, o.block, o.raw, o.exc, o.cut, shown FROM o JOIN links l ON l.site = o.site AND l.u = o.u
   JOIN starts s ON s.site = o.site AND s.u = shown AND s.opening = o.opening),
 hits AS (SELECT p.*, (exc = mexc OR (cut AND (starts_with(mexc, exc) OR contains(body, exc)))) AS strong FROM pairs p JOIN m ON m.u = shown JOIN t ON t.u = shown

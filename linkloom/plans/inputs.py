@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import norm_url
 from ..functions.words import squash
+from ..operators.scale import spread_join
 from ..session import stage
 from ..sources.html import extract_pages
 from ..sources.records import page_records
@@ -20,8 +21,14 @@ from ..sources.records import page_records
 _DOMAIN = r"([^.]+\.[^.]+)$"
 
 
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; texts in fewer files than there are cores are spread first, parsing is the work."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def web_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,21 +55,23 @@ def doc_u():
 
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as PAGE rows; a document links to the others of its language with the same first line."""
+    """Documents as PAGE rows; a document links to the first and the last one of its language with the same
+    first line."""
     docs = table(spark, sf, "documents")
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), squash), lambda x: x != "")
     strings, anchors = F.array().cast("array<string>"), F.array().cast("array<struct<target:string,text:string>>")
     blocks = F.transform("lines", lambda x, i: F.struct(
-        F.when(i == 0, "h1").otherwise("p").alias("tag"), squash(x).alias("text"), squash(x).alias("raw"),
+        F.when(i == 0, "h1").otherwise("p").alias("tag"), x.alias("text"), x.alias("raw"),
         strings.alias("links"), anchors.alias("anchors")))
     base = docs.select("doc_id", "lang", lines.alias("lines")).select(
         F.concat("lang", F.lit(".example.com")).alias("site"), doc_u().alias("u"), "lang",
         F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("title"), blocks.alias("blocks"),
-        F.coalesce(F.get("lines", F.lit(1)), F.lit("")).alias("meta"), F.array_join(F.transform("lines", squash), " ").alias("text"))
-    twins = (base.select("site", "u", F.md5("title").alias("t")).alias("a")
-             .join(base.select("site", "u", F.md5("title").alias("t")).alias("b"), ["site", "t"]).filter("a.u <> b.u")
-             .groupBy("site", F.col("a.u").alias("u")).agg(F.sort_array(F.collect_list("b.u")).alias("content_links")))
-    return page_records(base.join(twins, ["site", "u"], "left").withColumn("h1", F.col("title"))
+        F.coalesce(F.get("lines", F.lit(1)), F.lit("")).alias("meta"), F.array_join("lines", " ").alias("text"))
+    base = base.withColumn("t", F.md5("title"))
+    ends = base.groupBy("site", "t").agg(F.min("u").alias("_lo"), F.max("u").alias("_hi"))
+    base = (spread_join(base, ends, ["site", "t"], "inner", ["u"])
+            .withColumn("content_links", F.filter(F.array_distinct(F.array("_lo", "_hi")), lambda x: x != F.col("u"))).drop("t", "_lo", "_hi"))
+    return page_records(base.withColumn("h1", F.col("title"))
                         .withColumn("url", F.concat(F.lit("https://"), "u")))
 
 

@@ -27,7 +27,8 @@ def page_records(df: DataFrame) -> DataFrame:
     host = F.split_part(norm_url(F.col("url")), F.lit("/"), F.lit(1))
     site = F.coalesce(F.nullif(bare_host(F.col("site")), F.lit("")), host) if "site" in df.columns else host
     filled = with_defaults(df.withColumn("site", site).withColumn("u", norm_url(F.col("url"))))
-    return filled.select(*PAGE_COLUMNS).filter(F.assert_true(F.col("blocks").isNotNull(), "a page record has no blocks").isNull())
+    checked = F.when(F.col("blocks").isNotNull(), F.col("blocks")).otherwise(F.raise_error(F.lit("a page record has no blocks")))
+    return filled.withColumn("blocks", checked).select(*PAGE_COLUMNS)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
