@@ -12,7 +12,7 @@ from ..functions.texts import page_text, query_text
 from ..operators import candidates as cand
 from ..operators import clean, context as ctx, coverage as cov, graph, repair, scoring, selection
 from ..operators.passages import passages
-from ..session import stage
+from ..session import ship_package, stage
 from ..sinks import briefs, report, tables
 
 
@@ -58,6 +58,7 @@ class LinkEngine:
 
     def __init__(self, spark: SparkSession, cfg: dict | None = None):
         self.spark = spark
+        ship_package(spark)
         self.cfg = {**fixed.DEFAULTS, **(cfg or {})}
         for pattern in self.cfg.get("archive_patterns", []):
             self.check_pattern("archive_patterns", pattern)

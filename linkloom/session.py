@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +22,19 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
             .getOrCreate())
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, whatever folder the driver runs in."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="linkloom-"), "linkloom"), "zip", root, "linkloom")
+        spark.sparkContext.addPyFile(name)
+        _SHIPPED.add(app)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches: the one the cluster names; a private one only where none is set
     (tests, local runs)."""

@@ -1,6 +1,7 @@
 """A whole run with stand-in models, and small operators without an SQL counterpart."""
 
 import json
+import sys
 
 import pandas as pd
 from conftest import page
@@ -8,6 +9,9 @@ from conftest import page
 from linkloom.operators.coverage import merge_queries
 from linkloom.operators.quality import auc_intervals, stratified_sample
 from linkloom.plans.engine import Hooks, LinkEngine
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the hooks below travel to the workers whole
 
 FILL = " ".join(["The local company carries out orders across town."] * 25)
 
