@@ -1,3 +1,3 @@
-"""Link-graph and internal-linking analytics over Spark DataFrames, many sites per job."""
+"""Link-graph and internal-link analytics over Spark DataFrames, many sites per job."""
 
 __version__ = "0.1.0"
