@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, decontaminate, language, toxicity
+from . import bpe, decontaminate, language, near_dup, toxicity
 from .neighbours import edited_fingerprints
 
 QUERIES: dict = {}
@@ -92,3 +92,25 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf, "documents"), tokenizer_path(), keep=["doc_id"])
     return bpe.digests(coded, ["doc_id"])
+
+
+@query("op7_near_duplicates", r"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+       ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM doc),
+node AS (SELECT doc_id, s, len(s) AS n FROM (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM sh WHERE len(s) > 0 GROUP BY list_sort(s))),
+one AS (SELECT doc_id, n, unnest(s) AS t FROM node),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.t = b.t AND a.doc_id < b.doc_id
+         AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM edge UNION SELECT x, b FROM reach JOIN edge ON y = a),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+same AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sh WHERE len(s) > 0 GROUP BY list_sort(s))
+SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, coalesce(c, rep, sh.doc_id) AS component_id,
+       sh.doc_id = coalesce(c, rep, sh.doc_id) AS kept
+FROM sh LEFT JOIN same ON list_sort(sh.s) = same.s AND len(sh.s) > 0 LEFT JOIN comp ON comp.x = rep
+""")
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"), k=4, percent=80)
