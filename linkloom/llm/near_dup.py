@@ -5,19 +5,22 @@ place in a ring; a second one, the ring's contents, shifted by 1, 2, 3 … place
 coordinates: two permutations in all. Bands of coordinates put likely neighbours into buckets.
 
 Equal texts are one representative from the start. Within buckets no list of all pairs is made: each member is
-first verified with its most frequent smallest neighbour, which unites nearly all of a group of near copies. Then only
-members of different components of one bucket are verified with each other, so a group of n near copies costs
-about n checks, and no link between components is lost.
+first verified with its most frequent smallest neighbour, which unites most of a group of near copies. Components
+that share a bucket and are not clearly unlike by a one-bit signature then meet in blocks: each pair of blocks
+counts the common shingles of whole sets and gives only a spanning forest of the links, so what moves and what is
+written follow the number of documents, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +32,8 @@ BANDS, ROWS = 32, 4      # at similarity 0.8 a pair meets in no band with probab
 RING = 1 << 20
 CHUNK = 1 << 13          # shingles whose ring sections are held at once
 MAX_UNLIKE = 38          # of 128 one-bit coordinates; a pair at 0.8 differs in 13 on average, in more than 38 once in 1e9
+BUCKET_BLOCK = 1024      # members of a bucket compared at once, by signature bits
+SET_BLOCK = 1 << 16      # shingles of a block, summed over its documents
 
 
 @lru_cache(maxsize=1)
@@ -122,11 +127,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     counts = met.filter("node > low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("n"))
     first = counts.groupBy("node").agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("b")).select(F.col("node").alias("a"), "b")
     near = stage(components(verified(first, sets, percent)))
-    # then: members of different components of one bucket
-    open_pairs = stage(across(met, near, nodes.select("node", "bits")))
-    links = verified(open_pairs.select("a", "b"), sets, percent)
-    ends = links.join(open_pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = stage(components(ends))
+    # then: whatever components of one bucket may still be linked, by whole sets in blocks
+    likely = stage(components(may_link(met, near, nodes.select("node", "bits"))))
+    joined = stage(components(linked_in_blocks(likely, near, sets, percent)))
     final = near.join(joined.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "full").select(
         F.coalesce("node", "component").alias("node"), F.coalesce("merged", "component").alias("component_id"))
     # a component that only the second step found has its smallest node as its name
@@ -137,20 +140,129 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def across(met: DataFrame, near: DataFrame, bits: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): pairs of one bucket that are in different components and not clearly unlike.
+def forest(linked: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest over names: enough of the links to unite all that are linked, never all of them."""
+    roots, edges = names.copy(), []
+    for i in range(len(names)):
+        while True:
+            hit = linked[i] & (roots != roots[i])
+            j = int(hit.argmax())
+            if not hit[j]:
+                break
+            edges.append((int(names[i]), int(names[j])))
+            roots[roots == roots[j]] = roots[i]
+    return edges
 
-    Only members outside the bucket's largest component are paired, with all members of other components.
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of a sorted stream of batches, one after the other; a group is held, a partition is not."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = np.stack([c.to_numpy() for c in batch.columns[:keys]], 1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), len(columns)]
+        for a, b in pairwise(cuts):
+            if a == b:
+                continue
+            now = tuple(columns[a])
+            if last is not None and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def pairs_of_blocks(count: str, block: str) -> Column:
+    """All pairs of blocks (i <= j) that a row of one block takes part in."""
+    other = F.sequence(F.lit(0), F.col(count) - 1)
+    return F.transform(other, lambda j: F.struct(F.least(F.col(block), j).alias("i"), F.greatest(F.col(block), j).alias("j")))
+
+
+def may_link(met: DataFrame, near: DataFrame, bits: DataFrame) -> DataFrame:
+    """Edges between components with members in one bucket that are not clearly unlike by their one-bit signatures.
+
+    Members of a bucket meet in blocks of about BUCKET_BLOCK; a block gives a spanning forest, not its pairs.
     """
     named = met.select("bucket", "node").join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed_buckets = sizes.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    members = stage(named.join(mixed_buckets.drop("parts"), "bucket").join(bits, "node"))
-    left = members.filter("component <> main").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("x"))
-    right = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("y"), "main")
-    unlike = F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])) + F.bit_count(F.col("x")[1].bitwiseXOR(F.col("y")[1]))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    return left.join(right, "bucket").filter((F.col("ca") != F.col("cb")) & once & (unlike <= MAX_UNLIKE)).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"),
-        F.when(F.col("a") > F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb")).distinct()
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")) \
+        .filter("low < high").select("bucket", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    members = named.join(several, "bucket").join(bits, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = members.select("bucket", F.inline(pairs_of_blocks("blocks", "block")), "component", F.col("bits")[0].alias("x"), F.col("bits")[1].alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        for group in grouped(batches, 3):
+            names, x, y = (group.column(c).to_numpy() for c in ("component", "x", "y"))
+            unlike = np.bitwise_count(x[:, None] ^ x[None, :]) + np.bitwise_count(y[:, None] ^ y[None, :])
+            edges += forest(unlike <= MAX_UNLIKE, names)
+            if len(edges) > 50_000:
+                yield edges_batch(edges)
+                edges = []
+        yield edges_batch(edges)
+    keys = ["bucket", "i", "j"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, EDGE)
+
+
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets share at least `percent` of their union, from exact counts of common shingles."""
+    sizes = np.array([len(s) for s in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    useful = np.flatnonzero(count >= 2)
+    place = np.full(len(count), -1)
+    place[useful] = np.arange(len(useful))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0):]
+    column, row = column[order], row[order]
+    common = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, len(useful), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        x = np.zeros((len(sets), min(4096, len(useful) - start)), np.float32)
+        x[row[a:b], column[a:b] - start] = 1
+        common += np.rint(x @ x.T).astype(np.int64)
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+
+
+def linked_in_blocks(likely: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges between components that whole sets confirm, for groups of components that may be linked.
+
+    The members of a group's largest component meet only the group's other members; these are cut into blocks of
+    about SET_BLOCK shingles, and each pair of blocks is one unit of work that gives a spanning forest.
+    """
+    groups = likely.select(F.col("node").alias("component"), F.col("component").alias("group"))
+    member = sets.groupBy("node").agg(F.max(F.size("set")).alias("n")).join(near, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).join(groups, "component")
+    parts = member.groupBy("group", "component").agg(F.sum("n").alias("n"))
+    whole = parts.groupBy("group").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"),
+                                       F.max("n").alias("largest"), F.sum("n").alias("all"))
+    size = whole.select("group", "main", F.ceil((F.col("all") - F.col("largest")) / SET_BLOCK).cast("int").alias("blocks"),
+                        F.ceil(F.col("largest") / SET_BLOCK).cast("int").alias("main_blocks"))
+    ready = member.join(size, "group").withColumn("is_main", F.col("component") == F.col("main")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int"))
+    beside = F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1),
+                         lambda r: F.struct(F.col("block").alias("i"), (F.col("blocks") + r).alias("j")))
+    under = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
+                        lambda i: F.struct(i.alias("i"), (F.col("blocks") + F.col("block")).alias("j")))
+    spots = F.when(F.col("is_main"), under).otherwise(F.concat(pairs_of_blocks("blocks", "block"), beside))
+    placed = sets.join(ready.select("node", "group", "component", spots.alias("spots")), "node").select(
+        "group", F.inline("spots"), "component", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, 3):
+            names = group.column("component").to_numpy()
+            if len(np.unique(names)) > 1:
+                own = [np.asarray(s) for chunk in group.column("set").chunks for s in
+                       np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])]
+                yield edges_batch(forest(linked(own, percent), names))
+    keys = ["group", "i", "j"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, EDGE)
