@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, decontaminate, language, near_dup, toxicity
+from . import bpe, decontaminate, language, near_dup, substrings, toxicity
 from .neighbours import edited_fingerprints
 
 QUERIES: dict = {}
@@ -114,3 +114,20 @@ FROM sh LEFT JOIN same ON list_sort(sh.s) = same.s AND len(sh.s) > 0 LEFT JOIN c
 """)
 def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents"), k=4, percent=80)
+
+
+@query("op8_substrings", r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS t
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+low AS (SELECT t, min(doc_id) AS d FROM win GROUP BY t),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (t) WHERE d < doc_id),
+cut AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w
+              ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+""")
+def op8_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf, "documents"), length=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
