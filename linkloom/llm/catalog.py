@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, decontaminate, language, near_dup, substrings, toxicity
+from . import bpe, decontaminate, language, near_dup, scoring, sharding, substrings, toxicity
 from .neighbours import edited_fingerprints
 
 QUERIES: dict = {}
@@ -131,3 +131,35 @@ FROM doc LEFT JOIN cut USING (r)
 def op8_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf, "documents"), length=13).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
+
+
+@query("op1_sharding", rf"""
+WITH RECURSIVE param AS (SELECT {sharding.SLOTS} AS m, 32 AS n),
+shard AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range(32) t(i)),
+pref AS (SELECT list(('0x' || substr(md5(name), 1, 8))::BIGINT % m ORDER BY i) AS off,
+                list(('0x' || substr(md5(name), 9, 8))::BIGINT % (m - 1) + 1 ORDER BY i) AS skip FROM shard, param),
+turn AS (SELECT 0 AS t, list_transform(range(m), lambda x: -1) AS owner, list_transform(range(n), lambda x: 0) AS nxt FROM param
+         UNION ALL
+         SELECT t + 1, list_concat(list_concat(owner[:s], [t % n]), owner[s + 2:]),
+                list_concat(list_concat(nxt[:t % n], [j + 1]), nxt[t % n + 2:])
+         FROM (SELECT t, owner, nxt, j, (off[t % n + 1] + j * skip[t % n + 1]) % m AS s
+               FROM (SELECT t, owner, nxt, m, n, off, skip,
+                            list_filter(range(nxt[t % n + 1], m), lambda x: owner[(off[t % n + 1] + x * skip[t % n + 1]) % m + 1] = -1)[1] AS j
+                     FROM turn, param, pref WHERE t < m)), param),
+slots AS (SELECT unnest(range(len(owner))) AS slot, unnest(owner) AS own FROM turn WHERE t = (SELECT m FROM param))
+SELECT doc_id, slot, name AS shard
+FROM (SELECT doc_id, (('0x' || substr(md5(coalesce('v' || doc_id::VARCHAR, 'n')), 1, 15))::BIGINT % {sharding.SLOTS}) AS slot FROM documents)
+JOIN slots USING (slot) JOIN shard ON own = i
+""")
+def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents").select("doc_id"), ["doc_id"], SHARDS)
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    words, network = scoring.fit(docs)
+    return scoring.score(docs, words, network, keep=["doc_id"])
