@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, decontaminate, language, near_dup, scoring, sharding, substrings, toxicity
+from . import bpe, decontaminate, language, line_dedup, near_dup, scoring, sharding, substrings, toxicity
 from .neighbours import edited_fingerprints
 
 QUERIES: dict = {}
@@ -163,3 +163,28 @@ def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     words, network = scoring.fit(docs)
     return scoring.score(docs, words, network, keep=["doc_id"])
+
+
+@query("op2_line_dedup", r"""
+WITH line AS (SELECT doc_id, i - 1 AS no, ls[i] AS ln FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+bag AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS r, doc_id, no, ln,
+               list_filter(list_distinct(string_split(translate(ln, chr(9) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               '    abcdefghijklmnopqrstuvwxyz'), ' ')), lambda x: x <> '') AS w FROM line),
+one AS (SELECT list_sort(w) AS w, min(r) AS r, len(any_value(w)) AS n FROM bag WHERE len(w) >= 5 GROUP BY list_sort(w)),
+tok AS (SELECT r, n, unnest(w) AS t FROM one),
+freq AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+pre AS (SELECT r, n, t FROM (SELECT r, n, tok.t, row_number() OVER (PARTITION BY r ORDER BY c, tok.t) AS k FROM tok JOIN freq USING (t))
+        WHERE k <= n - (n * 80 + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.r AS later, b.r AS earlier FROM pre a JOIN pre b ON a.t = b.t AND b.r < a.r
+         AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+hit AS (SELECT DISTINCT later AS r FROM cand JOIN one a ON a.r = later JOIN one b ON b.r = earlier
+        WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+gone AS (SELECT r FROM hit UNION SELECT bag.r FROM bag JOIN one ON list_sort(bag.w) = one.w WHERE bag.r > one.r)
+SELECT doc_id, count(*) AS n_lines, count(gone.r) AS n_removed,
+       coalesce(sum(CASE WHEN gone.r IS NULL THEN ('0x' || substr(md5(no || ':' || ln), 1, 15))::BIGINT::HUGEINT END), 0)::VARCHAR AS kept_check
+FROM bag LEFT JOIN gone USING (r) GROUP BY doc_id
+""")
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.line_report(docs, line_dedup.removed_lines(docs))
