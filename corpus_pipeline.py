@@ -1,5 +1,81 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: five stages over a table of documents, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but the last return the columns
+of documents. Null and empty texts pass every stage; an empty table passes as an empty table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkloom.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
+from linkloom.llm.catalog import table, tokenizer_path
+from linkloom.session import ship_package, stage
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled documents, calls toxic (score 0.5 or more) go."""
+    ship_package(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.withColumnsRenamed({"score": "_score", "predicted": "_predicted"}), model).filter("predicted = 0").drop(
+        "score", "predicted").withColumnsRenamed({"_score": "score", "_predicted": "predicted"})
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with a similar line earlier in the corpus go; a document that loses all its words this way goes, too."""
+    ship_package(spark)
+    gone = line_dedup.removed_lines(docs)
+    cleaned = line_dedup.without_lines(docs.withColumn("_before", F.length("text")), gone)
+    emptied = (F.length("text") < F.col("_before")) & ~F.col("text").rlike(r"\S")
+    kept = cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop("_before")
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (shingles of five words, similarity 0.8) the document with the smallest id stays, once.
+
+    Rows without an id are no group's representative and stay.
+    """
+    ship_package(spark)
+    kept = near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.filter("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).join(kept, "_id", "left_semi")
+    order = Window.partitionBy("_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    once = named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_id")
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item (ten words in a row, or a whole shorter item) go."""
+    ship_package(spark)
+    names = ["n_words", "hit_spans", "n_hit", "items"]
+    held = docs.withColumnsRenamed({c: f"_{c}" for c in names})
+    found = decontaminate.decontaminate(held, table(spark, sf_dir, "benchmark"))
+    return found.filter("n_hit = 0").drop(*names).withColumnsRenamed({f"_{c}": c for c in names})
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the documents' texts, their number, and the text decoded from them."""
+    ship_package(spark)
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), keep=["doc_id", "lang", "source"])
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: The classifier and the tokenizer cannot be written in SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
