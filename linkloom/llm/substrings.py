@@ -10,7 +10,6 @@ many documents are dealt by whole windows instead, which leaves one segment for
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +22,12 @@ from pyspark.sql import types as T
 from ..session import stage
 from .fm_index import FMIndex
 from .near_dup import grouped
-from .texts import EXACT, SPACES, gram_hashes, map_texts, slices, text_buffer, window_minima, word_hashes, word_spans
+from .texts import EXACT, ROOT, SPACES, gram_hashes, map_texts, mixed, slices, text_buffer, window_places, word_hashes, word_spans
 
 LENGTH = 13
-K = 4                      # words of a gram
+K = 5                      # words of a gram
 SHARD_SEGMENTS = 40_000    # segments of an index, about
+BROADCAST_ROWS = 1 << 20   # ids of copies are broadcast up to so many, else met by a shuffle
 HOT = 10_000               # documents with one minimizer, from which its windows are dealt one by one
 
 
@@ -38,46 +38,36 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, starts, ends, cut, word_hashes(data, starts, ends, EXACT)
 
 
-def window_minimizers(hashes: np.ndarray, cut: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word of every window, the gram place of its minimizer, and that gram's hash."""
+def window_minimizers(hashes: np.ndarray, cut: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every window, the gram place of its minimizer, that gram's hash, and the number of the text."""
     grams, edges = gram_hashes(hashes, cut, k, False)
     width = length - k + 1
+    ends, place = window_places(grams, edges, width)
     own = np.diff(edges)
-    long = np.where(own >= width, own, 0)
-    if not long.any():
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
-    best = window_minima(grams, edges, width)
-    counts = np.maximum(long - width + 1, 0)
-    first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    gram = first + np.repeat(edges[:-1], counts)
-    # the minimizer of a window is the smallest chosen gram in it, the rightmost on ties
-    low, high = np.searchsorted(best, gram), np.searchsorted(best, gram + width)
-    place = best[low]
-    for step in range(1, int((high - low).max())):
-        at = np.minimum(low + step, high - 1)
-        place = np.where(grams[best[at]] <= grams[place], best[at], place)
-    return first + np.repeat(cut[:-1], counts), place, grams[place]
+    text = np.repeat(np.arange(len(own)), np.where(own >= width, own - width + 1, np.minimum(own, 1)))
+    if (own < width).any():   # a shorter text has no window
+        whole = own[text] >= width
+        ends, place, text = ends[whole], place[whole], text[whole]
+    return ends + (cut[:-1] - edges[:-1] - width + 1)[text], place, grams[place], text
 
 
 def minimizers(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """(rid, prints): the distinct minimizers of each text."""
+    """(doc_id, prints): the distinct minimizers of each text, 48 bits of each."""
     def work(texts: pa.Array) -> list:
         _, _, _, cut, hashes = words_of(texts)
-        first, _, value = window_minimizers(hashes, cut, length, k)
-        text = np.searchsorted(cut, first, side="right") - 1
+        _, _, value, text = window_minimizers(hashes, cut, length, k)
         edges = np.searchsorted(text, np.arange(len(cut)))
-        return [pa.array([np.unique(value[a:b]).view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)],
+        return [pa.array([np.unique(value[a:b] >> np.uint64(16)).view(np.int64) for a, b in zip(edges[:-1], edges[1:], strict=True)],
                          pa.list_(pa.int64()))]
-    return map_texts(rows, "text", ["rid"], [T.StructField("prints", T.ArrayType(T.LongType()))], work)
+    return map_texts(rows, "text", ["doc_id"], [T.StructField("prints", T.ArrayType(T.LongType()))], work)
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(rid, doc_id, packed): texts compressed, as they are moved twice."""
+    """(doc_id, tag, packed): texts compressed, as they are moved twice."""
     def work(texts: pa.Array) -> list:
         zip_ = zstandard.ZstdCompressor(level=3)
         return [pa.array([zip_.compress((t or "").encode()) for t in texts.to_pylist()], pa.binary())]
-    return map_texts(rows, "text", ["rid", "doc_id"], [T.StructField("packed", T.BinaryType())], work)
+    return map_texts(rows, "text", ["doc_id", "tag"], [T.StructField("packed", T.BinaryType())], work)
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -85,51 +75,77 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array([unzip.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
 
 
-SEGMENT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()),
-                        T.StructField("shard", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("words", T.BinaryType())])
+SEGMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("start", T.IntegerType()),
+                        T.StructField("shard", T.LongType()), T.StructField("key", T.LongType()), T.StructField("words", T.BinaryType())])
+STEPS = np.multiply.accumulate(np.full(64, ROOT, np.uint64))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space behind each, and where each begins."""
+    sizes = ends - starts + 1
+    place = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), 0x20, np.uint8)
+    index = np.arange(len(out)) - np.repeat(place - starts, sizes)
+    inside = index < np.repeat(ends, sizes)
+    out[inside] = data[index[inside]]
+    return out.tobytes(), place
+
+
+def in_text(prints: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Prints mixed with the number of their text, so that lists of several texts are searched at once."""
+    return mixed(prints + text.astype(np.uint64) * np.uint64(ROOT))
+
+
+def listed(prints: pa.Array) -> np.ndarray:
+    flat = prints.flatten().to_numpy().view(np.uint64)
+    return in_text(flat, np.repeat(np.arange(len(prints)), prints.value_lengths().fill_null(0).to_numpy()))
 
 
 def segments(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Segments of the texts (rid, doc_id, packed, shared, hot) whose minimizer other documents have too."""
+    """Segments of the texts (doc_id, tag, packed, shared, hot) whose minimizer other documents have too.
+
+    `shard` (from the minimizer) and `key` (from the words) name a segment by 96 bits of two unrelated hashes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                rid, doc, own, shared, hot = (part.column(i) for i in range(5))
+                doc, tag, own, shared, hot = (part.column(i) for i in range(5))
                 data, starts, ends, cut, hashes = words_of(unpacked(own))
-                first, place, value = window_minimizers(hashes, cut, length, k)
-                text = np.searchsorted(cut, first, side="right") - 1
-                keep, single = np.zeros(len(first), bool), np.zeros(len(first), bool)
-                edges = np.searchsorted(text, np.arange(len(cut)))
-                for i, (s, h) in enumerate(zip(shared.to_pylist(), hot.to_pylist(), strict=True)):
-                    mine = value[edges[i]:edges[i + 1]]
-                    keep[edges[i]:edges[i + 1]] = np.isin(mine, np.array(s, np.int64).view(np.uint64))
-                    single[edges[i]:edges[i + 1]] = np.isin(mine, np.array(h, np.int64).view(np.uint64))
+                first, place, value, text = window_minimizers(hashes, cut, length, k)
+                if not len(first):
+                    continue
+                named = in_text(value >> np.uint64(16), text)
+                keep, single = (np.isin(named, listed(x)) for x in (shared, hot))
                 begin = np.ones(len(first), bool)
                 begin[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | single[1:]
                 at = np.flatnonzero(begin)
                 stop = np.append(at[1:], len(first))
                 use = keep[at]
                 at, stop = at[use], stop[use]
-                raw = data.tobytes()
-                spans = [b" ".join(raw[starts[w]:ends[w]] for w in range(first[a], first[b - 1] + length)) for a, b in zip(at, stop, strict=True)]
-                keys = [hashlib.blake2b(s, digest_size=16).digest() for s in spans]
-                shard = np.where(single[at], [int.from_bytes(x[:8], "little", signed=True) for x in keys], value[at].view(np.int64)) \
-                    if len(at) else np.zeros(0, np.int64)
+                low, high = first[at], first[stop - 1] + length   # first word and end word of each segment
+                key, padded = np.zeros(len(at), np.uint64), np.append(hashes, np.zeros(64, np.uint64))
+                for j in range(int((high - low).max()) if len(at) else 0):
+                    key += np.where(low + j < high, padded[low + j] * STEPS[j], np.uint64(0))
+                key = mixed(key + (high - low).astype(np.uint64))
+                shard = np.where(single[at], mixed(key ^ np.uint64(ROOT)), value[at]) >> np.uint64(32)
+                raw, begin_at = joined_words(data, starts, ends)
+                a, b = begin_at[low], begin_at[high - 1] + (ends - starts)[high - 1]
                 owner = pa.array(text[at])
-                yield pa.RecordBatch.from_arrays([rid.take(owner), doc.take(owner), pa.array((first[at] - cut[text[at]]).astype(np.int32)),
-                                                  pa.array(shard), pa.array(keys, pa.binary()), pa.array(spans, pa.binary())], names=SEGMENT.names)
-    return texts.select("rid", "doc_id", "packed", "shared", "hot").mapInArrow(run, SEGMENT)
+                yield pa.RecordBatch.from_arrays([doc.take(owner), tag.take(owner), pa.array((low - cut[text[at]]).astype(np.int32)),
+                                                  pa.array(shard.astype(np.int64)), pa.array(key.view(np.int64)),
+                                                  pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], names=SEGMENT.names)
+    return texts.select("doc_id", "tag", "packed", "shared", "hot").mapInArrow(run, SEGMENT)
 
 
-FOUND = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("earliest", T.ArrayType(T.LongType()))])
+FOUND = T.StructType([T.StructField("shard", T.LongType()), T.StructField("key", T.LongType()), T.StructField("earliest", T.ArrayType(T.LongType()))])
 
 
 def earliest_in_shards(distinct: DataFrame, shards: int, length: int) -> DataFrame:
-    """(key, earliest): for each window of a segment, the smallest id of a document with it. Segments none of whose
+    """(shard, key, earliest): for each window of a segment, the smallest id of a document with it. Segments none of whose
     windows can be removed anywhere are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, 1):
-            keys, low, high = group.column("key"), group.column("low").to_numpy(), group.column("high").to_numpy()
+            names_of, low, high = (group.column("shard"), group.column("key")), group.column("low").to_numpy(), group.column("high").to_numpy()
             spans = group.column("words").combine_chunks().cast(pa.large_binary())
             offsets = np.frombuffer(spans.buffers()[1], np.int64)[spans.offset:spans.offset + len(spans) + 1]
             data = np.frombuffer(spans.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
@@ -156,17 +172,17 @@ def earliest_in_shards(distinct: DataFrame, shards: int, length: int) -> DataFra
                 earliest[several] = np.minimum.reduceat(lowest, ranges.ravel())[::2][inverse.ravel()]
             edges = np.concatenate([[0], np.cumsum(windows)])
             useful = np.flatnonzero(np.minimum.reduceat(earliest, edges[:-1]) < high)
-            yield pa.RecordBatch.from_arrays([keys.combine_chunks().take(pa.array(useful)),
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks().take(pa.array(useful)) for c in names_of],
                                               pa.array([earliest[edges[i]:edges[i + 1]] for i in useful], pa.list_(pa.int64()))], names=FOUND.names)
-    placed = distinct.select(F.pmod("shard", F.lit(shards)).alias("shard"), "key", "words", "low", "high")
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, FOUND)
+    placed = distinct.select(F.pmod("shard", F.lit(shards)).alias("part"), "shard", "key", "words", "low", "high")
+    return placed.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(run, FOUND)
 
 
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
 
 def without(texts: DataFrame, length: int) -> DataFrame:
-    """Words of texts (doc_id, packed, windows) but for those covered by the windows that start at given words."""
+    """Words of texts (doc_id, tag, packed, windows; copies have a tag below 0) but for those covered by the windows that start at given words."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +190,12 @@ def without(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 total, gone, kept = [], [], []
-                for own, windows in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for own, windows, copy in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                     words = unzip.decompress(own).split()   # bytes split at ASCII white space only
                     total.append(len(words))
-                    if windows:
+                    if copy and len(words) >= length:
+                        words = []
+                    elif windows:
                         cover = np.zeros(len(words) + 1, np.int32)
                         starts = np.unique(np.array(windows))
                         cover[starts] += 1
@@ -187,7 +205,7 @@ def without(texts: DataFrame, length: int) -> DataFrame:
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
                                                   pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
-    return texts.select("doc_id", "packed", "windows").mapInArrow(run, schema)
+    return texts.select("doc_id", "packed", "windows", F.expr("tag < 0").alias("copy")).mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, shard_segments: int = SHARD_SEGMENTS, hot: int = HOT) -> DataFrame:
@@ -199,19 +217,27 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, k: int = K, shard_segment
     Rows with one id do not remove from each other. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "rid", F.xxhash64("doc_id", "text"))
+        "tag", F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int"))   # tells texts apart that share an id
+    # of equal texts only the first is searched; its copies lose every word that a window covers
+    digest = [F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")]
     named = rows.filter("doc_id is not null and text is not null")
-    placed = minimizers(named, length, k).select("rid", F.explode("prints").alias("print"))
-    shared = placed.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    mine = placed.join(shared, "print").groupBy("rid").agg(
+    equal = named.select("doc_id", "tag", digest[0].alias("d1"), digest[1].alias("d2"))
+    low = equal.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    copies = stage(equal.join(low, ["d1", "d2"]).filter("doc_id > low").select("doc_id", "tag", F.lit(True).alias("copy")).distinct())
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    single = named.join(copies, ["doc_id", "tag"], "left_anti")
+    placed = minimizers(single, length, k).select("doc_id", F.explode("prints").alias("print"))
+    shared = stage(placed.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shards = max(1, -(-(shared.agg(F.sum("n")).first()[0] or 0) // shard_segments))
+    mine = placed.join(shared, "print").groupBy("doc_id").agg(
         F.collect_set("print").alias("shared"), F.collect_set(F.when(F.col("n") > hot, F.col("print"))).alias("hot"))
-    found = stage(segments(packed(named).join(mine, "rid"), length, k))
-    distinct = found.groupBy("key").agg(F.first("shard").alias("shard"), F.first("words").alias("words"),
-                                        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shards = max(1, -(-found.count() // shard_segments))
+    found = segments(packed(single).join(mine, "doc_id"), length, k)
+    distinct = found.groupBy("shard", "key").agg(F.first("words").alias("words"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     earliest = earliest_in_shards(distinct, shards, length)
     gone = F.transform(F.filter(F.sequence(F.lit(0), F.size("earliest") - 1), lambda j: F.col("earliest")[j] < F.col("doc_id")),
                        lambda j: F.col("start") + j)
-    windows = found.select("rid", "doc_id", "start", "key").join(earliest, "key").select("rid", gone.alias("gone")).filter(
-        F.size("gone") > 0).groupBy("rid").agg(F.flatten(F.collect_list("gone")).alias("windows"))
-    return without(packed(rows).join(windows, "rid", "left"), length)
+    windows = found.select("doc_id", "tag", "start", "shard", "key").join(earliest, ["shard", "key"]).select("doc_id", "tag", gone.alias("gone")).filter(
+        F.size("gone") > 0).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("gone")).alias("windows"))
+    marked = rows.join(copies, ["doc_id", "tag"], "left").select("doc_id", F.when(F.col("copy"), -1 - F.col("tag")).otherwise(F.col("tag")).alias("tag"), "text")
+    return without(packed(marked).join(windows, ["doc_id", "tag"], "left"), length)

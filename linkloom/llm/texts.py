@@ -160,25 +160,32 @@ def gram_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int, whole_short: boo
     return grams, out_bounds
 
 
-def window_minima(values: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the smallest value of some window of `width`, the rightmost one on ties.
+def window_places(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Last position of every window of `width` values, and the position of its smallest value, the rightmost on ties.
 
     A text with fewer values than the window is one window.
     """
     n = len(values)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lengths = np.diff(bounds)
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    best = np.arange(n)
-    span, left = 1, np.asarray(bounds[:-1])[text]
+    at = np.arange(n)
+    left = np.repeat(np.asarray(bounds[:-1]), lengths)
+    best, low = at, values
+    span = 1
     while span < width:  # best of a window of `span` that ends here, clipped at the start of the text
         step = min(span, width - span)
-        other = best[np.maximum(np.arange(n) - step, left)]
-        best = np.where(values[other] < values[best], other, best)
+        back = np.maximum(at - step, left)
+        less = low[back] < low
+        best, low = np.where(less, best[back], best), np.where(less, low[back], low)
         span += step
-    ends = np.arange(n) - left >= np.minimum(width, lengths[text]) - 1
-    return np.unique(best[ends])
+    ends = np.flatnonzero(at - left >= np.repeat(np.minimum(width, lengths), lengths) - 1)
+    return ends, best[ends]
+
+
+def window_minima(values: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
+    """Positions that hold the smallest value of some window of `width`, the rightmost one on ties."""
+    return np.unique(window_places(values, bounds, width)[1])
 
 
 def seeded(size: int, seed: int) -> np.ndarray:
