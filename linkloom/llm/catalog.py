@@ -169,8 +169,8 @@ def op9_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 WITH line AS (SELECT doc_id, i - 1 AS no, ls[i] AS ln FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
               FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 bag AS (SELECT row_number() OVER (ORDER BY doc_id, no) AS r, doc_id, no, ln,
-               list_filter(list_distinct(string_split(translate(ln, chr(9) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-               '    abcdefghijklmnopqrstuvwxyz'), ' ')), lambda x: x <> '') AS w FROM line),
+               list_filter(list_distinct(string_split(lower(translate(ln, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' ')),
+               lambda x: x <> '') AS w FROM line),
 one AS (SELECT list_sort(w) AS w, min(r) AS r, len(any_value(w)) AS n FROM bag WHERE len(w) >= 5 GROUP BY list_sort(w)),
 tok AS (SELECT r, n, unnest(w) AS t FROM one),
 freq AS (SELECT t, count(*) AS c FROM tok GROUP BY t),

@@ -23,14 +23,19 @@ MIN_WORDS = 5       # lines with fewer different words are never removed and rem
 BUCKET_BITS = 16
 LOW44 = (1 << 44) - 1
 BROADCAST_ROWS = 1 << 20   # a small side of a join is broadcast up to so many rows of a few numbers, else shuffled
-#: White space becomes a space, A-Z become a-z.
-FROM = "\t\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ"
-TO = "    abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(line: Column) -> Column:
-    """Different words of a line, split at ASCII white space, A-Z folded."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, FROM, TO), " "), ""))
+def plain(line: Column) -> Column:
+    """A line in lower case with spaces for other ASCII white space."""
+    for sign in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(sign), F.lit(" "))
+    return F.lower(line)
+
+
+def word_numbers(line: Column) -> Column:
+    """64-bit hashes of the different words of a line."""
+    hashes = F.transform(F.split(plain(line), " "), lambda w: F.xxhash64(w))
+    return F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def bucket(h: Column) -> Column:
 def rarity(lines: DataFrame) -> Column:
     """Ranks of all hash buckets as one constant array: eighths of the binary logarithm of how many lines have a word
     of the bucket. The array has 2 ** BUCKET_BITS small numbers at any size of the corpus."""
-    counted = lines.select(F.explode(words_of(F.col("line"))).alias("word")).groupBy(bucket(F.xxhash64("word")).alias("bucket")).agg(
+    counted = lines.select(F.explode(word_numbers(F.col("line"))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
     ranks = [0] * (1 << BUCKET_BITS)
     for r in counted.select("bucket", F.round(8 * F.log2(F.col("n") + 1)).cast("int").alias("rank")).collect():
@@ -53,11 +58,11 @@ def rarity(lines: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
-def set_codes(line: Column, ranks: Column) -> Column:
-    """The words of a line as numbers, in the corpus order: the bucket's rank above 44 bits of the hash."""
+def set_codes(numbers: Column, ranks: Column) -> Column:
+    """The words of a line in the corpus order: the bucket's rank above 44 bits of the hash."""
     def code(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, bucket(h)).cast("long"), 44).bitwiseOR(h.bitwiseAND(F.lit(LOW44)))
-    return F.array_sort(F.transform(words_of(line), lambda w: code(F.xxhash64(w))))
+    return F.sort_array(F.transform(numbers, code))
 
 
 def needed(n: Column, percent: int) -> Column:
@@ -65,19 +70,19 @@ def needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def prefix_rows(lines: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
+def prefix_rows(sets: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
     """(word, key, sketch, size, doc_id, line_no): one row for each prefix word of each line, dealt by word.
 
     `size` holds the set's size above the word's place in the prefix; `sketch` has one bit flipped for each word.
     """
-    shaped = lines.select("doc_id", "line_no", set_codes(F.col("line"), ranks).alias("codes")).filter(F.size("codes") >= min_words)
+    shaped = sets.select("doc_id", "line_no", set_codes(F.col("words"), ranks).alias("codes")).filter(F.size("codes") >= min_words)
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("codes")
     sized = shaped.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), parity.alias("sketch"), n.alias("n"),
                           F.slice("codes", F.lit(1), n - needed(n, percent) + 1).alias("prefix"))
     rows = sized.select("doc_id", "line_no", "key", "sketch", "n", F.posexplode("prefix").alias("place", "word"))
-    return rows.select("word", "key", "sketch", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("size"),
+    return rows.filter("word is not null").select("word", "key", "sketch", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("size"),
                        "doc_id", "line_no")
 
 
@@ -100,20 +105,20 @@ def small_side(df: DataFrame) -> DataFrame:
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(later, earlier, kind): copies of equal sets, pairs with the earliest set of a word, pairs of the others."""
-    dealt = rows.repartition("word")
     low = F.min(place()).over(Window.partitionBy("word", "key"))
-    seen = dealt.withColumn("low", low)
-    copies = seen.filter((place() > F.col("low")) & (F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) == 0)).select(
-        place().alias("later"), F.col("low").alias("earlier"), F.lit("copy").alias("kind"))
-    sets = seen.filter(place() == F.col("low")).drop("low")
-    first = F.first(F.struct(*sets.columns)).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
-    led = sets.withColumn("lead", first).select("*", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")]).drop("lead")
-    led = led.filter(place() > place("lead_")).withColumn("near", may_match("", "lead_", percent))
-    stars = led.filter("near").select(place().alias("later"), place("lead_").alias("earlier"), F.lit("star").alias("kind"))
-    a, b = led.filter("not near").select(*sets.columns).alias("a"), sets.alias("b")
-    others = a.join(b, F.col("a.word") == F.col("b.word")).filter((place("a.") > place("b.")) & may_match("a.", "b.", percent)).select(
-        place("a.").alias("later"), place("b.").alias("earlier"), F.lit("pair").alias("kind"))
-    return copies.unionByName(stars).unionByName(others).distinct()
+    lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
+    led = rows.repartition("word").withColumn("low", low).withColumn("lead", lead).select(
+        *rows.columns, "low", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")])
+    led = led.withColumn("kind", F.when(place() > F.col("low"), "copy").when(place() == place("lead_"), "lead").when(
+        may_match("", "lead_", percent), "star").otherwise("pair"))
+    def of(side: str, kind: str) -> Column:
+        return F.col(f"{side}.kind") == kind
+    first_word = F.col("a.size").bitwiseAND(F.lit((1 << 32) - 1)) == 0
+    a, b = led.filter("kind <> 'lead'").alias("a"), led.filter("kind <> 'copy'").alias("b")
+    wanted = (of("a", "pair") & (place("a.") > place("b.")) & may_match("a.", "b.", percent)) | (of("a", "star") & of("b", "lead")) | \
+        (of("a", "copy") & first_word & (place("b.") == F.col("a.low")))
+    return a.join(b, F.col("a.word") == F.col("b.word")).filter(wanted).select(
+        place("a.").alias("later"), place("b.").alias("earlier"), F.col("a.kind").alias("kind")).distinct()
 
 
 def fetched(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -121,12 +126,11 @@ def fetched(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     places = pairs.select("later.*").unionByName(pairs.select("earlier.*"))
     wanted = stage(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers")))
     found = rows.join(small_side(wanted), "doc_id").select("doc_id", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
-    return stage(found.select(place().alias("at"), words_of(F.get("lines", F.col("line_no"))).alias("words")))
+    return stage(found.select(place().alias("at"), word_numbers(F.get("lines", F.col("line_no"))).alias("words")))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """(later) of the pairs that share at least `percent` of the union of their word sets."""
-    words = fetched(rows, pairs)
     both = pairs.join(words.select(F.col("at").alias("later"), F.col("words").alias("x")), "later").join(
         words.select(F.col("at").alias("earlier"), F.col("words").alias("y")), "earlier")
     common = F.size(F.array_intersect("x", "y"))
@@ -143,18 +147,20 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     rows = docs.select(known_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = lines_of(rows)
     ranks = rarity(lines)
-    prefixes = prefix_rows(lines, ranks, percent, min_words)
+    prefixes = prefix_rows(lines.select("doc_id", "line_no", word_numbers(F.col("line")).alias("words")), ranks, percent, min_words)
     found = stage(candidates(prefixes, percent))
     close = found.filter("kind <> 'copy'").select("later", "earlier").distinct()
-    settled = verified(close, rows, percent)
+    words = fetched(rows, close)
+    settled = verified(close, words, percent)
     # sets that only met the earliest one of some word, and were not settled by anything
-    unsure = stage(found.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti"))
-    open_rows = stage(prefixes.join(small_side(unsure.select("later.*")), ["doc_id", "line_no"], "left_semi"))
-    a, b = small_side(open_rows).alias("a"), prefixes.alias("b")
-    again = b.join(a, F.col("a.word") == F.col("b.word")).filter((place("a.") > place("b.")) & may_match("a.", "b.", percent)).groupBy(
-        place("a.").alias("later"), F.col("b.key")).agg(F.min(place("b.")).alias("earlier")).select("later", "earlier").distinct()
+    unsure = found.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti")
+    again_words = words.join(unsure.select(F.col("later").alias("at")), "at", "left_semi").select("at.*", "words")
+    a = small_side(stage(prefix_rows(again_words, ranks, percent, min_words))).alias("a")
+    again = prefixes.alias("b").join(a, F.col("a.word") == F.col("b.word")).filter(
+        (place("a.") > place("b.")) & may_match("a.", "b.", percent)).groupBy(place("a.").alias("later"), F.col("b.key")).agg(
+        F.min(place("b.")).alias("earlier")).select("later", "earlier").distinct()
     again = stage(again.join(close, ["later", "earlier"], "left_anti"))
-    late = verified(again, rows, percent)
+    late = verified(again, fetched(rows, again), percent)
     return stage(found.filter("kind = 'copy'").select("later").unionByName(settled).unionByName(late).distinct()).select("later.*")
 
 
