@@ -104,21 +104,20 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier, kind): copies of equal sets, pairs with the earliest set of a word, pairs of the others."""
+    """(later, earlier, kind, n): copies of equal sets, pairs with the earliest set of n words, pairs of the others."""
     low = F.min(place()).over(Window.partitionBy("word", "key"))
     lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
     led = rows.repartition("word").withColumn("low", low).withColumn("lead", lead).select(
         *rows.columns, "low", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")])
     led = led.withColumn("kind", F.when(place() > F.col("low"), "copy").when(place() == place("lead_"), "lead").when(
         may_match("", "lead_", percent), "star").otherwise("pair"))
-    def of(side: str, kind: str) -> Column:
-        return F.col(f"{side}.kind") == kind
-    first_word = F.col("a.size").bitwiseAND(F.lit((1 << 32) - 1)) == 0
-    a, b = led.filter("kind <> 'lead'").alias("a"), led.filter("kind <> 'copy'").alias("b")
-    wanted = (of("a", "pair") & (place("a.") > place("b.")) & may_match("a.", "b.", percent)) | (of("a", "star") & of("b", "lead")) | \
-        (of("a", "copy") & first_word & (place("b.") == F.col("a.low")))
-    return a.join(b, F.col("a.word") == F.col("b.word")).filter(wanted).select(
-        place("a.").alias("later"), place("b.").alias("earlier"), F.col("a.kind").alias("kind")).distinct()
+    first_word = F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) == 0
+    alone = led.filter((F.col("kind") == "star") | ((F.col("kind") == "copy") & first_word)).select(
+        place().alias("later"), F.when(F.col("kind") == "copy", F.col("low")).otherwise(place("lead_")).alias("earlier"), "kind")
+    a, b = led.filter("kind = 'pair'").alias("a"), led.filter("kind <> 'copy'").alias("b")
+    others = a.join(b, F.col("a.word") == F.col("b.word")).filter((place("a.") > place("b.")) & may_match("a.", "b.", percent)).select(
+        place("a.").alias("later"), place("b.").alias("earlier"), F.lit("pair").alias("kind"))
+    return alone.unionByName(others).groupBy("later", "earlier", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fetched(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -149,7 +148,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     ranks = rarity(lines)
     prefixes = prefix_rows(lines.select("doc_id", "line_no", word_numbers(F.col("line")).alias("words")), ranks, percent, min_words)
     found = stage(candidates(prefixes, percent))
-    close = found.filter("kind <> 'copy'").select("later", "earlier").distinct()
+    # of several earliest sets the one met under most words is verified; what it leaves open is joined below
+    stars = found.filter("kind = 'star'").groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier"))
+    close = stage(found.filter("kind = 'pair'").select("later", "earlier").unionByName(stars).distinct())
     words = fetched(rows, close)
     settled = verified(close, words, percent)
     # sets that only met the earliest one of some word, and were not settled by anything
