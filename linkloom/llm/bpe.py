@@ -25,7 +25,8 @@ from .texts import map_texts
 
 #: Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES = 1 << 19   # pieces kept per worker; the cache starts anew when it is full
+CACHED_PIECES = 1 << 17   # pieces kept per worker; the cache starts anew when it is full
+CACHED_PAIRS = 1 << 17    # compatible pairs kept per worker, likewise
 CACHED_PIECE_CHARS = 64
 
 
@@ -88,6 +89,8 @@ class Vocabulary:
         any depth of their merge trees, may merge before both sides are whole."""
         known = self.compatible.get((left, right))
         if known is None:
+            if len(self.compatible) >= CACHED_PAIRS:
+                self.compatible.clear()
             known = self.compatible[left, right] = self._fits(left, right)
         return known
 

@@ -59,7 +59,8 @@ def sorted_suffixes(text: np.ndarray, context: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a text of symbols from 0 to size - 1, for patterns of up to `context` symbols."""
+    """Index of a text of symbols from 0 to size - 1 that begins and ends with the mark 0, for patterns without marks of
+    up to `context` symbols."""
 
     def __init__(self, text: np.ndarray, size: int, context: int) -> None:
         self.places = sorted_suffixes(text, context)

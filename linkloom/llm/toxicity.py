@@ -42,10 +42,11 @@ def hashed(words: list[str]) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """Sorted word hashes, their weights and the intercept."""
+    """Sorted word hashes, their weights, the intercept, and the log odds of a text without words (the labels' share)."""
     words: np.ndarray
     weights: np.ndarray
     bias: float
+    bare: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, bounds = text_buffer(texts)
@@ -58,6 +59,7 @@ class ToxicityModel:
             text = np.searchsorted(cut, hit, side="right") - 1
             seen = np.unique(text * len(self.words) + at[hit])   # a word counts once a text
             np.add.at(logit, seen // len(self.words), self.weights[seen % len(self.words)])
+        logit[np.diff(cut) == 0] = self.bare
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -114,7 +116,7 @@ def train(sets: list[np.ndarray], y: np.ndarray, identity: list[list[str]], swap
     base = min(max(0.5 if base is None else float(base), 1e-3), 1 - 1e-3)
     odds = float(np.log(base / (1 - base)))
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), odds)
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), odds, odds)
     held = np.arange(len(y)) % 4 == 3   # rows come ordered by a hash of their ids
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         held = np.zeros(len(y), bool)
@@ -122,7 +124,7 @@ def train(sets: list[np.ndarray], y: np.ndarray, identity: list[list[str]], swap
     check = held if held.any() else ~held
     logit = np.array([w[np.isin(words, s)].sum() for s, h in zip(sets, check, strict=True) if h])
     slope, bias = calibrated(logit, y[check], base)
-    return ToxicityModel(words, slope * w, bias)
+    return ToxicityModel(words, slope * w, bias, odds)
 
 
 def calibrated(logit: np.ndarray, y: np.ndarray, base: float) -> tuple[float, float]:
