@@ -110,7 +110,7 @@ def detect_lang(lang: Column, url: Column, text: Column, markers: dict[str, list
     are frequent enough in the text; '' when none applies."""
     codes = list(markers)
     prefix = F.lower(F.regexp_extract(path_of(url), "^/*([^/]*)", 1))
-    sample = words(F.left(text, F.lit(5000)))
+    sample = words(text)
 
     def count(listed: list[str]) -> Column:
         return F.size(F.filter(sample, lambda w: one_of(w, listed)))

@@ -37,7 +37,7 @@ def link_statuses(hrefs: DataFrame, status: DataFrame, now=None) -> tuple[DataFr
 
 def is_soft_404(status, html):
     """A 200 answer whose title says the page was not found."""
-    return (status == 200) & F.left(html, F.lit(20000)).rlike(fixed.NOT_FOUND_TITLE)
+    return (status == 200) & html.rlike(fixed.NOT_FOUND_TITLE)
 
 
 def broken_links(links: DataFrame, statuses: DataFrame, pages: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ _GREEDY = with_views(inp.SCORED, f"""
 base AS (SELECT source_url, target_url, lower(anchor) AS low, row_number() OVER (ORDER BY score DESC, p_context DESC, similarity DESC, source_url, target_url) AS o
   FROM scored2 WHERE {_REASON} = '')""", """
 st(step, source_url, target_url, low, o, s) AS (SELECT 0, source_url, target_url, low, o, 0 FROM base UNION ALL (
-  WITH cur AS (SELECT * FROM st WHERE step < 40 AND EXISTS (SELECT 1 FROM st WHERE s = 0)),
+  WITH cur AS (SELECT * FROM st WHERE EXISTS (SELECT 1 FROM st WHERE s = 0)),
   w AS (SELECT *, count(*) FILTER (s >= 0) OVER (PARTITION BY source_url, low ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_live,
       count(*) FILTER (s >= 0) OVER (PARTITION BY source_url ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s_live,
       count(*) FILTER (s >= 0) OVER (PARTITION BY target_url ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t_live,

@@ -221,7 +221,7 @@ def _marker_sql() -> str:
     return f"CASE WHEN {n['pl']} >= {n['en']} AND {n['pl']} >= {floor} THEN 'pl' WHEN {n['en']} > {n['pl']} AND {n['en']} >= {floor} THEN 'en' ELSE '' END"
 
 
-@query("sc14_detect_lang", f"""WITH x AS (SELECT doc_id, source, {W.format('left(text, 5000)')} AS s FROM documents)
+@query("sc14_detect_lang", f"""WITH x AS (SELECT doc_id, source, {W.format('text')} AS s FROM documents)
 SELECT doc_id, CASE WHEN source = 'src1' THEN 'en' WHEN source = 'src2' THEN 'pl' ELSE {_marker_sql()} END AS lang FROM x""")
 def sc14(spark, sf):
     """Declared languages are kept from one source, a path prefix from another; the text decides the rest."""
@@ -440,7 +440,7 @@ def pf02(spark, sf):
 
 
 @query("pf04_unsupported_pages", with_views(inp.DOCS) + f"""
-, x AS (SELECT site, lang, {W.format("left(array_to_string(list_transform(ls, lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), ' '), 5000)")} AS s FROM docs)
+, x AS (SELECT site, lang, {W.format("array_to_string(list_transform(ls, lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), ' ')")} AS s FROM docs)
 SELECT site, count(*) FILTER (lang <> 'en' AND {_marker_sql()} = '') AS unsupported FROM x GROUP BY site""")
 def pf04(spark, sf):
     return ctx.unsupported_pages(inp.doc_pages(spark, sf))

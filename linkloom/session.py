@@ -41,6 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if shared is None and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linkloom-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -10,8 +10,6 @@ from ..operators.graph import links_today, page_summary
 from ..operators.nearest import nearest_unlinked
 from ..schema import SCORES
 
-NO_LIMIT = 31  # shown when one page may get any number of links
-
 
 def compact_rows(rows: DataFrame) -> DataFrame:
     """Suggestion rows with numbers at three places and null where a value is no number."""
@@ -23,15 +21,6 @@ def compact_rows(rows: DataFrame) -> DataFrame:
     return out.select(*keep)
 
 
-def default_filters(cfg: dict = fixed.DEFAULTS, max_links: int | None = None) -> dict[str, int]:
-    """Thresholds as whole percentages."""
-    pct = lambda k: round(cfg.get(k, 0) * 100)
-    return {"score": pct("score_min"), "context": pct("context_min"), "anchor": pct("anchor_min"), "value": 0,
-            "cannibalisation": pct("cannibalisation_max"), "similarity": pct("similarity_min"),
-            "max_per_page": max_links or cfg["max_links_per_page"], "meaning_score": pct("meaning_score_min"),
-            "max_per_target": min(cfg.get("max_links_per_target") or NO_LIMIT, NO_LIMIT)}
-
-
 def graph_tables(context: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
     """nodes (site, u, url, title, lang), links (site, src, dst, similarity), near (closest unlinked pages).
 

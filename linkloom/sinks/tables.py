@@ -31,12 +31,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def clear_sites(spark: SparkSession, path: str, schema: str, sites: DataFrame, written: DataFrame) -> None:
-    """Optional results of an earlier run do not survive a run without them: sites of this run that
-    wrote nothing get an empty partition."""
+    """Optional results of an earlier run do not survive a run without them: the folders of sites of this
+    run that wrote nothing are deleted. Read the table with `schema`, as no folder may be left."""
     stale = sites.select("site").distinct().join(written.select("site").distinct(), "site", "left_anti")
-    names = [f.name for f in spark.createDataFrame([], schema).schema.fields if f.name != "site"]
-    empty = stale.select("site", *[F.lit(None).cast("string").alias(n) for n in names])
-    empty.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in stale.toLocalIterator():
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["site"])
+        files.delete(jvm.org.apache.hadoop.fs.Path(root, f"site={name}"), True)
 
 
 def append_cache(rows: DataFrame, path: str) -> None:

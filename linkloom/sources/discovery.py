@@ -23,21 +23,19 @@ def sitemap_entries(files: DataFrame) -> DataFrame:
             .select("site", "url", "kind", "pos", F.trim("l.loc").alias("loc")).filter("loc <> ''"))
 
 
-def sitemap_urls(files: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
+def sitemap_urls(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Page addresses reachable from the root sitemaps through index files: distinct (site, url).
 
-    One join per level of index files (sites nest them once or twice); a file is read once however
-    often it is named.
+    One join per level of index files, until a level names no new file; a file is read once however
+    often it is named. Every level is a staged table, so the plan does not grow with the depth.
     """
     entries = stage(sitemap_entries(files))
     names = entries.filter("kind = 'file'").select("site", "url", "loc")
     reached = level = roots.select("site", "url").distinct()
-    for _ in range(max_depth):
+    while not level.isEmpty():
         deeper = level.join(names, ["site", "url"]).select("site", F.col("loc").alias("url")).distinct()
-        level = deeper.join(reached, ["site", "url"], "left_anti")
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
+        level = stage(deeper.join(reached, ["site", "url"], "left_anti"))
+        reached = stage(reached.unionByName(level))
     pages = entries.filter("kind = 'page'").join(reached, ["site", "url"], "left_semi")
     return pages.select("site", F.col("loc").alias("url")).distinct()
 
