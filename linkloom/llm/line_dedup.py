@@ -53,8 +53,11 @@ def rarity(lines: DataFrame) -> Column:
     counted = lines.select(F.explode(word_numbers(F.col("line"))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
     ranks = [0] * (1 << BUCKET_BITS)
-    for r in counted.select("bucket", F.round(8 * F.log2(F.col("n") + 1)).cast("int").alias("rank")).collect():
-        ranks[r["bucket"]] = r["rank"]
+    listed = counted.select("bucket", F.round(8 * F.log2(F.col("n") + 1)).cast("int").alias("rank"))
+    packed = listed.agg(F.array_join(F.collect_list(F.concat_ws(":", "bucket", "rank")), ",")).first()[0]   # one short string
+    for pair in packed.split(",") if packed else ():
+        at, rank = pair.split(":")
+        ranks[int(at)] = int(rank)
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 

@@ -97,16 +97,18 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_rows
     any row of one label every score is the share of toxic rows (0.5 if there are no rows).
     """
     sample = labelled_sample(docs, labels, F.lit(True) if fold is None else fold, max_rows)
-    rows = word_sets(sample).collect()   # bounded by max_rows and, below, by words
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r.words)))
+    rows = word_sets(sample).toArrow()   # bounded by max_rows and, below, by words
+    ids, marks = rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist()
+    sets = [np.frombuffer(w, np.uint64) for w in rows.column("words").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], len(sets[i]), sets[i].tobytes()))
     total, kept = 0, []
-    for r in rows:
-        total += len(r.words) // 8
+    for i in order:
+        total += len(sets[i])
         if total > MAX_WORDS:
             break
-        kept.append(r)
+        kept.append(i)
     base = labels.filter("toxic is not null").filter(F.lit(True) if fold is None else fold).agg(F.avg("toxic")).first()[0]
-    return train([np.frombuffer(r.words, np.uint64) for r in kept], np.array([r.toxic for r in kept], float),
+    return train([sets[i] for i in kept], np.array([marks[i] for i in kept], float),
                  IDENTITY if identity is None else identity, swap_penalty, base)
 
 
