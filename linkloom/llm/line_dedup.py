@@ -151,11 +151,15 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     ranks = rarity(lines)
     prefixes = prefix_rows(lines.select("doc_id", "line_no", word_numbers(F.col("line")).alias("words")), ranks, percent, min_words)
     found = stage(candidates(prefixes, percent))
-    # of several earliest sets the one met under most words is verified; what it leaves open is joined below
-    stars = found.filter("kind = 'star'").groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier"))
-    close = stage(found.filter("kind = 'pair'").select("later", "earlier").unionByName(stars).distinct())
-    words = fetched(rows, close)
-    settled = verified(close, words, percent)
+    # of several earlier sets the one met under most words is verified first; a set it settles needs no other
+    close = found.filter("kind <> 'copy'")
+    best = stage(close.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")))
+    words = fetched(rows, best)
+    settled = verified(best, words, percent)
+    others = stage(close.filter("kind = 'pair'").select("later", "earlier").distinct().join(settled, "later", "left_anti").join(
+        best, ["later", "earlier"], "left_anti"))
+    settled = stage(settled.unionByName(verified(others, fetched(rows, others), percent)))
+    close = best.unionByName(others)
     # sets that only met the earliest one of some word, and were not settled by anything
     unsure = found.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti")
     again_words = words.join(unsure.select(F.col("later").alias("at")), "at", "left_semi").select("at.*", "words")
