@@ -6,13 +6,17 @@ similarity is `percent` / 100 or more share a word in their prefixes of that ord
 needed overlap, and have lengths and parity sketches that differ little; each of these filters is lossless. Pairs that
 pass are verified on the whole word sets, and the later line of a similar pair is removed.
 
-Prefix rows are dealt once, by word. Under a word equal sets are one, and each set that may match the word's earliest
-set is paired with it alone, which settles most of a group of near copies; the others are joined with all earlier sets
-under the word. Sets that the earliest one did not confirm are then joined with all earlier sets, too.
+The sets are built once and kept in a table of prefixes and sketches. Equal sets are one from there on: the lines
+behind the first of them go without a search. Prefix rows are dealt once, by word. Under a word each set that may match
+the word's earliest set is paired with it alone, which settles most of a group of near copies; the others are joined with
+all earlier sets under the word. Sets that the earliest one did not confirm are then joined with all earlier sets, too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +24,17 @@ from ..session import stage
 
 PERCENT = 80
 MIN_WORDS = 5       # lines with fewer different words are never removed and remove nothing
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 LOW44 = (1 << 44) - 1
 BROADCAST_ROWS = 1 << 20   # a small side of a join is broadcast up to so many rows of a few numbers, else shuffled
 
 
 def plain(line: Column) -> Column:
     """A line in lower case with spaces for other ASCII white space."""
-    for sign in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(sign), F.lit(" "))
-    return F.lower(line)
+    signs, spaced = "\t\x0b\x0c\r", line
+    for sign in signs:
+        spaced = F.replace(spaced, F.lit(sign), F.lit(" "))
+    return F.lower(F.when(reduce(or_, [F.contains(line, F.lit(sign)) for sign in signs]), spaced).otherwise(line))   # a look costs less
 
 
 def word_numbers(line: Column) -> Column:
@@ -47,24 +52,25 @@ def bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
 
 
-def rarity(lines: DataFrame) -> Column:
-    """Ranks of all hash buckets as one constant array: eighths of the binary logarithm of how many lines have a word
-    of the bucket. The array has 2 ** BUCKET_BITS small numbers at any size of the corpus."""
-    counted = lines.select(F.explode(word_numbers(F.col("line"))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"))
-    ranks = [0] * (1 << BUCKET_BITS)
-    listed = counted.select("bucket", F.round(8 * F.log2(F.col("n") + 1)).cast("int").alias("rank"))
+def rarity(rows: DataFrame) -> Column:
+    """Ranks of all hash buckets as one constant string of bytes: halves of the binary logarithm of how many words the
+    texts have in the bucket. It has 2 ** BUCKET_BITS bytes at any size of the corpus."""
+    words = rows.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counted = words.groupBy(bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = bytearray(1 << BUCKET_BITS)
+    listed = counted.select("bucket", F.round(2 * F.log2(F.col("n") + 1)).cast("int").alias("rank"))   # below 128
     packed = listed.agg(F.array_join(F.collect_list(F.concat_ws(":", "bucket", "rank")), ",")).first()[0]   # one short string
     for pair in packed.split(",") if packed else ():
         at, rank = pair.split(":")
         ranks[int(at)] = int(rank)
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    return F.lit(bytes(ranks))
 
 
 def set_codes(numbers: Column, ranks: Column) -> Column:
     """The words of a line in the corpus order: the bucket's rank above 44 bits of the hash."""
     def code(h: Column) -> Column:
-        return F.shiftleft(F.get(ranks, bucket(h)).cast("long"), 44).bitwiseOR(h.bitwiseAND(F.lit(LOW44)))
+        rank = F.ascii(F.substring(ranks, bucket(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 44).bitwiseOR(h.bitwiseAND(F.lit(LOW44)))
     return F.sort_array(F.transform(numbers, code))
 
 
@@ -73,20 +79,35 @@ def needed(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def prefix_rows(sets: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
-    """(word, key, sketch, size, doc_id, line_no): one row for each prefix word of each line, dealt by word.
+def line_sets(rows: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
+    """(doc_id, line_no, key, sketch, n, prefix): one row for each line: a hash of its word set, a sketch with one bit
+    flipped for each word, the set's size, and its prefix.
 
-    `size` holds the set's size above the word's place in the prefix; `sketch` has one bit flipped for each word.
+    Sets below `min_words` have an empty prefix: a filter here would be moved below the projection and build every set
+    again.
     """
-    shaped = sets.select("doc_id", "line_no", set_codes(F.col("words"), ranks).alias("codes")).filter(F.size("codes") >= min_words)
+    sets = lines_of(rows).select("doc_id", "line_no", set_codes(word_numbers(F.col("line")), ranks).alias("codes"))
     parity = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("codes")
-    sized = shaped.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), parity.alias("sketch"), n.alias("n"),
-                          F.slice("codes", F.lit(1), n - needed(n, percent) + 1).alias("prefix"))
-    rows = sized.select("doc_id", "line_no", "key", "sketch", "n", F.posexplode("prefix").alias("place", "word"))
-    return rows.filter("word is not null").select("word", "key", "sketch", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("size"),
-                       "doc_id", "line_no")
+    length = F.when(n >= min_words, n - needed(n, percent) + 1).otherwise(0)
+    return sets.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), parity.alias("sketch"), n.alias("n"),
+                       F.slice("codes", F.lit(1), length).alias("prefix"))
+
+
+def prefix_rows(sets: DataFrame) -> DataFrame:
+    """(word, sketch, size, doc_id, line_no): one row for each prefix word; `size` holds the set's size above the
+    word's place in the prefix."""
+    rows = sets.select("doc_id", "line_no", "sketch", "n", F.posexplode("prefix").alias("place", "word"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+    return rows.select("word", "sketch", size.alias("size"), "doc_id", "line_no")
+
+
+def later_copies(sets: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, line_no) of the lines whose word set an earlier line has, too."""
+    counted = sets.filter(F.col("n") >= min_words).select("key", "doc_id", "line_no")
+    first = counted.groupBy("key").agg(F.min(place()).alias("low")).select("key", "low.*")
+    return counted.join(first, ["key", "doc_id", "line_no"], "left_anti").distinct()
 
 
 def may_match(a: str, b: str, percent: int) -> Column:
@@ -107,17 +128,15 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier, kind, n): copies of equal sets, pairs with the earliest set of n words, pairs of the others."""
-    low = F.min(place()).over(Window.partitionBy("word", "key"))
+    """(later, earlier, kind, n): pairs with the earliest set of n words, pairs of the others."""
+    dealt = rows.repartition("word")
     lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
-    led = rows.repartition("word").withColumn("low", low).withColumn("lead", lead).select(
-        *rows.columns, "low", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")])
-    led = led.withColumn("kind", F.when(place() > F.col("low"), "copy").when(place() == place("lead_"), "lead").when(
-        may_match("", "lead_", percent), "star").otherwise("pair"))
-    first_word = F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) == 0
-    alone = led.filter((F.col("kind") == "star") | ((F.col("kind") == "copy") & first_word)).select(
-        place().alias("later"), F.when(F.col("kind") == "copy", F.col("low")).otherwise(place("lead_")).alias("earlier"), "kind")
-    a, b = led.filter("kind = 'pair'").alias("a"), led.filter("kind <> 'copy'").alias("b")
+    led = dealt.withColumn("lead", lead).select(
+        *rows.columns, *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")]).filter(
+        place() > place("lead_"))
+    star = may_match("", "lead_", percent)
+    alone = led.filter(star).select(place().alias("later"), place("lead_").alias("earlier"), F.lit("star").alias("kind"))
+    a, b = led.filter(~star).select(*rows.columns).alias("a"), dealt.alias("b")
     others = a.join(b, F.col("a.word") == F.col("b.word")).filter((place("a.") > place("b.")) & may_match("a.", "b.", percent)).select(
         place("a.").alias("later"), place("b.").alias("earlier"), F.lit("pair").alias("kind"))
     return alone.unionByName(others).groupBy("later", "earlier", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +146,8 @@ def fetched(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(at, words): the word sets of all lines in pairs, from their whole texts."""
     places = pairs.select("later.*").unionByName(pairs.select("earlier.*"))
     wanted = stage(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("numbers")))
-    found = rows.join(small_side(wanted), "doc_id").select("doc_id", F.explode("numbers").alias("line_no"), F.split("text", "\n").alias("lines"))
+    texts = rows.join(small_side(wanted), "doc_id").select("doc_id", "numbers", F.split("text", "\n").alias("lines"))   # split once a text
+    found = texts.select("doc_id", "lines", F.explode("numbers").alias("line_no"))
     return stage(found.select(place().alias("at"), word_numbers(F.get("lines", F.col("line_no"))).alias("words")))
 
 
@@ -147,29 +167,28 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     id). Rows that share an id share their places: a line is never removed for a line at its own place.
     """
     rows = docs.select(known_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = lines_of(rows)
-    ranks = rarity(lines)
-    prefixes = prefix_rows(lines.select("doc_id", "line_no", word_numbers(F.col("line")).alias("words")), ranks, percent, min_words)
-    found = stage(candidates(prefixes, percent))
+    ranks = rarity(rows)
+    sets = stage(line_sets(rows, ranks, percent, min_words))
+    copies = stage(later_copies(sets, min_words))
+    firsts = sets.join(small_side(copies), ["key", "doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "sketch", "n", "prefix")
+    close = stage(candidates(prefix_rows(firsts), percent))
     # of several earlier sets the one met under most words is verified first; a set it settles needs no other
-    close = found.filter("kind <> 'copy'")
     best = stage(close.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")))
     words = fetched(rows, best)
     settled = verified(best, words, percent)
     others = stage(close.filter("kind = 'pair'").select("later", "earlier").distinct().join(settled, "later", "left_anti").join(
         best, ["later", "earlier"], "left_anti"))
     settled = stage(settled.unionByName(verified(others, fetched(rows, others), percent)))
-    close = best.unionByName(others)
+    known = best.unionByName(others)
     # sets that only met the earliest one of some word, and were not settled by anything
-    unsure = found.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti")
-    again_words = words.join(unsure.select(F.col("later").alias("at")), "at", "left_semi").select("at.*", "words")
-    a = small_side(stage(prefix_rows(again_words, ranks, percent, min_words))).alias("a")
-    again = prefixes.alias("b").join(a, F.col("a.word") == F.col("b.word")).filter(
-        (place("a.") > place("b.")) & may_match("a.", "b.", percent)).groupBy(place("a.").alias("later"), F.col("b.key")).agg(
-        F.min(place("b.")).alias("earlier")).select("later", "earlier").distinct()
-    again = stage(again.join(close, ["later", "earlier"], "left_anti"))
+    unsure = close.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti").select("later.*")
+    near = prefix_rows(firsts)
+    a = small_side(stage(near.join(small_side(stage(unsure)), ["doc_id", "line_no"], "left_semi"))).alias("a")
+    again = near.alias("b").join(a, F.col("a.word") == F.col("b.word")).filter(
+        (place("a.") > place("b.")) & may_match("a.", "b.", percent)).select(place("a.").alias("later"), place("b.").alias("earlier")).distinct()
+    again = stage(again.join(known, ["later", "earlier"], "left_anti"))
     late = verified(again, fetched(rows, again), percent)
-    return stage(found.filter("kind = 'copy'").select("later").unionByName(settled).unionByName(late).distinct()).select("later.*")
+    return stage(copies.select(place().alias("later")).unionByName(settled).unionByName(late).distinct()).select("later.*")
 
 
 def known_id() -> Column:
