@@ -100,7 +100,9 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
     word's place in the prefix."""
     rows = sets.select("doc_id", "line_no", "sketch", "n", F.posexplode("prefix").alias("place", "word"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
-    return rows.select("word", "sketch", size.alias("size"), "doc_id", "line_no")
+    # nothing is null here; said so, since filters that a join derives would keep its side from sharing the shuffle
+    known = [F.coalesce(c, F.lit(0).cast("long")).alias(name) for c, name in ((F.col("sketch"), "sketch"), (size, "size"))]
+    return rows.filter("word is not null").select("word", *known, "doc_id", "line_no")
 
 
 def later_copies(sets: DataFrame, min_words: int) -> DataFrame:
@@ -128,14 +130,18 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier, kind, n): pairs with the earliest set of n words, pairs of the others."""
+    """(later, earlier, kind, n): pairs with the earliest set of n words, pairs of the others.
+
+    The kind of the former is `sole` where the word has no other earlier set, else `star`."""
     dealt = rows.repartition("word")
-    lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
-    led = dealt.withColumn("lead", lead).select(
-        *rows.columns, *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")]).filter(
+    order = Window.partitionBy("word").orderBy("doc_id", "line_no")
+    lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(order)
+    led = dealt.withColumn("lead", lead).withColumn("turn", F.row_number().over(order)).select(
+        *rows.columns, "turn", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")]).filter(
         place() > place("lead_"))
     star = may_match("", "lead_", percent)
-    alone = led.filter(star).select(place().alias("later"), place("lead_").alias("earlier"), F.lit("star").alias("kind"))
+    alone = led.filter(star).select(place().alias("later"), place("lead_").alias("earlier"),
+                                   F.when(F.col("turn") == 2, "sole").otherwise("star").alias("kind"))
     a, b = led.filter(~star).select(*rows.columns).alias("a"), dealt.alias("b")
     others = a.join(b, F.col("a.word") == F.col("b.word")).filter((place("a.") > place("b.")) & may_match("a.", "b.", percent)).select(
         place("a.").alias("later"), place("b.").alias("earlier"), F.lit("pair").alias("kind"))
@@ -180,7 +186,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
         best, ["later", "earlier"], "left_anti"))
     settled = stage(settled.unionByName(verified(others, fetched(rows, others), percent)))
     known = best.unionByName(others)
-    # sets that only met the earliest one of some word, and were not settled by anything
+    # sets that met the earliest one of some word but not its other earlier ones, and were not settled by anything
     unsure = close.filter("kind = 'star'").select("later").distinct().join(settled, "later", "left_anti").select("later.*")
     near = prefix_rows(firsts)
     a = small_side(stage(near.join(small_side(stage(unsure)), ["doc_id", "line_no"], "left_semi"))).alias("a")
