@@ -182,7 +182,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     best = stage(close.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")))
     words = fetched(rows, best)
     settled = verified(best, words, percent)
-    others = stage(close.filter("kind = 'pair'").select("later", "earlier").distinct().join(settled, "later", "left_anti").join(
+    others = stage(close.select("later", "earlier").distinct().join(settled, "later", "left_anti").join(
         best, ["later", "earlier"], "left_anti"))
     settled = stage(settled.unionByName(verified(others, fetched(rows, others), percent)))
     known = best.unionByName(others)

@@ -95,6 +95,21 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.removed_lines(none).count() == 0
 
 
+def test_line_dedup_tries_every_candidate(spark):
+    # L shares one rare word with E1 (Jaccard 18/22) and two others with E2 (17/23), which some sketches let through
+    data = []
+    for s in range(60):
+        r = random.Random(7000 + s)
+        common = r.sample(WORDS[:200], 20)
+        rare = [f"rare{s}x{i}" for i in range(5)]
+        first = [*common[:17], rare[0], rare[3], rare[4]]
+        second = [*common[2:], rare[1], rare[2]]
+        last = [*common[:17], *rare[:3]]
+        data += [(i * 1000 + s, " ".join(r.sample(words, len(words)))) for i, words in enumerate((first, second, last))]
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert gone == brute_lines(data) and len(gone) >= 60
+
+
 def test_language(spark, none):
     german = ["der die und ist nicht ein schön straße " + prose(3, s) for s in range(60)]
     french = ["le la et est pas un été élève " + prose(3, s + 500) for s in range(60)]
