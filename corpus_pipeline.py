@@ -23,9 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with a similar line earlier in the corpus go; a document that loses all its words this way goes, too."""
+    """Lines with a similar line earlier in the corpus go, and so do later copies of lines too short to compare; a document
+    that loses all its words this way goes, too."""
     ship_package(spark)
-    gone = line_dedup.removed_lines(docs)
+    gone = line_dedup.removed_lines(docs, copy_words=1)
     cleaned = line_dedup.without_lines(docs.withColumn("_before", F.length("text")), gone)
     emptied = (F.length("text") < F.col("_before")) & ~F.col("text").rlike(r"\S")
     kept = cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop("_before")

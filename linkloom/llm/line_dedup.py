@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 PERCENT = 80
-MIN_WORDS = 5       # lines with fewer different words are never removed and remove nothing
+MIN_WORDS = 5       # lines with fewer different words are in no similarity search
 BUCKET_BITS = 18
 LOW44 = (1 << 44) - 1
 BROADCAST_ROWS = 1 << 20   # a small side of a join is broadcast up to so many rows of a few numbers, else shuffled
@@ -105,9 +105,9 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
     return rows.filter("word is not null").select("word", *known, "doc_id", "line_no")
 
 
-def later_copies(sets: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, line_no) of the lines whose word set an earlier line has, too."""
-    counted = sets.filter(F.col("n") >= min_words).select("key", "doc_id", "line_no")
+def later_copies(sets: DataFrame, copy_words: int) -> DataFrame:
+    """(key, doc_id, line_no) of the lines of `copy_words` different words or more whose word set an earlier line has, too."""
+    counted = sets.filter(F.col("n") >= copy_words).select("key", "doc_id", "line_no")
     first = counted.groupBy("key").agg(F.min(place()).alias("low")).select("key", "low.*")
     return counted.join(first, ["key", "doc_id", "line_no"], "left_anti").distinct()
 
@@ -165,17 +165,17 @@ def verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return stage(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("later").distinct())
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, copy_words: int | None = None) -> DataFrame:
     """(doc_id, line_no) of every line with a similar line earlier in the corpus, in the order of doc_id and line number.
 
-    Whether the earlier line itself stays plays no part. Lines with fewer than `min_words` different words are left
-    alone. Null and empty texts have no lines to remove; rows without an id come after all others (as the largest
+    Whether the earlier line itself stays plays no part. Of lines with fewer than `min_words` different words only later
+    copies of the same word set go, and only from `copy_words` words on; without it they are left alone. Null and empty texts have no lines to remove; rows without an id come after all others (as the largest
     id). Rows that share an id share their places: a line is never removed for a line at its own place.
     """
     rows = docs.select(known_id().alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = rarity(rows)
     sets = stage(line_sets(rows, ranks, percent, min_words))
-    copies = stage(later_copies(sets, min_words))
+    copies = stage(later_copies(sets, min_words if copy_words is None else copy_words))
     firsts = sets.join(small_side(copies), ["key", "doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "sketch", "n", "prefix")
     close = stage(candidates(prefix_rows(firsts), percent))
     # of several earlier sets the one met under most words is verified first; a set it settles needs no other

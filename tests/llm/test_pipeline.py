@@ -53,6 +53,14 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(texts_of)
 
 
+def test_short_line_copies(spark):
+    body = prose(60, 3000)
+    texts = [f"{body}\nAll rights reserved.\n日本語の行", f"{body}\nall  rights reserved.\n日本語の行", f"All rights reserved.\n{prose(60, 3001)}\nAll rights", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert kept == {0: texts[0], 2: texts[2].split("\n", 1)[1], 3: texts[3]}
+
+
 def test_empty_and_extra_columns(spark, tmp_path):
     write_tables(tmp_path, ["some words"])
     extra = spark.createDataFrame([*rows(), rows()[5], (None, "no id here", None, None, None, "x", "y", "z")], SCHEMA)
