@@ -27,6 +27,7 @@ ORDER = 5
 BITS = 12                  # a character is one of 4,096 classes: itself below 2,048, else a class by remainder
 MAX_CHARS = 2_000_000      # characters per language for fitting and calibration
 MAX_ROWS = 4000            # rows per language for fitting and calibration
+MIN_FIT = 20               # rows a language must have left to fit on, else it gives no row to calibration
 UNKNOWN = "und"
 REJECT_SHARE = 0.002       # share of calibration texts of a language that its limit flags
 LETTER = regex.compile(r"\p{L}")
@@ -111,16 +112,30 @@ class LanguageModel:
 
 
 def sample(docs: DataFrame, fold: Column, max_rows: int, max_chars: int) -> DataFrame:
-    """(doc_id, lang, text) of the rows of each language with the smallest id hash, within both limits."""
+    """(lang, text, held) of the rows of each language with the smallest id hash, within both limits.
+
+    A row that does not fit the remaining room is passed over; where no row fits, the first one is taken. A fifth is
+    held for calibration where at least MIN_FIT rows are left to fit on, else none.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).filter(fold).select(
         F.col("doc_id").cast("string").alias("doc_id"), "lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("order"),
         F.length("text").alias("size"))
     rank = Window.partitionBy("lang").orderBy("order", "doc_id")
     slim = known.select("doc_id", "lang", "order", "size").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= max_rows)
     # the limit on rank is applied in each map task, so a language with most rows does not meet in one task
-    kept = slim.withColumn("sum", F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0))).filter(
-        (F.col("sum") <= max_chars) | (F.col("n") == 1)).select("doc_id", "lang").distinct()
-    return known.join(F.broadcast(kept), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+
+    def fitting(rows: pa.Table) -> pa.Table:   # at most max_rows
+        rows, room, kept = rows.sort_by("n"), max_chars, []
+        for i, size in enumerate(rows.column("size").to_pylist()):
+            if size <= room:
+                kept.append(i)
+                room -= size
+        return rows.take(kept or [0])
+    held = F.pmod(F.crc32(F.concat(F.lit("held "), "doc_id")), F.lit(5)) == 0
+    left = F.sum(F.when(held, 0).otherwise(1)).over(Window.partitionBy("lang"))
+    kept = slim.select("doc_id", "lang", "size", "n").groupBy("lang").applyInArrow(fitting, "doc_id string, lang string, size int, n int").select(
+        "doc_id", "lang", "size", (held & (left >= MIN_FIT)).alias("held")).distinct()
+    return known.join(F.broadcast(kept), ["doc_id", "lang", "size"]).select("lang", "text", "held")
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -198,12 +213,12 @@ def calibrate(model: LanguageModel, checks: list[tuple[str, np.ndarray]]) -> Non
 def fit(docs: DataFrame, fold: Column | None = None, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> LanguageModel:
     """Models of all languages among the rows that `fold` admits; four fifths of the sample fit, one fifth calibrates.
 
+    All rows of a language with few of them fit, none calibrates.
     Rows without a text or a language teach nothing; an empty table gives a model that knows no language.
     """
     fold = F.lit(True) if fold is None else fold
     rows = sample(docs, fold, max_rows, max_chars)
-    held = F.pmod(F.crc32(F.concat(F.lit("held "), "doc_id")), F.lit(5)) == 0
-    found = gram_counts(rows.filter(~held)).toArrow()   # bounded by max_chars per language
+    found = gram_counts(rows.filter("not held")).toArrow()   # bounded by max_chars per language
     langs = sorted(set(found.column("lang").to_pylist()))
     label = np.array(found.column("lang").to_pylist(), dtype=object)
     code, n = found.column("gram").to_numpy(), found.column("n").to_numpy()
@@ -214,7 +229,7 @@ def fit(docs: DataFrame, fold: Column | None = None, max_rows: int = MAX_ROWS, m
 
         def work(texts: pa.Array) -> list:
             return [pa.array(shared.value.entropies(texts.to_pylist()).tolist(), pa.list_(pa.float64()))]
-        checks = map_texts(rows.filter(held), "text", ["lang"], fields, work).collect()   # at most max_rows per language
+        checks = map_texts(rows.filter("held"), "text", ["lang"], fields, work).collect()   # at most max_rows per language
         calibrate(model, [(r.lang, np.array(r.cross)) for r in checks if r.lang in langs])
     return model
 

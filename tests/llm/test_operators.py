@@ -124,6 +124,19 @@ def test_language(spark, none):
     assert (np.diff(keys.astype(object)) > 0).all()
 
 
+def test_language_small_and_long_samples(spark):
+    order = [r.i for r in spark.range(200).select(F.col("id").alias("i")).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    held = [r.i for r in spark.range(200).filter("pmod(crc32(concat('held ', string(id))), 5) = 0").select(F.col("id").alias("i")).collect()]
+    own = [i for i in order if i not in held[:1]]
+    for at in (0, 1):   # a text over the whole room, first or second in the order of ids
+        rows_ = [(i, "x" * 5000 if k == at else f"le la et est {k}", "fr") for k, i in enumerate(own[:60])] + [(held[0], "der die und ist", "de")]
+        table = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+        got = language.sample(table, F.lit(True), 4000, 4000).collect()
+        assert sorted(r.text for r in got) == sorted(t for _, t, _ in rows_ if len(t) < 4000)
+        assert language.fit(table, max_chars=4000).langs == ["de", "fr"]
+    assert [len(r.text) for r in language.sample(table.filter("length(text) = 5000"), F.lit(True), 4000, 4000).collect()] == [5000]
+
+
 def ascii_words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return "".join(c if ord(c) > 127 or c.isdigit() or "a" <= c <= "z" else " " for c in low).split(" ")
