@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,27 @@ def test_scoring(spark, docs, none):
     assert scoring.score(docs, words, network).count() == docs.count()
 
 
+def test_scoring_counts_every_word(spark):
+    common = [f"w{i}" for i in range(6000)]
+    data = [(i, " ".join(common[i % 60 * 100:i % 60 * 100 + 100] * 40)) for i in range(600)] + [(1000 + i, f"rare{i % 40} w1 once{i}") for i in range(240)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    words = scoring.vocabulary(table)
+    assert len(words.words) == 6000 and words.shape[0] * words.shape[1] >= 6000 + len(words.totals), "tokens grow with the words"
+    few = scoring.vocabulary(table.filter("doc_id % 60 < 25"))
+    assert len(few.words) < 3000
+    assert words.totals.sum() == 480 and (len(words.others), words.counts.sum()) == (40, 240)
+    network = scoring.Network(words.shape)
+    group = int(scoring.group_of(words.others[:1], len(words.totals))[0])
+    assert 0 < words.counts[scoring.group_of(words.others, len(words.totals)) == group].sum() <= words.totals[group]
+    # a word never seen is less likely than a word of the same group that was
+    names = [f"junk{i}" for i in range(4000)]
+    _, _, share = scoring.Tokens(words).read(pa.array(["rare7", *names]), shares=True)
+    token, _, _ = scoring.Tokens(words).read(pa.array(["rare7", *names]))
+    twin = names[int(np.flatnonzero(token[1:] == token[0])[0])]
+    score = {r.text: r.log_likelihood for r in scoring.score(spark.createDataFrame([("rare7",), (twin,)], "text string"), words, network).collect()}
+    assert abs(score["rare7"] - score[twin] - np.log(6)) < 1e-5 and (share <= 0).all()
+
+
 def test_bpe(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(tokenizer_path())
