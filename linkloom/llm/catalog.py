@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, decontaminate, language, line_dedup, near_dup, scoring, sharding, substrings, toxicity
+from . import bpe, collocations, decontaminate, language, line_dedup, near_dup, parity_join, scoring, sharding, spelling, substrings, toxicity
 from .neighbours import edited_fingerprints
 
 QUERIES: dict = {}
@@ -188,3 +188,72 @@ FROM bag LEFT JOIN gone USING (r) GROUP BY doc_id
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.line_report(docs, line_dedup.removed_lines(docs))
+
+
+@query("op11_collocations", r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda y: y <> '') AS w
+       FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, count(*) AS f
+         FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM gram WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS w FROM gram WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.k, c.p, a, j, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+        JOIN gram l ON l.lang = c.lang AND l.p = array_to_string(c.w[1:j], ' ') JOIN gram r ON r.lang = c.lang AND r.p = array_to_string(c.w[j + 1:], ' ')),
+best AS (SELECT lang, k, p, a, l, r, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS p, max(a) AS longer FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM cand WHERE k = 3) GROUP BY ALL),
+free AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.p = best.p WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, score FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    phrases, _, _ = collocations.mine(table(spark, sf, "documents"), longest=3, least=10, percent=50)
+    return collocations.best_of(phrases, 2000)
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{6,}')),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+many AS (SELECT doc_id, t, count(*) AS c, hex(coalesce(doc_id::VARCHAR, '') || ':' || t) AS x FROM run GROUP BY doc_id, t),
+crc AS (SELECT t, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+          lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)),
+          4294967295) AS h FROM many),
+word AS (SELECT CASE WHEN h % 199 = 0 THEN substr(t, 1, h % length(t)) || substr(t, h % length(t) + 2) ELSE t END AS word, c FROM crc),
+voc AS (SELECT word, sum(c)::BIGINT AS n FROM word WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM voc)),
+pair AS (SELECT a.word AS word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+         UNION SELECT less.word, voc.word, voc.n FROM less JOIN voc ON less.d = voc.word
+         UNION SELECT voc.word, less.word, less.n FROM less JOIN voc ON less.d = voc.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pair GROUP BY word),
+form AS (SELECT voc.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+         FROM voc LEFT JOIN best ON best.word = voc.word),
+walk AS (SELECT word, word AS here, 0 AS steps FROM form UNION ALL SELECT walk.word, form.form, steps + 1 FROM walk JOIN form ON form.word = walk.here WHERE form.form IS NOT NULL),
+last AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT form.word AS word, n, n_near, form, form_n, root FROM form JOIN last ON last.word = form.word
+""")
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf, "documents"), 6)
+    words = spelling.vocabulary(runs.select(spelling.misspelt(F.col("doc_id"), F.col("run"), 199).alias("word")), 6, 5)
+    return spelling.variants(words, 5)
+
+
+@query("op13_parity_join", r"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text,
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+       ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM doc),
+node AS (SELECT doc_id, s, len(s) AS n FROM (SELECT min(doc_id) AS doc_id, list_sort(s) AS s FROM sh WHERE len(s) > 0 GROUP BY list_sort(s))),
+one AS (SELECT doc_id, n, unnest(s) AS t FROM node),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.t = b.t AND a.doc_id < b.doc_id
+         AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM edge UNION SELECT x, b FROM reach JOIN edge ON y = a),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+same AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sh WHERE len(s) > 0 GROUP BY list_sort(s))
+SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, coalesce(c, rep, sh.doc_id) AS component_id
+FROM sh LEFT JOIN same ON list_sort(sh.s) = same.s AND len(sh.s) > 0 LEFT JOIN comp ON comp.x = rep
+""")
+def op13_parity_join(spark: SparkSession, sf: str) -> DataFrame:
+    return parity_join.joined(table(spark, sf, "documents"), k=4, percent=85)
