@@ -234,7 +234,7 @@ def may_link(met: DataFrame, near: DataFrame, sketched: DataFrame, percent: int)
             names, sizes = (group.column(c).to_numpy() for c in ("component", "n"))
             if (names == names[0]).all():
                 continue
-            own = [np.asarray(b) for b in group.column("bits").to_pylist()]
+            own = [np.array(b, np.int64).view(U64) for b in group.column("bits").to_pylist()]   # of signed numbers numpy counts the bits of the amount
             bits = np.stack([folded(b, min(map(len, own))) for b in own])
             apart = np.zeros((len(own), len(own)), np.int64)
             for w in range(bits.shape[1]):
