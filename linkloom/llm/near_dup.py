@@ -202,6 +202,7 @@ def may_link(met: DataFrame, near: DataFrame, bits: DataFrame) -> DataFrame:
         edges: list[tuple[int, int]] = []
         for group in grouped(batches, 3):
             names, x, y = (group.column(c).to_numpy() for c in ("component", "x", "y"))
+            x, y = x.view(U64), y.view(U64)   # of signed numbers numpy counts the bits of the amount
             unlike = np.bitwise_count(x[:, None] ^ x[None, :]) + np.bitwise_count(y[:, None] ^ y[None, :])
             edges += forest(unlike <= MAX_UNLIKE, names)
             if len(edges) > 50_000:
