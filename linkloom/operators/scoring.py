@@ -1,22 +1,20 @@
 """Outside models as hooks: pair scores, link-text choice, embeddings, sub-queries.
 
-A hook is the caller's function over pandas batches of (key, …) giving (key, answer, error). It sees
-only keys no cached answer covers; answers are joined back by key.
+A hook is the caller's function over pandas batches of (site, key, …) giving (key, answer) and, if it likes, error,
+fatal and cost. It sees only keys no cached answer covers, each once; its calls are written to a ledger, and answers are
+joined back from there by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.texts import cache_key
 from ..functions.vectors import unit
-
-Hook = Callable[[pd.DataFrame], pd.DataFrame]
+from ..session import stage
+from .ledger import Hook, Ledger, call_once, no_calls
 
 _NUMBERS = "array<double>"
 
@@ -75,45 +73,53 @@ def well_formed(summary: Column) -> Column:
 
 # ---- hooks -----------------------------------------------------------------------------------
 
-def run_hook(todo: DataFrame, hook: Hook, answer: str = "string") -> DataFrame:
-    """(key, answer, error) of the caller's function over Arrow batches."""
-    schema = f"site string, key string, answer {answer}, error string"
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = hook(pdf).reindex(columns=["key", "answer", "error"])
-            yield out.merge(pdf[["site", "key"]], on="key")[["site", "key", "answer", "error"]]
-
-    return todo.mapInPandas(call, schema)
-
-
 def failed_sites(answers: DataFrame) -> DataFrame:
     """Sites whose hook failed on more than a fifth of the calls: (site, calls, failed)."""
     per = answers.groupBy("site").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     return per.filter(F.col("failed") > fixed.FAILED_SHARE * F.col("calls"))
 
 
-def score_pairs(rows: DataFrame, cache: DataFrame, hook: Hook | None = None, version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """(rows with score columns, new well-formed answers to append as (site, key, response)).
+def score_pairs(rows: DataFrame, cache: DataFrame, hook: Hook | None = None, version: str = "1", attempts: int = 1) -> tuple[DataFrame, Ledger]:
+    """(rows with score columns, ledger of the calls).
 
-    Cached answers that are malformed count as missing. Rows without an answer stay unscored.
+    Cached answers that are malformed count as missing and are asked again. Rows without an answer stay unscored.
     """
     keyed = rows.withColumn("key", pair_key(version))
-    # the lower-cased language of a cached answer is not stored: its fields are read per row below
-    asked = keyed.select("site", "key", "lang", "state").dropDuplicates(["key"])
-    known = (asked.select("key", "lang").join(cache.select("key", "response"), "key")
-             .withColumn("s", summarize(F.col("response"), F.col("lang"))).filter(well_formed(F.col("s"))))
+    # the lower-cased language of a cached answer is not stored: its fields are read per key
+    langs = keyed.select("key", "lang").dropDuplicates(["key"])
+    good = well_formed(summarize(F.col("response"), F.col("lang")))
+    known = langs.join(cache.select("key", "response"), "key").filter(good).select("key", "response").dropDuplicates(["key"])
     if hook is None:
-        fresh = asked.select("site", "key", "lang").withColumn("response", F.lit("")).filter(F.lit(False))
+        ledger = no_calls(rows, "scores")
     else:
-        todo = asked.join(known.select("key"), "key", "left_anti").withColumn("state", F.to_json("state"))
-        fresh = (run_hook(todo, hook).filter("error is null").join(asked.select("key", "lang"), "key")
-                 .withColumnRenamed("answer", "response"))
-    fresh = fresh.select("site", "key", "response", "lang").withColumn("s", summarize(F.col("response"), F.col("lang"))).filter(well_formed(F.col("s")))
-    answers = known.select("key", "s").unionByName(fresh.select("key", "s"))
+        known = stage(known)
+        todo = keyed.select("site", "key", "lang", F.to_json("state").alias("state")).join(known.select("key"), "key", "left_anti")
+        ledger = call_once(todo, hook, "scores", payload=["lang", "state"], keep=["lang"], attempts=attempts,
+                           usable=well_formed(summarize(F.col("answer"), F.col("lang"))))
+    answers = langs.join(known.unionByName(responses(ledger).select("key", "response")), "key")
+    answers = answers.select("key", summarize(F.col("response"), F.col("lang")).alias("s"))
     scored = keyed.join(answers, "key", "left").select(
         *keyed.columns, *[F.col(f"s.{f}").alias(f) for f in ("score", "p_context", "p_anchor", "value", "p_cannibal", "verdict")])
-    return scored, fresh.select("site", "key", "response")
+    return scored, ledger
+
+
+def responses(ledger: Ledger) -> DataFrame:
+    """New rows of a cache of answers: (site, key, response)."""
+    return ledger.answers().select("site", "key", F.col("answer").alias("response"))
+
+
+def choose(offers: DataFrame, cache: DataFrame, hook: Hook | None = None, attempts: int = 1) -> tuple[DataFrame, Ledger]:
+    """(offers with the chosen phrase, ledger of the calls). offers: (site, …, lang, phrases, key, choice_state)."""
+    asked = offers.filter(F.size("phrases") > 0)
+    known = asked.join(cache.select("key", "response"), "key").filter(well_formed_choice()).select("key", "response").dropDuplicates(["key"])
+    if hook is None:
+        ledger = no_calls(offers, "choices")
+    else:
+        known = stage(known)
+        todo = asked.select("site", "key", "lang", "phrases", "choice_state").join(known.select("key"), "key", "left_anti")
+        ledger = call_once(todo, hook, "choices", payload=["lang", "phrases", "choice_state"], keep=["phrases"], attempts=attempts,
+                           usable=well_formed_choice("answer"))
+    return choose_link_text(offers, known.unionByName(responses(ledger).select("key", "response"))), ledger
 
 
 def choose_link_text(offers: DataFrame, cache: DataFrame) -> DataFrame:
@@ -128,10 +134,10 @@ def choose_link_text(offers: DataFrame, cache: DataFrame) -> DataFrame:
             .withColumn("phrase_p", F.when(F.col("_a").isNotNull(), p)).drop("_a", "response"))
 
 
-def well_formed_choice() -> Column:
+def well_formed_choice(response: str = "response") -> Column:
     """The chosen option exists among the phrases offered."""
     schema = "answers map<string,struct<choice:string,probabilities:map<string,double>>>"
-    a = F.map_values(F.from_json("response", schema)["answers"])[0]
+    a = F.map_values(F.from_json(response, schema)["answers"])[0]
     number = F.regexp_extract(a["choice"], "^f([0-9]+)$", 1).try_cast("int")
     return F.coalesce(a["probabilities"].isNotNull() & ((a["choice"] == "none") | number.between(1, F.size("phrases"))), F.lit(False))
 
@@ -142,21 +148,26 @@ def vector_key(text: Column, model: str, dims: int) -> Column:
     return cache_key(F.lit(model), F.lit(str(dims)), text)
 
 
-def embed(texts: DataFrame, cache: DataFrame, model: str, dims: int, hook: Hook | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts with unit vectors, new vectors to append). texts: (site, …, text).
+def embed(texts: DataFrame, cache: DataFrame, model: str, dims: int, hook: Hook | None = None, step: str = "vectors",
+          tolerant: bool = False, attempts: int = 1) -> tuple[DataFrame, Ledger]:
+    """(texts with unit vectors, ledger of the calls). texts: (site, …, text).
 
     One text per key is sent; without a hook only cached vectors are used and the rest stay null.
     """
     keyed = texts.withColumn("key", vector_key(F.col("text"), model, dims))
     stored = cache.select("key", "vector").dropDuplicates(["key"])
     if hook is None:
-        fresh = stored.filter(F.lit(False)).select(F.lit("").alias("site"), "key", "vector")
+        ledger = no_calls(texts, step, _NUMBERS)
     else:
-        todo = keyed.select("site", "key", "text").dropDuplicates(["key"]).join(stored, "key", "left_anti")
-        fresh = run_hook(todo, hook, _NUMBERS).filter("error is null").select(
-            "site", "key", unit(F.col("answer"), dims, 5).alias("vector"))
-    both = stored.unionByName(fresh.select("key", "vector"))
-    return keyed.join(both, "key", "left").withColumn("vector", unit(F.col("vector"), dims)), fresh
+        todo = keyed.select("site", "key", "text").join(stored.select("key"), "key", "left_anti")
+        ledger = call_once(todo, hook, step, payload=["text"], answer=_NUMBERS, usable=F.size("answer") > 0, attempts=attempts, tolerant=tolerant)
+    both = stored.unionByName(new_vectors(ledger, dims).select("key", "vector"))
+    return keyed.join(both, "key", "left").withColumn("vector", unit(F.col("vector"), dims)), ledger
+
+
+def new_vectors(ledger: Ledger, dims: int) -> DataFrame:
+    """New rows of a cache of vectors: (site, key, vector), at unit length and five digits."""
+    return ledger.answers().select("site", "key", unit(F.col("answer"), dims, 5).alias("vector"))
 
 
 def count_new(keys: DataFrame, cache: DataFrame, cost: float) -> DataFrame:
@@ -184,12 +195,12 @@ def parse_subqueries(content: Column) -> Column:
     the first, an unknown type becomes 'related'.
     """
     item = "array<struct<query:string,type:string>>"
-    plain = F.regexp_replace(F.trim(content), r"^```(?:json)?\s*|\s*```$", "")
+    plain = F.regexp_replace(F.trim(content), fixed.FENCE, "")
     listed = F.when(plain.startswith("["), F.from_json(plain, item)).otherwise(F.from_json(plain, f"subqueries {item}")["subqueries"])
     bad = F.exists(listed, lambda x: x["query"].isNull())
 
     def tidy(x: Column) -> Column:
-        q = F.regexp_replace(F.regexp_replace(x["query"], r"\s+", " "), "^[ \"'„”]+|[ \"'„”]+$", "")
+        q = F.regexp_replace(F.regexp_replace(x["query"], r"\s+", " "), fixed.QUERY_EDGE, "")
         return F.struct(q.alias("query"), F.when(x["type"].isin(fixed.SUBQUERY_TYPES), x["type"]).otherwise("related").alias("type"))
 
     clean = F.filter(F.transform(listed, tidy), lambda x: x["query"] != "")
@@ -198,3 +209,31 @@ def parse_subqueries(content: Column) -> Column:
         F.exists(kept, lambda y: F.lower(y["query"]) == F.lower(x["query"])), kept).otherwise(F.concat(kept, F.array(x))))
     n = F.size(first)
     return F.when(listed.isNotNull() & ~bad & n.between(fixed.SUBQUERIES_MIN, fixed.SUBQUERIES_MAX), first)
+
+
+def subquery_key(model: str, prompt: str) -> Column:
+    return cache_key(F.lit(model), F.lit(prompt), F.col("input"))
+
+
+def sub_queries(hubs: DataFrame, cache: DataFrame, model: str, prompt: str = "1", hook: Hook | None = None,
+                attempts: int = 1) -> tuple[DataFrame, Ledger]:
+    """(site, u, query, type, rank) of the hubs that have an answer, ledger of the calls.
+
+    hubs: pages with lang, clean_title, h1, meta and text; cache: (key, subqueries). The key holds the model, the prompt's
+    version and what the model sees. An answer that is no list of sub-queries is a failure and is not cached.
+    """
+    keyed = hubs.select("site", "u", model_input().alias("input")).withColumn("key", subquery_key(model, prompt))
+    known = cache.select("key", "subqueries").dropDuplicates(["key"])
+    if hook is None:
+        ledger = no_calls(hubs, "subqueries")
+    else:
+        todo = keyed.select("site", "key", "input").join(known.select("key"), "key", "left_anti")
+        ledger = call_once(todo, hook, "subqueries", payload=["input"], attempts=attempts, usable=parse_subqueries(F.col("answer")).isNotNull())
+    lists = keyed.select("site", "u", "key").join(known.unionByName(new_subqueries(ledger).select("key", "subqueries")), "key")
+    return lists.select("site", "u", F.posexplode("subqueries").alias("pos", "x")).select(
+        "site", "u", "x.query", "x.type", (F.col("pos") + 1).alias("rank")), ledger
+
+
+def new_subqueries(ledger: Ledger) -> DataFrame:
+    """New rows of a cache of sub-queries: (site, key, subqueries)."""
+    return ledger.answers().select("site", "key", parse_subqueries(F.col("answer")).alias("subqueries"))

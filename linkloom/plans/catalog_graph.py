@@ -321,7 +321,8 @@ SELECT 'shop' AS site, (SELECT count(*) FROM supplier) AS pages, count(*) FILTER
  (SELECT count(*) FROM events WHERE event_type = 'view') AS verified_ok, (SELECT count(*) FROM events) AS verified FROM scored2""")
 def snk06(spark, sf):
     pages = inp.table(spark, sf, "supplier").select(F.lit("shop").alias("site"))
-    m = tables.run_metrics(pages, _accepted(spark, sf), None, {"score": 0.1})
+    calls = inp.table(spark, sf, "orders").select(F.lit("shop").alias("site"), F.col("o_orderpriority").alias("step"), F.lit(0.5).alias("cost"))
+    m = tables.run_metrics(pages, _accepted(spark, sf), None, calls)
     older = m.withColumn("run_at", F.col("run_at") - F.expr("INTERVAL 1 DAY")).withColumn("links", F.lit(-1).cast("bigint"))
     e = inp.table(spark, sf, "events").select(F.lit("shop").alias("site"), F.when(F.col("event_type") == "view", "ok").otherwise("missing").alias("status"))
     return tables.project_rollup(m.union(older), e).select("site", "pages", "links", "broken", "verified_ok", "verified")

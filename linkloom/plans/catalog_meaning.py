@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.vectors import dot, hashed_words, unit
-from ..operators import clean, context as ctx, coverage as cov, graph, nearest, quality, scoring
+from ..operators import clean, context as ctx, coverage as cov, graph, ledger, nearest, quality, scoring
 from ..operators.passages import passages
 from ..session import stage
 from ..sources.records import console_totals
@@ -113,7 +114,18 @@ def ph06(spark, sf):
     return cov.coverage_candidates(stage(_covered(spark, sf)), known).select("query", "hub", "link", "picked")
 
 
-@query("ag17_merge_queries")
+@query("ag17_merge_queries", with_views(inp.VECTORS) + f"""
+, q AS (SELECT CAST(u AS INT) // 10 AS hub, CAST(u AS INT) AS num, row_number() OVER (PARTITION BY CAST(u AS INT) // 10 ORDER BY CAST(u AS INT) % 10) AS i, e FROM units),
+m AS (SELECT a.hub, list({{'i': a.i, 'j': b.i, 's': {_DOT}}}) AS m, max(a.i) AS n FROM q a JOIN q b ON a.hub = b.hub AND b.i < a.i GROUP BY a.hub),
+walk AS (SELECT hub, m, n, 1::BIGINT AS i, [1::BIGINT] AS kept, [1::BIGINT] AS leader FROM m
+  UNION ALL SELECT hub, m, n, i + 1, CASE WHEN best IS NULL THEN list_append(kept, i + 1) ELSE kept END, list_append(leader, coalesce(best, i + 1))
+  FROM (SELECT hub, m, n, i, kept, leader, list_sort(list_transform(list_filter(m, lambda x: x.i = i + 1 AND list_contains(kept, x.j) AND x.s >= 0.3),
+        lambda x: {{'s': -x.s, 'j': x.j}}))[1].j AS best FROM walk WHERE i < n)),
+l AS (SELECT hub, unnest(leader) AS leader, generate_subscripts(leader, 1) AS i FROM walk WHERE i = n),
+g AS (SELECT q.hub, leader, min_by(num, q.i) AS first, CAST(sum(num) FILTER (num % 10 < 5) AS BIGINT) AS clicks, CAST(sum(num * 2) FILTER (num % 10 < 5) AS BIGINT) AS impressions,
+  count(*) FILTER (num % 10 >= 5) AS written FROM q JOIN l ON l.hub = q.hub AND l.i = q.i GROUP BY q.hub, leader)
+SELECT 'vectors.example.com' AS site, CAST(hub AS VARCHAR) AS hub, row_number() OVER (PARTITION BY hub ORDER BY leader) - 1 AS pos, CAST(first AS VARCHAR) AS query,
+  CASE WHEN written > 0 THEN 'related' ELSE 'search' END AS type, CASE WHEN first % 10 >= 5 THEN 'ai' WHEN written > 0 THEN 'gsc+ai' ELSE 'gsc' END AS source, clicks, impressions FROM g""")
 def ag17(spark, sf):
     """Vectors as queries of a hub: the first half comes from a console, the rest is generated."""
     v = inp.unit_vectors(spark, sf)
@@ -139,6 +151,73 @@ def ud02(spark, sf):
     return b.select("item_id", (F.round(dot(v, v), 6) == 1).alias("filled"))
 
 
+# ---- calls of outside models -------------------------------------------------------------------
+
+def _timeouts(pdf):
+    """A stand-in scorer: a tenth of the answers is missing or malformed, more of them for some brands."""
+    import hashlib
+
+    def number(text, digits):
+        return int(hashlib.md5(text.encode()).hexdigest()[:digits], 16)
+    rows = []
+    for key, brand in zip(pdf["key"], pdf["brand"]):
+        h = number(key, 4) % 100
+        late = h < (30 if number(brand, 2) % 4 == 0 else 8)
+        rows.append((key, None if late else "{}" if h >= 96 else str(h), "timeout" if late else None, 0.001))
+    return pd.DataFrame(rows, columns=["key", "answer", "error", "cost"])
+
+
+@query("ud01_jn24_so03_call_ledger", """
+WITH li AS (SELECT DISTINCT p_brand AS brand, l_partkey || '-' || l_suppkey AS key, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey),
+asked AS (SELECT brand AS site, key, brand FROM li UNION ALL SELECT 'supplier ' || l_suppkey % 3, key, brand FROM li),
+sent AS (SELECT key, min(site) AS payer, ('0x' || substr(md5(key), 1, 4))::INT % 100 AS h, CASE WHEN ('0x' || substr(md5(any_value(brand)), 1, 2))::INT % 4 = 0 THEN 30 ELSE 8 END AS late
+  FROM asked GROUP BY key),
+done AS (SELECT key, payer, CASE WHEN h < late THEN 'timeout' WHEN h >= 96 THEN 'unexpected answer format: {}' END AS error, h FROM sent)
+SELECT site, count(*) AS calls, count(error) AS failed, round(0.001 * count(*) FILTER (payer = site), 6) AS cost, min(error) AS error, count(error) > 0.2 * count(*) AS stopped,
+ sum(CASE WHEN error IS NULL THEN h END)::BIGINT AS points FROM asked JOIN done USING (key) GROUP BY site""")
+def ud01(spark, sf):
+    """Every (part, supplier) pair is asked for by its brand and by a group of suppliers, and sent once."""
+    li = inp.table(spark, sf, "lineitem").join(inp.table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+    pairs = li.select(F.col("p_brand").alias("brand"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("key"), "l_suppkey").distinct()
+    asked = stage(pairs.select(F.explode(F.array("brand", F.concat(F.lit("supplier "), F.col("l_suppkey") % 3))).alias("site"), "key", "brand"))
+    calls = ledger.call_once(asked, _timeouts, "score", payload=["brand"], usable=F.col("answer").rlike("^[0-9]+$"))
+    points = asked.join(calls.answers().select("key", F.col("answer").cast("bigint").alias("points")), "key").groupBy("site").agg(F.sum("points").alias("points"))
+    return calls.by_site().join(points, "site", "left").select("site", "calls", "failed", "cost", "error", "stopped", "points")
+
+
+def _writer(pdf):
+    """A stand-in model: sub-queries made from a digest of what it sees; some lists are too short or too long."""
+    import hashlib
+    import json
+    kinds = ["related", "comparison", "cost", "how-to", "audience", "local", "definition", "problem", "odd"]
+    answers = []
+    for text in pdf["input"]:
+        m = hashlib.md5(text.encode()).hexdigest()
+        n = 3 + int(m[:2], 16) % 26
+        items = [{"query": f" {'Q' if i > 20 else 'q'}{i % 21}  {m[4:8]} ", "type": kinds[i % 9]} for i in range(n)]
+        body = json.dumps(items if int(m[3], 16) % 2 else {"subqueries": items})
+        answers.append(f"```json\n{body}\n```" if int(m[2], 16) % 2 else body)
+    return pd.DataFrame({"key": pdf["key"], "answer": answers})
+
+
+@query("ud03_sc26_sub_queries", """
+WITH hub AS (SELECT doc_id, md5(to_json({'language': CASE lang WHEN 'en' THEN 'English' WHEN 'pl' THEN 'Polish' ELSE lang END, 'title': left(text, 60), 'h1': source,
+  'description': left(text, 300), 'content_start': left(text, 1500)})) AS m FROM documents),
+list AS (SELECT doc_id, m, least(21, 3 + ('0x' || substr(m, 1, 2))::INT % 26) AS n FROM hub)
+SELECT doc_id, i + 1 AS rank, 'q' || i || ' ' || substr(m, 5, 4) AS query,
+ ['related', 'comparison', 'cost', 'how-to', 'audience', 'local', 'definition', 'problem', 'related'][i % 9 + 1] AS type
+FROM (SELECT doc_id, m, unnest(range(n)) AS i FROM list WHERE n BETWEEN 5 AND 20)""")
+def ud03(spark, sf):
+    """Every document as a hub; half of the answers are fenced, and lists of the wrong length are failures."""
+    docs = inp.table(spark, sf, "documents")
+    hubs = docs.select(F.lit("docs").alias("site"), F.col("doc_id").alias("u"), "lang", F.left("text", F.lit(60)).alias("clean_title"), F.col("source").alias("h1"),
+                       F.col("text").alias("meta"), "text")
+    cache = spark.createDataFrame([], "key string, subqueries array<struct<query:string,type:string>>")
+    _, calls = scoring.sub_queries(hubs, cache, "writer", "1", _writer)
+    again, _ = scoring.sub_queries(hubs, scoring.new_subqueries(calls), "writer", "1")   # a second run: all from the cache
+    return again.select(F.col("u").alias("doc_id"), "rank", "query", "type")
+
+
 # ---- search console ----------------------------------------------------------------------------
 
 _CONSOLE = """c AS (SELECT 'site' AS site, 'site/u' || user_id || '/' AS u, event_type AS query, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS clicks,

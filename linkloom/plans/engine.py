@@ -11,7 +11,9 @@ from ..functions import fixed
 from ..functions.texts import page_text, query_text
 from ..operators import candidates as cand
 from ..operators import clean, context as ctx, coverage as cov, graph, repair, scoring, selection
+from ..operators.ledger import FatalCallError, Ledger
 from ..operators.passages import passages
+from ..operators.scale import spread_join
 from ..session import ship_package, stage
 from ..sinks import briefs, report, tables
 
@@ -31,23 +33,38 @@ class Options:
 
 @dataclass
 class Hooks:
-    """The caller's models and their caches. A missing hook means: cached answers only."""
+    """The caller's models and their caches. A missing hook means: cached answers only.
+
+    `asked` caches generated sub-queries (key, subqueries); `writer` and `prompt` name the model that writes them and the
+    version of its prompt. A call that fails is sent `attempts` times in all.
+    """
     score: scoring.Hook | None = None
     choose: scoring.Hook | None = None
     embed: scoring.Hook | None = None
+    subqueries: scoring.Hook | None = None
     answers: DataFrame | None = None
     choices: DataFrame | None = None
     vectors: DataFrame | None = None
+    asked: DataFrame | None = None
     model: str = "model"
     dims: int = 768
     version: str = "1"
+    writer: str = "model"
+    prompt: str = "1"
+    attempts: int = 1
 
 
 @dataclass
 class Result:
-    """Tables of one run by name, and the new answers to append to the caches."""
+    """Tables of one run by name, and the new answers to append to the caches.
+
+    `calls` has the figures of every step and site; the sites in `stopped` are in no other table than `calls` and `failures`.
+    """
     tables: dict[str, DataFrame] = field(default_factory=dict)
     new_answers: dict[str, DataFrame] = field(default_factory=dict)
+    ledgers: dict[str, Ledger] = field(default_factory=dict)
+    calls: list[DataFrame] = field(default_factory=list)
+    stopped: DataFrame | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -94,33 +111,63 @@ class LinkEngine:
     def _cache(self, df: DataFrame | None, schema: str) -> DataFrame:
         return df if df is not None else self.spark.createDataFrame([], schema)
 
-    def page_vectors(self, context: DataFrame, hooks: Hooks) -> tuple[DataFrame, DataFrame]:
-        texts = context.select("site", "lang", "u", page_text(F.col("title"), F.col("h1"), F.col("meta"), F.col("text")).alias("text"))
-        return scoring.embed(texts, self._cache(hooks.vectors, "key string, vector array<double>"), hooks.model, hooks.dims, hooks.embed)
+    def account(self, res: Result, ledger: Ledger, new: DataFrame, allowed: float | None) -> None:
+        """Adds a step's calls to the run; a site with a larger share of failures than `allowed` is stopped."""
+        res.ledgers[ledger.step], res.new_answers[ledger.step] = ledger, new
+        figures = stage(ledger.by_site(allowed))
+        res.calls.append(figures)
+        gone = figures.filter("stopped").select("site")
+        if not gone.isEmpty():
+            res.stopped = stage(gone if res.stopped is None else gone.unionByName(res.stopped).distinct())
+
+    @staticmethod
+    def open_sites(res: Result, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Rows of the sites that are not stopped; `by` splits a large site."""
+        return rows if res.stopped is None else spread_join(rows, res.stopped, ["site"], "left_anti", by)
+
+    def _vectors(self, res: Result, rows: DataFrame, text, step: str, hooks: Hooks, by: list[str], allowed: float | None = 0.0) -> DataFrame:
+        """Rows with their vectors. A site that misses one is stopped, unless `allowed` is None."""
+        out, ledger = scoring.embed(self.open_sites(res, rows, by).withColumn("text", text), self._cache(hooks.vectors, "key string, vector array<double>"),
+                                    hooks.model, hooks.dims, hooks.embed, step, allowed is None, hooks.attempts)
+        self.account(res, ledger, scoring.new_vectors(ledger, hooks.dims), allowed)
+        return self.open_sites(res, out.drop("text", "key").filter("vector is not null"), by)
+
+    def page_vectors(self, res: Result, context: DataFrame, hooks: Hooks) -> DataFrame:
+        """Page vectors; a run goes on without those that fail."""
+        text = page_text(F.col("title"), F.col("h1"), F.col("meta"), F.col("text"))
+        pages = context.select("site", "lang", "u", "title", "h1", "meta", text.alias("_text"))
+        return self._vectors(res, pages, F.col("_text"), "page_vectors", hooks, ["u"], None).select("site", "lang", "u", "vector")
 
-    def _vectors(self, rows: DataFrame, text, hooks: Hooks) -> tuple[DataFrame, DataFrame]:
-        out, fresh = scoring.embed(rows.withColumn("text", text), self._cache(hooks.vectors, "key string, vector array<double>"),
-                                   hooks.model, hooks.dims, hooks.embed)
-        return out.drop("text", "key").filter("vector is not null"), fresh
+    def generated_queries(self, res: Result, hubs: DataFrame, hooks: Hooks, given: DataFrame | None) -> DataFrame | None:
+        """Sub-queries (site, u, query, type, rank): the given ones, and for other hubs those of the cache or the model."""
+        if hooks.subqueries is None and hooks.asked is None:
+            return given
+        todo = self.open_sites(res, hubs, ["u"])
+        if given is not None:
+            todo = todo.join(given.select("site", "u").distinct(), ["site", "u"], "left_anti")
+        found, ledger = scoring.sub_queries(todo, self._cache(hooks.asked, "key string, subqueries array<struct<query:string,type:string>>"),
+                                            hooks.writer, hooks.prompt, hooks.subqueries, hooks.attempts)
+        self.account(res, ledger, scoring.new_subqueries(ledger), fixed.FAILED_SHARE)
+        found = stage(found)
+        return found if given is None else found.unionByName(given.select(found.columns))
 
-    def meaning_pairs(self, context: DataFrame, existing: DataFrame, hooks: Hooks, *, console: DataFrame | None = None,
+    def meaning_pairs(self, res: Result, context: DataFrame, existing: DataFrame, hooks: Hooks, *, console: DataFrame | None = None,
                       generated: DataFrame | None = None, semantic: bool = False,
-                      options: Options = Options()) -> tuple[DataFrame, DataFrame | None, dict[str, DataFrame]]:
-        """(candidates, coverage items, new vectors). existing: (site, src, dst) pairs already known.
+                      options: Options = Options()) -> tuple[DataFrame, DataFrame | None]:
+        """(candidates, coverage items). existing: (site, src, dst) pairs already known.
 
         console: (site, u, query, clicks, impressions); generated: (site, u, query, type, rank).
         """
-        fresh: dict[str, DataFrame] = {}
-        found, fresh["passages"] = self._vectors(passages(context), F.col("passage"), hooks)
-        found = found.select("site", "lang", "u", "block", "vector")
-        found = stage(found)
+        found = self._vectors(res, passages(context), F.col("passage"), "passages", hooks, ["u"])
+        found = stage(found.select("site", "lang", "u", "block", "vector"))
         linked = graph.already_linked(context, graph.sitewide_links(context))
         flags = context.select("site", "u", "is_source", "is_target")
         parts, items = [], None
-        if console is not None or generated is not None:
-            hubs = cov.pick_hubs(context, options.hubs_re, options.hubs, options.hubs_max).select("site", "lang", "u")
-            asked = self._asked(hubs, console, generated)
-            with_vectors, fresh["queries"] = self._vectors(asked, query_text(F.col("query")), hooks)
+        if self._asks(hooks, console, generated):
+            hubs = cov.pick_hubs(context, options.hubs_re, options.hubs, options.hubs_max)
+            generated = self.generated_queries(res, hubs, hooks, generated)
+            asked = self._asked(hubs.select("site", "lang", "u"), console, generated)
+            with_vectors = stage(self._vectors(res, asked, query_text(F.col("query")), "queries", hooks, ["hub"]))
             merged = cov.merge_queries(with_vectors, self.cfg["fanout_merge_min"])
             vec = with_vectors.select("site", "hub", "query", "lang", "vector").dropDuplicates(["site", "hub", "query"])
             states = cov.answer_states(merged.join(vec, ["site", "hub", "query"]), found, flags, linked, self.cfg["fanout_answer_min"])
@@ -133,14 +180,18 @@ class LinkEngine:
             for p in parts:
                 known = known.union(p.select("site", "src", "dst"))
             name = cov.target_name(F.col("clean_title"), F.col("h1"))
-            names, fresh["names"] = self._vectors(context.filter("is_target").select("site", "lang", "u", name.alias("name")),
-                                                  query_text(F.col("name"), fixed.TOPIC_TASK), hooks)
+            names = self._vectors(res, context.filter("is_target").select("site", "lang", "u", name.alias("name")),
+                                  query_text(F.col("name"), fixed.TOPIC_TASK), "names", hooks, ["u"])
             sem = cov.semantic_candidates(names, found, flags, linked, known, self.cfg["semantic_min"])
             parts.append(sem.withColumn("subquery", F.lit("")).withColumn("anchor_type", F.lit("semantic")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out, items, fresh
+        return self.open_sites(res, out, ["src"]), items
+
+    @staticmethod
+    def _asks(hooks: Hooks, console: DataFrame | None, generated: DataFrame | None) -> bool:
+        return any(x is not None for x in (console, generated, hooks.subqueries, hooks.asked))
 
     @staticmethod
     def _asked(hubs: DataFrame, console: DataFrame | None, generated: DataFrame | None) -> DataFrame:
@@ -157,26 +208,32 @@ class LinkEngine:
             out = mine if out is None else out.unionByName(mine)
         return out
 
-    def with_link_text(self, cands: DataFrame, context: DataFrame, hooks: Hooks) -> tuple[DataFrame, DataFrame]:
-        """(candidates with phrases and the chosen phrase, new choices)."""
-        offers = cov.offered_phrases(cands, context)
-        cache = self._cache(hooks.choices, "key string, response string").select("key", "response")
-        asked = offers.filter(F.size("phrases") > 0)
-        fits = asked.join(cache, "key").filter(scoring.well_formed_choice()).select("key", "response").dropDuplicates(["key"])
-        fresh = fits.filter(F.lit(False))
-        if hooks.choose is not None:
-            todo = asked.join(fits.select("key"), "key", "left_anti").select("site", "key", "lang", "phrases", "choice_state").dropDuplicates(["key"])
-            fresh = (scoring.run_hook(todo, hooks.choose).filter("error is null").withColumnRenamed("answer", "response")
-                     .join(todo.select("key", "phrases"), "key").filter(scoring.well_formed_choice()).select("key", "response"))
-        return stage(scoring.choose_link_text(offers, fits.unionByName(fresh))), fresh
+    def with_link_text(self, res: Result, cands: DataFrame, context: DataFrame, hooks: Hooks) -> DataFrame:
+        """Candidates with phrases and the chosen phrase."""
+        offers = stage(cov.offered_phrases(cands, context))
+        chosen, ledger = scoring.choose(offers, self._cache(hooks.choices, "key string, response string"), hooks.choose, hooks.attempts)
+        self.account(res, ledger, scoring.responses(ledger), fixed.FAILED_SHARE)
+        return stage(self.open_sites(res, chosen, ["src"]))
 
     # ---- a whole run --------------------------------------------------------------------------
 
     def run(self, pages: DataFrame, hooks: Hooks, *, keywords: DataFrame | None = None, statuses: DataFrame | None = None,
             console: DataFrame | None = None, generated: DataFrame | None = None, semantic: bool = False,
             options: Options = Options()) -> Result:
-        """From pages to decided links, for every site of the table."""
+        """From pages to decided links, for every site of the table.
+
+        A site on which too many calls of a step fail leaves the run: it has rows in `calls` and `failures` only, and
+        the others finish. A fatal answer ends the run; the error carries the answers paid for so far.
+        """
         res = Result()
+        try:
+            return self._run(res, pages, hooks, keywords, statuses, console, generated, semantic, options)
+        except FatalCallError as problem:
+            problem.new_answers = {**res.new_answers, problem.ledger.step: problem.ledger.answers()}
+            raise
+
+    def _run(self, res: Result, pages: DataFrame, hooks: Hooks, keywords: DataFrame | None, statuses: DataFrame | None, console: DataFrame | None,
+             generated: DataFrame | None, semantic: bool, options: Options) -> Result:
         context = self.prepare(pages, options)
         pairs, resolved = self.candidates(context, keywords)
         rows = stage(cand.pair_rows(pairs, context))
@@ -187,12 +244,9 @@ class LinkEngine:
             broken = repair.broken_table(repair.suggest_pages(repair.broken_links(unknown, known, context), context), context)
             broken = stage(broken)
             rows = repair.without_repaired(rows, broken)
-            res.tables["broken"] = tables.broken_output(broken)
-        vectors, res.new_answers["page_vectors"] = self.page_vectors(context, hooks)
-        vectors = vectors.select("site", "lang", "u", "vector").filter("vector is not null")
-        vectors = stage(vectors)
+        vectors = stage(self.page_vectors(res, context, hooks))
         items = None
-        if console is not None or generated is not None or semantic:
+        if semantic or self._asks(hooks, console, generated):
             known_pairs = rows.select("site", "src", "dst")
             if broken is not None:
                 by_url = context.select("site", "u", "url")
@@ -200,24 +254,35 @@ class LinkEngine:
                          .join(by_url.toDF("site", "src", "source_url"), ["site", "source_url"])
                          .join(by_url.toDF("site", "dst", "suggested_url"), ["site", "suggested_url"]).select("site", "src", "dst"))
                 known_pairs = known_pairs.union(fixes)
-            found, items, fresh = self.meaning_pairs(context, known_pairs, hooks, console=console, generated=generated,
-                                                     semantic=semantic, options=options)
-            res.new_answers.update(fresh)
-            chosen, res.new_answers["choices"] = self.with_link_text(found, context, hooks)
+            found, items = self.meaning_pairs(res, context, known_pairs, hooks, console=console, generated=generated,
+                                              semantic=semantic, options=options)
+            chosen = self.with_link_text(res, found, context, hooks)
             extra = cand.pair_rows(chosen.filter("phrase is not null").withColumnRenamed("phrase", "anchor").drop("phrases", "key", "phrase_p", "choice_state"), context)
             rows = rows.unionByName(extra, allowMissingColumns=True)
             if items is not None:
                 items = cov.link_outcome(items, chosen)
-        rows = graph.with_similarity(rows, vectors)
-        scored, res.new_answers["scores"] = scoring.score_pairs(
-            rows, self._cache(hooks.answers, "key string, response string"), hooks.score, hooks.version)
-        decided = selection.select_links(scored.drop("key", "state"), self.cfg, options.max_links)
+        rows = stage(graph.with_similarity(self.open_sites(res, rows, ["src"]), vectors))
+        scored, ledger = scoring.score_pairs(rows, self._cache(hooks.answers, "key string, response string"), hooks.score, hooks.version, hooks.attempts)
+        self.account(res, ledger, scoring.responses(ledger), fixed.FAILED_SHARE)
+        decided = selection.select_links(self.open_sites(res, scored.drop("key", "state"), ["src"]), self.cfg, options.max_links)
         decided = stage(decided)
+        if res.stopped is not None:
+            pages, context, vectors = (self.open_sites(res, t, [c]) for t, c in ((pages, "url"), (context, "u"), (vectors, "u")))
+            items = items if items is None else self.open_sites(res, items, ["hub"])
+            broken = broken if broken is None else self.open_sites(res, broken, ["source_url"])
+            resolved = resolved if resolved is None else self.open_sites(res, resolved, ["keyword"])
+        calls = res.calls[0]
+        for figures in res.calls[1:]:
+            calls = calls.unionByName(figures)
+        res.tables["calls"] = calls
+        res.tables["failures"] = calls.filter("stopped").select("site", "step", "calls", "failed", "error")
+        if broken is not None:
+            res.tables["broken"] = tables.broken_output(broken)
         res.tables["recommendations"] = tables.recommendation_table(decided)
         res.tables["links"] = tables.links_table(decided)
         res.tables["decisions"] = selection.decision_counts(decided)
         res.tables["briefs"] = briefs.page_briefs(decided.filter("decision = 'accept'"), broken)
-        res.tables["metrics"] = tables.run_metrics(pages, decided, broken, {})
+        res.tables["metrics"] = tables.run_metrics(pages, decided, broken, calls)
         res.tables.update({f"report_{k}": v for k, v in report.report_tables(decided, context, vectors, self.cfg).items()})
         if resolved is not None:
             res.tables["keywords"] = cand.keyword_summary(resolved, decided)
@@ -244,10 +309,10 @@ class LinkEngine:
         if fanout or semantic:
             keys = passages(context).select("site", scoring.vector_key(F.col("passage"), hooks.model, hooks.dims).alias("key"))
             hubs = cov.pick_hubs(context, options.hubs_re, options.hubs, options.hubs_max)
-            if generated is not None:
-                todo = hubs.join(generated.select("site", "u").distinct(), ["site", "u"], "left_anti")
-            else:
-                todo = hubs
+            todo = hubs if generated is None else hubs.join(generated.select("site", "u").distinct(), ["site", "u"], "left_anti")
+            key = scoring.subquery_key(hooks.writer, hooks.prompt)
+            known = self._cache(hooks.asked, "key string, subqueries array<struct<query:string,type:string>>").select("key").distinct()
+            todo = todo.select("site", scoring.model_input().alias("input")).select("site", key.alias("key")).join(known, "key", "left_anti")
             out = (out.join(scoring.count_new(keys, vectors, fixed.COST_PER_PASSAGE).toDF("site", "passages_to_embed", "passage_cost"), "site", "left")
                    .join(hubs.groupBy("site").agg(F.count(F.lit(1)).alias("hubs")), "site", "left")
                    .join(todo.groupBy("site").agg(F.count(F.lit(1)).alias("hubs_to_ask")), "site", "left"))

@@ -47,8 +47,9 @@ def append_cache(rows: DataFrame, path: str) -> None:
     rows.withColumn("appended", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def run_metrics(pages: DataFrame, rows: DataFrame, broken: DataFrame | None, stats: dict[str, float], run_at: Column | None = None) -> DataFrame:
-    """One row per site: run time, version, pages, links, broken links, cost figures."""
+def run_metrics(pages: DataFrame, rows: DataFrame, broken: DataFrame | None, calls: DataFrame, run_at: Column | None = None) -> DataFrame:
+    """One row per site: run time, version, pages, links, broken links, and the cost of its calls by step as JSON.
+    calls: (site, step, cost)."""
     per = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     links = rows.groupBy("site").agg(F.count_if(F.col("decision") == "accept").alias("links"))
     out = per.join(links, "site", "left")
@@ -56,10 +57,12 @@ def run_metrics(pages: DataFrame, rows: DataFrame, broken: DataFrame | None, sta
         out = out.join(broken.groupBy("site").agg(F.count(F.lit(1)).alias("broken")), "site", "left")
     else:
         out = out.withColumn("broken", F.lit(0).cast("bigint"))
-    costs = F.to_json(F.create_map(*[F.lit(x) for kv in sorted(stats.items()) for x in kv])) if stats else F.lit("{}")
-    return (out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("links", "broken")})
+    by_step = calls.groupBy("site", "step").agg(F.round(F.sum("cost"), 6).alias("cost")).groupBy("site").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step", "cost"))))).alias("stats"))
+    return (out.join(by_step, "site", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("links", "broken")})
             .withColumn("run_at", run_at if run_at is not None else F.current_timestamp())
-            .withColumn("version", F.lit(__version__)).withColumn("stats", costs))
+            .withColumn("version", F.lit(__version__)).withColumn("stats", F.coalesce("stats", F.lit("{}")))
+            .select("site", "pages", "links", "broken", "run_at", "version", "stats"))
 
 
 def project_rollup(metrics: DataFrame, verified: DataFrame) -> DataFrame:
