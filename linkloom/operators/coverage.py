@@ -32,41 +32,44 @@ def top_queries(console: DataFrame, n: int = fixed.CONSOLE_PER_HUB) -> DataFrame
     return console.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-_MERGED = "site string, hub string, pos int, query string, type string, source string, clicks bigint, impressions bigint"
-
-
 def merge_queries(asked: DataFrame, minimum: float) -> DataFrame:
     """One list per hub: console queries, then generated ones, near-equal ones folded together.
 
-    asked: (site, hub, source 'gsc'/'ai', rank, query, type, clicks, impressions, vector). The result of a
-    step decides the next, so each hub's list (30 console and 20 generated queries at most) is folded in
-    one small group.
+    asked: (site, hub, source 'gsc'/'ai', rank, query, type, clicks, impressions, vector). A query joins the kept one
+    that it is most like (ties: the earlier) if that likeness reaches the minimum, else it is kept; so the order
+    decides. A hub's list (30 console and 20 generated queries at most) is one matrix of cosines; sums and labels of
+    the groups are aggregations.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_k=(pdf["source"] != "gsc").astype(int)).sort_values(["_k", "rank"])
-        kept: list[dict] = []
-        vectors: list[np.ndarray] = []
-        for r in pdf.to_dict("records"):
-            v = np.asarray(r["vector"], dtype=float)
-            near = np.array([v @ o for o in vectors])
-            best = int(near.argmax()) if len(near) else -1
-            console = r["source"] == "gsc"
-            if best >= 0 and near[best] >= minimum:
-                twin = kept[best]
-                if console:
-                    twin["clicks"] += r["clicks"]
-                    twin["impressions"] += r["impressions"]
-                elif twin["source"] == "gsc":
-                    twin.update(source="gsc+ai", type=r["type"])
-                continue
-            kept.append({"query": r["query"], "type": "search" if console else r["type"], "source": r["source"],
-                         "clicks": r["clicks"] if console else None, "impressions": r["impressions"] if console else None})
-            vectors.append(v)
-        out = pd.DataFrame(kept)
-        out = out.assign(site=pdf["site"].iloc[0], hub=pdf["hub"].iloc[0], pos=range(len(kept)))
-        return out[[c.strip().split(" ")[0] for c in _MERGED.split(",")]].astype({"clicks": "Int64", "impressions": "Int64"})
-
-    return asked.groupBy("site", "hub").applyInPandas(fold, _MERGED)
+    place = F.row_number().over(Window.partitionBy("site", "hub").orderBy(F.col("source") != "gsc", "rank", "query"))
+    rows = asked.withColumn("pos", place)
+    schema = rows.drop("vector").withColumn("leader", F.col("pos")).schema
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        leader = leaders(np.stack([np.asarray(v, dtype=float) for v in pdf["vector"]]), minimum)
+        return pdf.drop(columns="vector").assign(leader=pdf["pos"].to_numpy()[leader])
+
+    console, pos = F.col("source") == "gsc", F.col("pos")
+    grouped = rows.groupBy("site", "hub").applyInPandas(follow, schema).groupBy("site", "hub", "leader").agg(
+        F.min_by(F.struct("query", "type", "source"), pos).alias("own"), F.sum(F.when(console, F.col("clicks"))).alias("clicks"),
+        F.sum(F.when(console, F.col("impressions"))).alias("impressions"), F.min(F.when(~console, F.struct("pos", "type"))).alias("written"))
+    both = (F.col("own.source") == "gsc") & F.col("written").isNotNull()
+    kind = F.when(both | (F.col("own.source") != "gsc"), F.col("written.type")).otherwise("search")
+    number = F.row_number().over(Window.partitionBy("site", "hub").orderBy("leader")) - 1
+    return grouped.select("site", "hub", number.alias("pos"), F.col("own.query").alias("query"), kind.alias("type"),
+                          F.when(both, "gsc+ai").otherwise(F.col("own.source")).alias("source"), "clicks", "impressions")
+
+
+def leaders(vectors: np.ndarray, minimum: float) -> np.ndarray:
+    """Index of the kept row that each row of unit vectors joins, its own if it is kept."""
+    likeness = vectors @ vectors.T
+    out = np.arange(len(vectors))
+    for i in range(1, len(vectors)):
+        kept = np.flatnonzero(out[:i] == np.arange(i))
+        nearest = kept[likeness[i, kept].argmax()]
+        if likeness[i, nearest] >= minimum:
+            out[i] = nearest
+    return out
 
 
 def answer_states(queries: DataFrame, passages: DataFrame, pages: DataFrame, linked: DataFrame, minimum: float,
