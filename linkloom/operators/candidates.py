@@ -15,7 +15,7 @@ from .graph import already_linked, sitewide_links
 from .passages import shown_text, surroundings
 from .phrases import find_phrases, find_single_words
 from ..session import stage
-from .scale import spread_join
+from .scale import split_join, spread_join
 
 
 def link_blocks(context: DataFrame) -> DataFrame:
@@ -50,11 +50,11 @@ def likely_targets(keys: DataFrame, vocab: DataFrame, min_hits: int = 2) -> Data
     sizes = vocab.groupBy("site", "lang", "dst").agg(F.sum("n").alias("size"))
     need = F.least(F.lit(min_hits), F.col("size"))
     w = Window.partitionBy("site", "lang", "dst").orderBy(F.col("df").desc(), "key")
-    ranked = (weighed.join(sizes, ["site", "lang", "dst"]).withColumn("need", need)
-              .withColumn("top", F.row_number().over(w) == 1))
+    ranked = stage(weighed.join(sizes, ["site", "lang", "dst"]).withColumn("need", need)
+                   .withColumn("top", F.row_number().over(w) == 1))
     opening = ranked.filter(~F.col("top") | (F.col("n") >= F.col("need")))
     rest = ranked.filter(F.col("top") & (F.col("n") < F.col("need")))
-    opened = (keys.join(opening, ["site", "lang", "key"])
+    opened = (split_join(keys, opening, ["site", "lang", "key"], ["src"], ["dst"])
               .groupBy("site", "lang", "src", "dst").agg(F.sum("n").alias("hits"), F.first("need").alias("need")))
     extra = rest.select("site", "lang", "dst", "key", F.col("n").alias("more"))
     with_key = spread_join(opened, extra, ["site", "lang", "dst"], "left", ["src"])
@@ -198,9 +198,9 @@ def resolve_keywords(keywords: DataFrame, context: DataFrame) -> tuple[DataFrame
     asked = free.select("site", "pos", "keyword", "match", "lang",
                         content_words(F.col("keyword"), F.col("lang")).alias("kw"))
     names = _name_forms(context.filter("not archive"), F.translate(last_segment(F.col("url")), "-", " "))
-    left = asked.withColumn("key", F.explode(F.array_distinct(F.transform("kw", word_key))))
-    right = names.withColumn("key", F.explode(F.array_distinct(F.transform("words", word_key))))
-    touching = (left.join(right, ["site", "lang", "key"])
+    left = stage(asked.withColumn("key", F.explode(F.array_distinct(F.transform("kw", word_key)))))
+    right = stage(names.withColumn("key", F.explode(F.array_distinct(F.transform("words", word_key)))))
+    touching = (split_join(left, right, ["site", "lang", "key"], ["pos"], ["u", "form"])
                 .dropDuplicates(["site", "pos", "u", "form"]))
     scored = touching.withColumn("cover", covered_share(F.col("kw"), F.col("words"))).withColumn(
         "tight", covered_share(F.col("words"), F.col("kw"))).filter("cover >= 0.5")

@@ -15,6 +15,8 @@ from ..functions import fixed
 from ..functions.vectors import bind
 from ..functions.words import (by_lang, close_form, edge_word, escape_class, first_word, fold, is_filler, one_of, same_word,
                                strip_punct, tokens, word_key, words)
+from ..session import stage
+from .scale import split_join
 
 _OPEN = f"^[{escape_class(fixed.OPENERS)}]"
 _STOP = f"[{escape_class(fixed.SENTENCE_END + ',' + fixed.CLOSERS)}]$"
@@ -170,20 +172,21 @@ def find_phrases(texts: DataFrame, profiles: DataFrame) -> DataFrame:
 
     texts: (site, lang, src, block, text, own); profiles: (site, lang, u, vocab, names, distinctive).
     """
-    starts = phrase_starts(texts).filter("a is not null")
-    names = name_pairs(profiles.withColumnRenamed("u", "dst"))
+    starts = stage(phrase_starts(texts).filter("a is not null"))
+    names = stage(name_pairs(profiles.withColumnRenamed("u", "dst")))
     first, second = F.col("run")[0]["w"], F.col("run")[1]["w"]
-    joined = (starts.join(names, ["site", "lang", "a", "b"]).filter("src <> dst")
+    joined = (split_join(starts, names, ["site", "lang", "a", "b"], ["src", "block", "at"], ["dst"]).filter("src <> dst")
               .filter(F.exists("vocab", lambda v: same_word(v, first)) & F.exists("vocab", lambda v: same_word(v, second))))
     return best_per_pair(best_in_row(joined))
 
 
 def find_single_words(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """The one-word form, for names a user gave on purpose: an equi join on the word key."""
-    starts = phrase_starts(texts).withColumn("key", word_key(F.col("run")[0]["w"])).withColumn("run", F.slice("run", 1, 1))
-    names = (profiles.withColumnRenamed("u", "dst").filter(F.size("vocab") == 1)
-             .withColumn("key", word_key(F.col("vocab")[0])))
-    return best_per_pair(best_in_row(starts.join(names, ["site", "lang", "key"]).filter("src <> dst"), 1))
+    starts = stage(phrase_starts(texts).withColumn("key", word_key(F.col("run")[0]["w"])).withColumn("run", F.slice("run", 1, 1)))
+    names = stage(profiles.withColumnRenamed("u", "dst").filter(F.size("vocab") == 1)
+                  .withColumn("key", word_key(F.col("vocab")[0])))
+    joined = split_join(starts, names, ["site", "lang", "key"], ["src", "block", "at"], ["dst"])
+    return best_per_pair(best_in_row(joined.filter("src <> dst"), 1))
 
 
 # ---- link texts of a passage ------------------------------------------------------------------

@@ -9,9 +9,10 @@ from ..functions import fixed
 from ..functions.texts import context as context_of
 from ..functions.urls import is_file, last_segment
 from ..functions.words import content_words, word_key
+from ..session import stage
 from .candidates import covered_share
 from .passages import shown_text
-from .scale import spread_join
+from .scale import split_join, spread_join
 from .scoring import latest
 
 
@@ -66,8 +67,9 @@ def suggest_pages(broken: DataFrame, context: DataFrame) -> DataFrame:
                       (F.col("clean_title"), F.col("h1"), last_segment(F.col("url")))])
     names = (context.filter("not archive").select("site", "lang", "u", "url", F.explode(forms).alias("f"))
              .select("site", "lang", "u", "url", "f.words").filter(F.size("words") > 0).distinct())
-    touch = (asked.withColumn("key", F.explode(F.array_distinct(F.transform("clue", word_key))))
-             .join(names.withColumn("key", F.explode(F.array_distinct(F.transform("words", word_key)))), ["site", "lang", "key"])
+    sought = stage(asked.withColumn("key", F.explode(F.array_distinct(F.transform("clue", word_key)))))
+    held = stage(names.withColumn("key", F.explode(F.array_distinct(F.transform("words", word_key)))))
+    touch = (split_join(sought, held, ["site", "lang", "key"], ["clue"], ["u", "words"])
              .groupBy("site", "lang", "clue", "u", "url", "words").agg(F.lit(1).alias("_n")))
     scored = touch.withColumn("cover", covered_share(F.col("words"), F.col("clue"))).filter(F.col("cover") >= fixed.MIN_COVER)
     best = F.min_by(F.struct("u", "url"), F.struct((-F.col("cover")).alias("c"), (-F.size("words")).alias("n"), F.col("url").alias("p")))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SALTS = 16        # pieces a possibly hot join key is split into
+CELL = 8192       # rows of a side that meet as many of the other side in one cell of a heavy key
+LISTED = 10_000   # heavy keys that are broadcast; more are joined
 RANK_BUCKETS = 200
 
 
@@ -21,6 +25,40 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str, by: l
     return left.join(right, [*on, salt], how).drop(salt)
 
 
+def cut_cells(left: DataFrame, right: DataFrame, on: list[str], by_left: list[str], by_right: list[str],
+              cell: int = CELL) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides with a cell (_i, _j) to join on beside `on`, or None if no key has more than `cell` rows on a side.
+
+    The rows of each key are counted on both sides. A key with many rows is a grid: its left rows are cut into pieces
+    by the columns `by_left`, its right rows by `by_right`, and each pair of pieces is a cell, so a cell holds about
+    `cell` rows of each side however many the key has. A row is copied once per piece of the other side.
+    """
+    def many(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*on).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > cell)
+    pieces = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(1)) / cell).cast("int")
+    heavy = stage(many(left, "_l").join(many(right, "_r"), on, "full").select(*on, pieces("_l").alias("_p"), pieces("_r").alias("_q")))
+    found = heavy.limit(LISTED + 1).count()
+    if not found:
+        return None
+
+    def placed(rows: DataFrame, by: list[str], own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        marked = rows.join(F.broadcast(heavy), on, "left") if found <= LISTED else spread_join(rows, heavy, on, "left", by)
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        return marked.withColumn(mine, F.pmod(F.xxhash64(*by), n).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), m - 1))).drop("_p", "_q")
+    return placed(left, by_left, "_p", "_q", "_i", "_j"), placed(right, by_right, "_q", "_p", "_j", "_i")
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], by_left: list[str], by_right: list[str], cell: int = CELL) -> DataFrame:
+    """Inner join whose keys may be frequent on both sides: heavy keys are joined in cells, the others as they are.
+
+    Both sides are read twice (stage what is dear to compute); `by_left` and `by_right` tell the rows of a key apart.
+    """
+    cells = cut_cells(left, right, on, by_left, by_right, cell)
+    if cells is None:
+        return left.join(right, on)
+    return cells[0].join(cells[1], [*on, "_i", "_j"]).drop("_i", "_j")
+
+
 def running_counts(cells: DataFrame, part: list[str], order: list[str], sums: list[str]) -> DataFrame:
     """Sum of each column over all earlier cells of the part, as `before_<column>`.
 
