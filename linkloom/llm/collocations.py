@@ -71,9 +71,21 @@ def word_table(docs: DataFrame, salt: int) -> DataFrame:
 
 
 def ranked(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the most frequent words, sorted, and their ranks from 1."""
-    top = [r.code for r in table.orderBy(F.desc("n"), "code").limit(RANKED).select("code").collect()]
-    codes = np.array(top, np.int64).view(U64)
+    """Numbers of the most frequent words, at most RANKED, sorted, and their ranks from 1.
+
+    Words are counted by eighths of powers of two of their frequency; the words of the highest of these steps that hold no
+    more than RANKED together are gathered. Words with a thousandth of all occurrences are always among them.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.step)
+    low, held = None, 0
+    for r in sizes:
+        held += r.words
+        if held > RANKED:
+            break
+        low = r.step
+    rows = [] if low is None else table.filter(step >= low).select("code", "n").collect()
+    codes = np.array([r.code for r in sorted(rows, key=lambda r: (-r.n, r.code))], np.int64).view(U64)
     order = np.argsort(codes)
     return codes[order], (order + 1).astype(U64)
 
