@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.urls import is_archive
 from ..functions.vectors import cosine
+from ..session import stage
 from .scale import spread_join
 
 
@@ -131,3 +132,24 @@ def graph_summary(summary: DataFrame, today: DataFrame, new: DataFrame, near: Da
             .groupBy("site").agg(F.count(F.lit(1)).alias("close_unlinked")))
     return (counts.join(med_today, "site", "left").join(med_new, "site", "left").join(gaps, "site", "left")
             .withColumn("close_unlinked", F.coalesce("close_unlinked", F.lit(0))))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, unit) of every node of the undirected links (a, b): the smallest node it is connected with.
+
+    Every node points to a node of its unit that is not larger. A round looks at the pointers' pointers around each
+    node and moves the node, and what it points to, to the smallest of them; distances halve, so the rounds grow with
+    the logarithm of the longest path. Each round is a stored table.
+    """
+    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")))
+    while True:
+        far = now.join(now.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+        around = both.join(far.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        seen = far.join(around, "node").withColumn("low", F.least("far", "near"))
+        moves = seen.select("node", "low").unionByName(seen.select(F.col("to").alias("node"), "low"))
+        moved = stage(now.join(moves.groupBy("node").agg(F.min("low").alias("low")), "node").select(
+            "node", F.least("to", "low").alias("to"), (F.col("low") < F.col("to")).alias("moved")))
+        now = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return now.select("node", F.col("to").alias("unit"))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..session import stage
+from .graph import connected
 from .scale import spread_join
 
+TOGETHER = 50_000   # rows that depend on each other and are settled in one task
+
 
 def _c(name: str) -> Column:
     return F.col(name)
@@ -77,23 +83,82 @@ def _filled(accepted: DataFrame, group: list[str], k: int, name: str) -> DataFra
 
 
 def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame:
-    """Greedy choice in the common order, computed in rounds: `passing` plus `reason` ('' = accepted).
+    """Greedy choice in the common order: `passing` plus `reason` ('' = accepted).
 
     passing needs the pair, anchor, score, p_context, similarity and, for the rows free of the target
-    limit, a non-empty keyword. A rejected row uses up no limit, so plain ranks would be wrong. Each
-    round accepts every open row that no open or accepted row can push out (best of its phrase, among
-    the first of its page and of its target) and rejects open rows behind a full group. The best open
-    row always settles, so the rounds end with the sequential result. Each round writes its state to the shared folder.
+    limit, a non-empty keyword. A rejected row uses up no limit, so plain ranks would be wrong. Rows depend on each
+    other only inside a site, there only over pages and over targets with more rows than their limit; what is connected
+    that way and has at most TOGETHER rows is settled one by one in one task, several such units side by side. Larger
+    units are settled in rounds over all tasks. Either way the result is the sequential one.
     """
-    phrase, page, target = ["site", "source_url", "low"], ["site", "source_url"], ["site", "target_url"]
     exempt = F.coalesce(_c("keyword") != "", F.lit(False)) if "keyword" in passing.columns else F.lit(False)
     slim = passing.select(*PAIR, F.lower("anchor").alias("low"), _place().alias("place"), exempt.alias("exempt"))
 
     if not max_per_target:  # without the target limit one pass is exact
-        firsts = _best(slim, phrase, 1).drop("_rn")
-        accepted = _best(firsts, page, max_links).drop("_rn")
+        firsts = _best(slim, ["site", "source_url", "low"], 1).drop("_rn")
+        accepted = _best(firsts, ["site", "source_url"], max_links).drop("_rn")
         return _reasons(slim, accepted, max_links, max_per_target)
 
+    slim = stage(slim)
+    marked = stage(units(slim, max_per_target))
+    small, large = marked.filter("unit is not null"), marked.filter("unit is null").drop("unit")
+    several = max(1, -(-small.count() // TOGETHER))
+    one_by_one = small.withColumn("part", F.pmod(F.xxhash64("site", "unit"), F.lit(4 * several)))
+    out = one_by_one.select("part", *PAIR, "low", "exempt", "place").groupBy("part").applyInPandas(
+        _sequential(max_links, max_per_target), "site string, source_url string, target_url string, reason string")
+    return out if large.isEmpty() else out.unionByName(_in_rounds(large, max_links, max_per_target))
+
+
+def units(slim: DataFrame, max_per_target: int) -> DataFrame:
+    """Rows plus `unit`, the rows that depend on each other: the site if it is small, else a connected part of it; null
+    if that is large, too."""
+    sizes = slim.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
+    sized = spread_join(slim, sizes, ["site"], "inner", PAIR[1:])
+    whole = sized.filter(F.col("_n") <= TOGETHER).drop("_n").withColumn("unit", F.lit(0).cast("bigint"))
+    rest = sized.filter(F.col("_n") > TOGETHER).drop("_n")
+    if rest.isEmpty():
+        return whole
+    rest = stage(rest)
+    # numbers stand for pages and targets; should two share one, their units are one, which changes nothing
+    page, target = F.xxhash64(F.lit("page"), "site", "source_url"), F.xxhash64(F.lit("target"), "site", "target_url")
+    full = rest.groupBy("site", "target_url").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_per_target).select("site", "target_url")
+    bound = spread_join(rest, full, ["site", "target_url"], "left_semi", ["source_url"])
+    parts = connected(bound.select(page.alias("a"), target.alias("b")))
+    placed = rest.withColumn("node", page).join(parts, "node", "left").withColumn("unit", F.coalesce("unit", "node")).drop("node")
+    large = stage(placed.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TOGETHER).select("unit", F.lit(True).alias("_large")))
+    cut = spread_join(placed, large, ["unit"], "left", PAIR[1:]).withColumn("unit", F.when(F.col("_large").isNull(), F.col("unit"))).drop("_large")
+    return whole.unionByName(cut.select(whole.columns))
+
+
+def _sequential(max_links: int, max_per_target: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows in the common order; each sees the limits that the accepted ones before it have used up."""
+        order = sorted(range(len(pdf)), key=lambda i: tuple(places[i].values())) if (places := pdf["place"].tolist()) else []
+        phrases: set = set()
+        pages, targets = Counter(), Counter()
+        reasons = [""] * len(pdf)
+        sites, sources, aims, lows, free = (pdf[c].tolist() for c in ("site", "source_url", "target_url", "low", "exempt"))
+        for i in order:
+            page, target = (sites[i], sources[i]), (sites[i], aims[i])
+            if (*page, lows[i]) in phrases:
+                reasons[i] = "duplicate_phrase"
+            elif pages[page] >= max_links:
+                reasons[i] = "limit"
+            elif targets[target] >= max_per_target and not free[i]:
+                reasons[i] = "target_limit"
+            else:
+                phrases.add((*page, lows[i]))
+                pages[page] += 1
+                targets[target] += 1
+        return pdf[PAIR].assign(reason=reasons)
+    return run
+
+
+def _in_rounds(slim: DataFrame, max_links: int, max_per_target: int) -> DataFrame:
+    """Each round accepts every open row that no open or accepted row can push out (best of its phrase, among the first
+    of its page and of its target) and rejects open rows behind a full group. The best open row always settles, so the
+    rounds end with the sequential result. Each round writes its state to the shared folder."""
+    phrase, page, target = ["site", "source_url", "low"], ["site", "source_url"], ["site", "target_url"]
     open_rows = slim = stage(slim)
     accepted = open_rows.filter(F.lit(False))
     while not open_rows.isEmpty():
