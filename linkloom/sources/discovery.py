@@ -40,26 +40,32 @@ def sitemap_urls(files: DataFrame, roots: DataFrame) -> DataFrame:
     return pages.select("site", F.col("loc").alias("url")).distinct()
 
 
-def robots_rules(files: DataFrame, agent: str = "linkloom") -> DataFrame:
-    """(site, body) → per site the rules that bind the agent, in file order, and the sitemaps it names:
-    (site, rules array<struct<path, allow>>, sitemaps).
-
-    A blank line or a user-agent line after rules closes a group. The first group naming the agent
-    binds, else the first group for everyone. The window runs over the lines of one file.
-    """
+def _robots_lines(files: DataFrame) -> DataFrame:
+    """(site, pos, kind, value) of the lines of robots files that say something."""
     line = F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "raw")
     parts = files.select("site", line).select("site", "pos", "raw", F.trim(F.regexp_replace("raw", "#.*", "")).alias("line"))
     key = F.lower(F.trim(F.regexp_extract("line", "^([^:]*):", 1)))
     kind = (F.when(F.trim("raw") == "", "blank").when(key == "user-agent", "agent")
             .when(key.isin("allow", "disallow"), key).when(key.isin("crawl-delay", "request-rate"), "other")
             .when(key == "sitemap", "sitemap"))
-    rows = parts.select("site", "pos", kind.alias("kind"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value")).filter("kind is not null")
-    maps = rows.filter("kind = 'sitemap'").groupBy("site").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda r: r["value"]).alias("sitemaps"))
+    return parts.select("site", "pos", kind.alias("kind"), F.trim(F.regexp_extract("line", "^[^:]*:(.*)$", 1)).alias("value")).filter("kind is not null")
+
+
+def robots_sitemaps(files: DataFrame) -> DataFrame:
+    """(site, body) → the sitemaps a site's robots file names: (site, pos, url)."""
+    return _robots_lines(files).filter("kind = 'sitemap'").select("site", "pos", F.col("value").alias("url"))
+
+
+def robots_rules(files: DataFrame, agent: str = "linkloom") -> DataFrame:
+    """(site, body) → the rules that bind the agent, one row each: (site, pos, path, allow).
+
+    A blank line or a user-agent line after rules closes a group. The first group naming the agent
+    binds, else the first group for everyone. The window runs over the lines of one file.
+    """
     w = Window.partitionBy("site").orderBy("pos")
-    flow = rows.filter("kind <> 'sitemap'")
+    flow = _robots_lines(files).filter("kind <> 'sitemap'")
     starts = (F.col("kind") == "blank") | ((F.col("kind") == "agent") & F.lag("kind").over(w).isin("allow", "disallow", "other"))
-    grouped = flow.withColumn("_new", starts.cast("int")).withColumn("part", F.sum("_new").over(w))
+    grouped = flow.withColumn("_new", F.coalesce(starts, F.lit(False)).cast("int")).withColumn("part", F.sum("_new").over(w))
     w_part = Window.partitionBy("site", "part").orderBy("pos")
     named = grouped.withColumn("_agents", F.count_if(F.col("kind") == "agent").over(w_part))
     agents = (grouped.filter("kind = 'agent'").groupBy("site", "part")
@@ -67,23 +73,29 @@ def robots_rules(files: DataFrame, agent: str = "linkloom") -> DataFrame:
                    F.max((F.col("value") != "") & F.contains(F.lit(agent.lower()), F.lower("value"))).alias("mine")))
     rank = F.struct((~(F.col("mine") & ~F.col("everyone"))).alias("m"), F.col("part").alias("p"))
     bound = agents.filter("mine or everyone").groupBy("site").agg(F.min_by("part", rank).alias("part"))
-    rule = F.struct("pos", F.col("value").alias("path"), ((F.col("kind") == "allow") | (F.col("value") == "")).alias("allow"))
-    rules = (named.filter("kind in ('allow', 'disallow') and _agents > 0").join(bound, ["site", "part"])
-             .groupBy("site").agg(F.transform(F.array_sort(F.collect_list(rule)), lambda r: F.struct(r["path"].alias("path"), r["allow"].alias("allow"))).alias("rules")))
-    return files.select("site").distinct().join(rules, "site", "left").join(maps, "site", "left")
+    allow = (F.col("kind") == "allow") | (F.col("value") == "")
+    return (named.filter("kind in ('allow', 'disallow') and _agents > 0").join(bound, ["site", "part"])
+            .select("site", "pos", F.col("value").alias("path"), allow.alias("allow")))
 
 
-def is_allowed(rules: Column, url: Column) -> Column:
-    """First rule whose path opens the address decides; no rule allows."""
-    path = target_path(url)
-    hit = F.get(F.filter(rules, lambda r: (r["path"] == "*") | path.startswith(r["path"])), F.lit(0))
-    return F.coalesce(hit["allow"], F.lit(True))
+def path_prefixes(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(site, url, path): for every address the beginnings of its path that are as long as some rule of its site.
+
+    What an address takes part in is bounded by the length of its path, however many rules a site has.
+    """
+    lengths = rules.groupBy("site").agg(F.collect_set(F.length("path")).alias("lengths"))
+    asked = urls.select("site", "url").distinct().withColumn("_path", target_path(F.col("url")))
+    fit = F.filter("lengths", lambda n: n <= F.length("_path"))
+    beginnings = F.transform(fit, lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    return spread_join(asked, lengths, ["site"], "inner", ["url"]).select("site", "url", F.explode(beginnings).alias("path"))
 
 
 def with_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """`allowed` for every (site, url); sites without a robots file allow everything."""
-    joined = spread_join(urls, rules.select("site", "rules"), ["site"], "left", ["url"])
-    return joined.withColumn("allowed", is_allowed(F.col("rules"), F.col("url"))).drop("rules")
+    """`allowed` for every (site, url): the first rule whose path opens the address decides, '*' opens all; no rule allows."""
+    path = F.when(F.col("path") == "*", "").otherwise(F.col("path"))
+    first = rules.withColumn("path", path).groupBy("site", "path").agg(F.min(F.struct("pos", "allow")).alias("rule"))
+    hits = spread_join(path_prefixes(urls, first), first, ["site", "path"], "inner", ["url"]).groupBy("site", "url").agg(F.min("rule").alias("rule"))
+    return urls.join(hits, ["site", "url"], "left").withColumn("allowed", F.coalesce("rule.allow", F.lit(True))).drop("rule")
 
 
 def skip_reason() -> Column:
