@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import stage
 from .scale import row_numbers, running_counts, spread_join
 from .selection import passes
 
@@ -37,8 +38,8 @@ def backfill(sampled: DataFrame, rows: DataFrame) -> DataFrame:
 def stratified_sample(rows: DataFrame, n: int = 40, seed: int = 42) -> DataFrame:
     """n rows, evenly from five score slices of each match type of a site, shuffled inside a slice.
 
-    Shortfalls are filled from slices with rows left: slices are served round by round. The score rank
-    and the order in a slice are seeded hashes, so the same input gives the same sample.
+    Shortfalls are filled from slices with rows left: slices are served round by round. Equal scores and the
+    order in a slice go by digests, so the same input gives the same sample on every engine.
     """
     base = rows.withColumn("_score", F.coalesce(F.col("score").try_cast("double"), F.lit(0.0))).withColumn(
         "anchor_type", F.coalesce("anchor_type", F.lit("")))
@@ -46,7 +47,7 @@ def stratified_sample(rows: DataFrame, n: int = 40, seed: int = 42) -> DataFrame
     sizes = rows.groupBy("site", F.coalesce("anchor_type", F.lit("")).alias("anchor_type")).agg(F.count(F.lit(1)).alias("_n"))
     bucket = F.ceil(fixed.SAMPLE_BINS * F.col("_rn") / F.col("_n")) - 1
     cut = spread_join(ranked, sizes, ["site", "anchor_type"], "inner", PAIR[1:]).withColumn("bucket", bucket.cast("int"))
-    lot = F.xxhash64(F.lit(seed), *PAIR[1:])
+    lot = F.md5(F.concat_ws("|", F.lit(str(seed)), *PAIR[1:]))
     inside = Window.partitionBy("site", "anchor_type", "bucket").orderBy("_lot", *PAIR[1:])
     # no slice gives more than n rows: rows beyond that cannot be served in any round
     served = cut.withColumn("_lot", lot).withColumn("_round", F.row_number().over(inside)).filter(F.col("_round") <= n)
@@ -104,24 +105,25 @@ def auc(values: DataFrame, by: list[str] = ["signal"]) -> DataFrame:
 def auc_intervals(values: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """90% bootstrap interval of the AUC per signal: (signal, low, high).
 
-    A replicate draws as many rows as there are labels, with replacement. Draws are seeded hashes of
-    (signal, replicate, draw), spread over tasks; they meet the labels by row number, and a replicate is
-    counted per value before its AUC is taken. Replicates of one class are skipped.
+    Bayesian bootstrap: a row weighs an exponential draw in each replicate, so k rows with one value and label weigh a
+    gamma draw of shape k (Wilson and Hilferty's approximation). Rows are counted per value and label first; each such
+    cell draws from a digest of (seed, signal, value, label, replicate), and running sums go over ranges of values, so
+    nothing is as long as the label table. Signals whose labels are all alike are left out.
     """
-    marked = values.withColumn("_id", F.xxhash64("signal", "v", "label"))
-    cells = marked.groupBy("signal", "v", "label").agg(F.count(F.lit(1)).alias("n"))
-    spans = running_counts(cells.withColumn("_l", F.col("label").cast("int")), ["signal"], ["v", "_l"], ["n"]).drop("_l")
-    totals = cells.groupBy("signal").agg(F.sum("n").alias("total"))
-    spans = spans.select("signal", "v", "label", F.posexplode(F.sequence(F.col("before_n"), F.col("before_n") + F.col("n") - 1)).alias("_p", "row"))
-    draws = (totals.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
-             .repartition("signal", "rep").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
-             .withColumn("row", F.pmod(F.xxhash64(F.lit(seed), "signal", "rep", "draw"), F.col("total"))))
-    drawn = draws.join(spans.drop("_p"), ["signal", "row"])
-    per_value = drawn.groupBy("signal", "rep", "v").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    w = Window.partitionBy("signal", "rep").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_value.withColumn("_b", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    reps = ranked.groupBy("signal", "rep").agg(F.sum(F.col("pos") * (F.col("_b") + F.col("neg") / 2)).alias("_w"),
-                                               F.sum("pos").alias("_g"), F.sum("neg").alias("_n"))
+    cells = values.groupBy("signal", "v", "label").agg(F.count(F.lit(1)).alias("n"))
+    drawn = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "signal", F.round(F.col("v") * 1_000_000).cast("bigint").cast("string"),
+                             F.col("label").cast("string"), F.col("rep").cast("string")))
+    # four uniform draws make a nearly normal one
+    uniform = [F.conv(F.substring(F.col("_m"), 1 + 8 * i, 8), 16, 10).cast("double") / 4294967296 for i in range(4)]
+    normal = (uniform[0] + uniform[1] + uniform[2] + uniform[3] - 2) * 3 ** 0.5
+    root = F.greatest(F.lit(0.0), 1 - 1 / (9 * F.col("n")) + F.col("_z") / (3 * F.sqrt("n")))
+    weighed = drawn.withColumn("_m", mark).withColumn("_z", normal).withColumn("w", F.col("n") * F.pow(root, F.lit(3.0)))
+    per_value = stage(weighed.groupBy("signal", "rep", "v").agg(
+        F.sum(F.when(F.col("label"), F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("label"), 0.0).otherwise(F.col("w"))).alias("neg")))
+    run = running_counts(per_value, ["signal", "rep"], ["v"], ["neg"])
+    reps = run.groupBy("signal", "rep").agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("_w"),
+                                            F.sum("pos").alias("_g"), F.sum("neg").alias("_n"))
     both = reps.filter("_g > 0 and _n > 0").withColumn("a", F.col("_w") / (F.col("_g") * F.col("_n")))
     q = F.percentile("a", F.array(F.lit(0.05), F.lit(0.95)))
     return both.groupBy("signal").agg(q.alias("q")).select("signal", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -90,7 +90,8 @@ def row_numbers(df: DataFrame, part: list[str], value: str, tie: list[str], name
 
     Equal values are split by hash range, so neither a large part nor a hot value ends in one task.
     """
-    slot = df.withColumn("_h", F.xxhash64(*tie)).withColumn("_slot", F.shiftright("_h", 56).cast("int"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *tie)), 1, 15), 16, 10).cast("bigint")
+    slot = df.withColumn("_h", digest).withColumn("_slot", F.shiftright("_h", 52).cast("int"))
     keys = [*part, value, "_slot"]
     cells = slot.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     starts = running_counts(cells, part, [value, "_slot"], ["n"]).drop("n")
