@@ -12,12 +12,6 @@ from . import inputs as inp
 from .catalog_text import _EXC_SQL, _KEY_SQL, _REASON, SHOP
 from .registry import query, with_views
 
-_OSITE = """
-, osize AS (SELECT site, lang, count(*) AS n FROM opages GROUP BY ALL),
-sitewide AS (SELECT site, lang, dst AS link, count(*) AS pages FROM oother GROUP BY ALL),
-menu AS (SELECT s.* FROM sitewide s JOIN osize USING (site, lang) WHERE pages >= greatest(2, 0.3 * n))"""
-
-
 # ---- cleaning ----------------------------------------------------------------------------------
 
 _TEMPLATES = with_views(inp.DOCS) + f"""
@@ -76,16 +70,32 @@ def ag02(spark, sf):
 
 # ---- edges and summaries -----------------------------------------------------------------------
 
-@query("ag03_sitewide_links", with_views(inp.ORDERS) + _OSITE + " SELECT site, lang, link, pages FROM menu")
+# links outside the content as in menus: an order links to one of four menu pages for each of its lines
+_MENU = """
+, omenu AS (SELECT DISTINCT site, src, lang, site || '/menu/' || least(CAST(split_part(supp, '/', 3) AS INT) % 25, 3) AS dst FROM oraw),
+osize AS (SELECT site, lang, count(*) AS n FROM opages GROUP BY ALL),
+menu AS (SELECT m.site, m.lang, dst AS link, count(*) AS pages FROM omenu m JOIN osize o ON o.site = m.site AND o.lang = m.lang GROUP BY m.site, m.lang, dst, n
+  HAVING count(*) >= greatest(2, 0.3 * n))"""
+
+
+def _menu_pages(spark, sf):
+    links = inp.order_links(spark, sf).filter("not in_content")
+    page = F.concat("site", F.lit("/menu/"), F.least(F.split_part("dst", F.lit("/"), F.lit(3)).cast("int") % 25, F.lit(3)))
+    menus = links.groupBy("site", F.col("src").alias("u")).agg(F.sort_array(F.collect_set(page)).alias("_menu"))
+    pages = inp.order_pages(spark, sf).join(menus, ["site", "u"], "left")
+    return pages.withColumn("other_links", F.coalesce("_menu", F.array().cast("array<string>"))).drop("_menu")
+
+
+@query("ag03_sitewide_links", with_views(inp.ORDERS) + _MENU + " SELECT site, lang, link, pages FROM menu")
 def ag03(spark, sf):
-    return graph.sitewide_links(inp.order_pages(spark, sf))
+    return graph.sitewide_links(_menu_pages(spark, sf))
 
 
-@query("jn03_jn04_already_linked", with_views(inp.ORDERS) + _OSITE + """
-, local AS (SELECT o.site, src, dst FROM oother o LEFT JOIN menu m ON m.site = o.site AND m.lang = o.lang AND m.link = o.dst WHERE m.link IS NULL)
+@query("jn03_jn04_already_linked", with_views(inp.ORDERS) + _MENU + """
+, local AS (SELECT o.site, src, dst FROM omenu o LEFT JOIN menu m ON m.site = o.site AND m.lang = o.lang AND m.link = o.dst WHERE m.link IS NULL)
 SELECT site, src, dst FROM ocontent UNION SELECT site, src, dst FROM local""")
 def jn03(spark, sf):
-    p = inp.order_pages(spark, sf)
+    p = _menu_pages(spark, sf)
     return graph.already_linked(p, graph.sitewide_links(p))
 
 
@@ -286,7 +296,7 @@ def _accepted(spark, sf):
 
 @query("ag12_headline", with_views(inp.SCORED) + """
 SELECT 'shop' AS site, count(*) AS judged, count(*) FILTER (score > 0.9) AS links, count(DISTINCT source_url) FILTER (score > 0.9) AS sources,
- count(DISTINCT target_url) FILTER (score > 0.9) AS targets, count(DISTINCT target_url) FILTER (score > 0.9 AND target_url < 's5') AS orphans_fixed,
+ count(DISTINCT target_url) FILTER (score > 0.9) AS targets, count(DISTINCT target_url) FILTER (score > 0.9 AND target_url < 's5' AND NOT contains(target_url, '-')) AS orphans_fixed,
  CAST(round(100 * count(*) FILTER (score > 0.9) / count(*)) AS INT) AS share_accepted FROM scored2""")
 def ag12(spark, sf):
     summary = inp.table(spark, sf, "supplier").select(F.lit("shop").alias("site"), F.concat(F.lit("s"), "s_suppkey").alias("url")).withColumn(

@@ -13,6 +13,7 @@ from ..session import stage
 from ..sources.records import console_totals
 from . import inputs as inp
 from .catalog_phrases import EN_CFG, _english
+from .catalog_text import EN_STOP, FOLD, W
 from .registry import query, with_views
 
 _DOT = "round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])), 9)"
@@ -142,13 +143,19 @@ def ud05(spark, sf):
     return nearest.topic_layout(stage(inp.unit_vectors(spark, sf)))
 
 
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(hex(k)) // 2), lambda i: ('0x' || substr(hex(k), 2 * i + 1, 2))::BIGINT)), "
+        "lambda h, b: list_reduce(list_prepend(xor(h, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)")
+
+
 @query("ud02_hashed_vectors", f"""
-WITH w AS (SELECT DISTINCT lang, item_id, k FROM (SELECT 'en' AS lang, item_id, left(unnest(regexp_extract_all(lower(text), '[0-9a-z]+')), 4) AS k FROM benchmark))
-SELECT item_id, count(*) FILTER (k NOT IN ('x')) > 0 AS filled FROM w GROUP BY item_id""")
+WITH w AS (SELECT DISTINCT item_id, left({FOLD.format('w')}, 4) AS k FROM (SELECT item_id, unnest({W.format('text')}) AS w FROM benchmark)
+  WHERE NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {EN_STOP}),
+s AS (SELECT DISTINCT item_id, CAST({_CRC} % 128 AS INT) AS place FROM w)
+SELECT item_id, place, round(1 / sqrt(count(*) OVER (PARTITION BY item_id)), 6) AS x FROM s""")
 def ud02(spark, sf):
     b = inp.table(spark, sf, "benchmark")
     v = hashed_words(F.col("text"), F.lit("en"), 128)
-    return b.select("item_id", (F.round(dot(v, v), 6) == 1).alias("filled"))
+    return b.select("item_id", F.posexplode(v).alias("place", "x")).filter("x <> 0").select("item_id", "place", F.round("x", 6).alias("x"))
 
 
 # ---- calls of outside models -------------------------------------------------------------------
@@ -317,9 +324,19 @@ def ag18(spark, sf):
     return quality.auc(stage(quality.signal_values(inp.labelled_docs(spark, sf)))).withColumn("auc", F.round("auc", 6))
 
 
-@query("ag19_auc_intervals")
+@query("ag19_auc_intervals", _VALUES + """
+, cells AS (SELECT signal, v, label, count(*) AS n FROM sv GROUP BY ALL),
+draw AS (SELECT signal, v, label, n, rep, md5('0|' || signal || '|' || CAST(round(v * 1000000) AS BIGINT) || '|' || label || '|' || rep) AS m FROM cells, range(1, 1001) t(rep)),
+z AS (SELECT signal, v, label, n, rep, ((('0x' || substr(m, 1, 8))::BIGINT + ('0x' || substr(m, 9, 8))::BIGINT + ('0x' || substr(m, 17, 8))::BIGINT
+  + ('0x' || substr(m, 25, 8))::BIGINT) / 4294967296 - 2) * sqrt(3) AS z FROM draw),
+w AS (SELECT signal, v, label, rep, n * pow(greatest(0, 1 - 1 / (9 * n) + z / (3 * sqrt(n))), 3) AS w FROM z),
+pv AS (SELECT signal, rep, v, sum(CASE WHEN label THEN w ELSE 0 END) AS pos, sum(CASE WHEN label THEN 0 ELSE w END) AS neg FROM w GROUP BY ALL),
+run AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY signal, rep ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM pv),
+reps AS (SELECT signal, rep, sum(pos * (b + neg / 2)) / (sum(pos) * sum(neg)) AS a FROM run GROUP BY ALL)
+SELECT signal, round(quantile_cont(a, 0.05), 6) AS low, round(quantile_cont(a, 0.95), 6) AS high FROM reps GROUP BY signal""")
 def ag19(spark, sf):
-    return quality.auc_intervals(stage(quality.signal_values(inp.labelled_docs(spark, sf))))
+    out = quality.auc_intervals(stage(quality.signal_values(inp.labelled_docs(spark, sf))))
+    return out.select("signal", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 LOOSE = {**fixed.DEFAULTS, "score_min": 0.3, "similarity_min": 0.5}
@@ -372,7 +389,12 @@ def wn03(spark, sf):
     return quality.slice_starts(stage(rows))
 
 
-@query("wn02_stratified_sample")
+@query("wn02_stratified_sample", with_views(inp.SCORED) + """
+, r AS (SELECT site, source_url, target_url, anchor_type, score, count(*) OVER (PARTITION BY site, anchor_type) AS n,
+  row_number() OVER (PARTITION BY site, anchor_type ORDER BY coalesce(score, 0), substr(md5(source_url || '|' || target_url), 1, 15), source_url, target_url) AS rn FROM scored2),
+b AS (SELECT *, CAST(ceil(5 * rn / n) - 1 AS INT) AS bucket FROM r),
+i AS (SELECT *, row_number() OVER (PARTITION BY site, anchor_type, bucket ORDER BY md5('42|' || source_url || '|' || target_url), source_url, target_url) AS turn FROM b)
+SELECT site, source_url, target_url, anchor_type, score, bucket FROM i WHERE turn <= 40 QUALIFY row_number() OVER (PARTITION BY site ORDER BY turn, anchor_type, bucket) <= 40""")
 def wn02(spark, sf):
     """40 pairs per site, evenly from five score slices of each match type."""
     rows = inp.scored_items(spark, sf).select("site", "source_url", "target_url", "anchor_type", "score")

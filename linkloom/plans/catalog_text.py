@@ -179,10 +179,10 @@ def sc09(spark, sf):
     return d.select("doc_id", F.size(ws).alias("n"), F.md5(F.array_join(ws, " ")).alias("digest"))
 
 
-@query("sc08_filler_words", f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest({W.format('text')}) AS w FROM documents WHERE lang = 'en')
-WHERE w IN {EN_STOP} OR regexp_matches(w, '^[0-9]+$') GROUP BY w""")
+@query("sc08_filler_words", f"""SELECT w AS word, count(*) AS n FROM (SELECT lang, unnest({W.format('text')}) AS w FROM documents)
+WHERE (lang = 'en' AND w IN {EN_STOP}) OR regexp_matches(w, '^[0-9]+$') GROUP BY w""")
 def sc08(spark, sf):
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    d = inp.table(spark, sf, "documents")
     w = d.select("lang", F.explode(words.words(F.col("text"))).alias("word"))
     return w.filter(words.is_filler(F.col("word"), F.col("lang"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -231,16 +231,16 @@ def sc14(spark, sf):
     return d.select("doc_id", words.detect_lang(declared, url, F.col("text")).alias("lang"))
 
 
-_EN_TOKENS = f"""toks AS (SELECT doc_id, t, regexp_extract(lower(t), '[0-9a-ząćęłńóśźż]+') AS w,
+_TOKENS = f"""toks AS (SELECT doc_id, lang, t, regexp_extract(lower(t), '[0-9a-ząćęłńóśźż]+') AS w,
  regexp_replace(regexp_replace(t, '^[.,;:!?()\\[\\]"''„”«»…]+', ''), '[.,;:!?()\\[\\]"''„”«»…]+$', '') AS bare
- FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS t FROM documents WHERE lang = 'en'))"""
+ FROM (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS t FROM documents))"""
 
 
-@query("sc24_edge_words", f"""WITH {_EN_TOKENS}
-SELECT doc_id, count(*) AS tokens, count(*) FILTER (w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {EN_STOP}
+@query("sc24_edge_words", f"""WITH {_TOKENS}
+SELECT doc_id, count(*) AS tokens, count(*) FILTER (w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND (lang <> 'en' OR w NOT IN {EN_STOP})
   AND (length(w) >= 3 OR regexp_matches(w, '[0-9]') OR (bare = upper(bare) AND lower(bare) <> upper(bare)))) AS edges FROM toks GROUP BY doc_id""")
 def sc24(spark, sf):
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    d = inp.table(spark, sf, "documents")
     t = d.select("doc_id", "lang", F.explode(words.tokens(F.col("text"))).alias("t"))
     edge = words.edge_word(F.col("t"), words.first_word(F.col("t")), F.col("lang"))
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(edge).alias("edges"))
@@ -295,14 +295,14 @@ def sc17(spark, sf):
 
 @query("sc18_sc20_model_texts", with_views(inp.DOCS) + f"""
 SELECT u, md5(left(concat_ws(chr(10), nullif(title, ''), nullif(meta, ''), nullif(text, '')), 8000)) AS page_digest,
-  md5('Instruct: {fixed.QUERY_TASK}' || chr(10) || 'Query: ' || title) AS query_digest, md5('m' || chr(10) || '768' || chr(10) || title) AS key_digest FROM doc_heads""")
+  md5('Instruct: {fixed.QUERY_TASK}' || chr(10) || 'Query: ' || title) AS query_digest, sha1('m' || chr(10) || '768' || chr(10) || title) AS key_digest FROM doc_heads""")
 def sc18(spark, sf):
     d = inp.table(spark, sf, "documents")
     ls = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
     t, m = F.coalesce(F.get(ls, F.lit(0)), F.lit("")), F.coalesce(F.get(ls, F.lit(1)), F.lit(""))
     page = texts.page_text(t, F.lit(""), m, F.col("text"))
     return d.select(inp.doc_u().alias("u"), F.md5(page).alias("page_digest"), F.md5(texts.query_text(t)).alias("query_digest"),
-                    F.md5(F.concat_ws("\n", F.lit("m"), F.lit("768"), t)).alias("key_digest"))
+                    texts.cache_key(F.lit("m"), F.lit("768"), t).alias("key_digest"))
 
 
 @query("sc22_in_passage", with_views(inp.DOCS) + """

@@ -8,7 +8,7 @@ orders      one page per order; its parts are content links, its suppliers links
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import norm_url
@@ -117,7 +117,7 @@ def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     """Lineitems as scored pairs: order → supplier, the part names the phrase; figures give the scores.
 
-    One row per (source, target): the dearest line of an order and supplier.
+    Every line is a row: of an order and supplier, the dearest line has the supplier's address, others a number behind it.
     """
     items, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
@@ -126,9 +126,10 @@ def scored_items(spark: SparkSession, sf: str) -> DataFrame:
     row = F.struct(n("l_extendedprice", 0, 105000).alias("score"), n("l_quantity", 0, 50).alias("p_context"),
                    F.round(1 - F.col("l_discount"), 3).alias("p_anchor"), F.round(F.col("l_tax") * 10, 3).alias("p_cannibal"),
                    F.col("p_name").alias("anchor"), F.col("l_linestatus").alias("status"))
-    best = joined.groupBy("l_orderkey", "l_suppkey", "o_orderpriority").agg(F.max_by(row, F.struct("l_extendedprice", "l_linenumber")).alias("r"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy(F.desc("l_extendedprice"), F.desc("l_linenumber"), F.desc("l_partkey")))
+    best = joined.select("l_orderkey", "l_suppkey", "o_orderpriority", row.alias("r"), place.alias("n"))
     kind = F.when(F.col("o_orderpriority").startswith("1"), "exact").when(F.col("o_orderpriority").startswith("2"), "fanout").otherwise("partial")
-    return best.select(F.lit("shop").alias("site"), F.concat(F.lit("o"), "l_orderkey").alias("source_url"), F.concat(F.lit("s"), "l_suppkey").alias("target_url"),
+    return best.select(F.lit("shop").alias("site"), F.concat(F.lit("o"), "l_orderkey").alias("source_url"), F.concat(F.lit("s"), "l_suppkey", F.when(F.col("n") > 1, F.concat(F.lit("-"), "n")).otherwise("")).alias("target_url"),
                        "r.*", F.lit(0.5).alias("value"), kind.alias("anchor_type"),
                        F.when(F.col("r.status") == "F", "ok").otherwise("off_topic").alias("verdict"),
                        F.round(F.col("r.score") * 0.6 + F.col("r.p_context") * 0.4, 4).alias("similarity")).drop("status")
@@ -200,13 +201,13 @@ units AS (SELECT lang, u, list_transform(e, lambda x: x / sqrt(list_sum(list_tra
 """
 
 SCORED = """
-scored AS (SELECT 'shop' AS site, 'o' || l_orderkey AS source_url, 's' || l_suppkey AS target_url, p_name AS anchor,
+scored AS (SELECT 'shop' AS site, 'o' || l_orderkey AS source_url, 's' || l_suppkey || CASE WHEN place > 1 THEN '-' || place ELSE '' END AS target_url, p_name AS anchor,
   round(l_extendedprice / 105000, 3) AS score, round(l_quantity / 50, 3) AS p_context, round(1 - l_discount, 3) AS p_anchor,
   round(l_tax * 10, 3) AS p_cannibal, 0.5 AS value,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'exact' WHEN o_orderpriority LIKE '2%' THEN 'fanout' ELSE 'partial' END AS anchor_type,
   CASE WHEN l_linestatus = 'F' THEN 'ok' ELSE 'off_topic' END AS verdict
-  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_extendedprice DESC, l_linenumber DESC) = 1),
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_extendedprice DESC, l_linenumber DESC, l_partkey DESC) AS place FROM lineitem)
+  JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 scored2 AS (SELECT *, round(score * 0.6 + p_context * 0.4, 4) AS similarity FROM scored)
 """
 

@@ -10,11 +10,12 @@ from ..schema import BROKEN, COVERAGE, GAPS, RECOMMENDATION, VERIFIED
 
 
 def recommendation_table(rows: DataFrame) -> DataFrame:
-    """Fixed column order (+ keyword in keyword mode); accepted first, then source, then best score."""
+    """Fixed column order (+ keyword in keyword mode). In every partition, so in every file of a site's folder, accepted rows
+    come first, then by source, then the best score."""
     have = set(rows.columns)
     cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in RECOMMENDATION]
     more = ["keyword"] if "keyword" in have else []
-    return rows.select("site", *cols, *more).orderBy("site", F.col("decision") != "accept", "source_url", F.col("score").desc_nulls_last())
+    return rows.select("site", *cols, *more).sortWithinPartitions("site", F.col("decision") != "accept", "source_url", F.col("score").desc_nulls_last())
 
 
 def links_table(rows: DataFrame) -> DataFrame:
@@ -33,12 +34,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def clear_sites(spark: SparkSession, path: str, schema: str, sites: DataFrame, written: DataFrame) -> None:
     """Optional results of an earlier run do not survive a run without them: the folders of sites of this
     run that wrote nothing are deleted. Read the table with `schema`, as no folder may be left."""
-    stale = sites.select("site").distinct().join(written.select("site").distinct(), "site", "left_anti")
+    own, new = sites.select("site").distinct(), written.select(F.col("site").alias("_site")).distinct()
+    stale = own.join(new, F.col("site").eqNullSafe(F.col("_site")), "left_anti")
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in stale.toLocalIterator():
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["site"])
+    utils = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in stale.toLocalIterator():   # rows without a site have a folder of their own
+        name = utils.DEFAULT_PARTITION_NAME() if row["site"] is None else utils.escapePathName(row["site"])
         files.delete(jvm.org.apache.hadoop.fs.Path(root, f"site={name}"), True)
 
 
