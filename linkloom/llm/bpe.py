@@ -10,7 +10,7 @@ position is tried twice, so the work is linear. Decoding copies bytes by an offs
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import struct
 from hashlib import sha256
 from itertools import pairwise
 
@@ -25,7 +25,7 @@ from .texts import map_texts
 
 #: Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_PIECES = 1 << 17   # pieces kept per worker; the cache starts anew when it is full
+CACHED_PIECES = 1 << 18   # pieces kept per worker and generation; two generations are held
 CACHED_PAIRS = 1 << 17    # compatible pairs kept per worker, likewise
 CACHED_PIECE_CHARS = 64
 
@@ -39,6 +39,27 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes, encoded when they are first met. When it is full, the pieces become the older generation and
+    those met again come back from there, so frequent ones are never lost."""
+
+    def __init__(self, own: Vocabulary) -> None:
+        super().__init__()
+        self.own, self.older = own, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.older.get(piece)
+        if got is None:
+            ids = self.own.encode_piece(piece.encode().decode("latin-1"))
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHED_PIECE_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Vocabulary:
     """Tokens, merges, pair compatibility and offset table of a byte-level tokenizer file."""
 
@@ -82,7 +103,7 @@ class Vocabulary:
         self.splitter = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) \
             if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Pieces(self)
 
     def fits(self, left: int, right: int) -> bool:
         """True if merging the bytes of two tokens leaves exactly these two: no pair across their border, at
@@ -155,21 +176,13 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit numbers."""
-        out, cache, start = [], self.cache, 0
+        out, start = [], 0
         for stop, after, special in [*((m.start(), m.end(), self.special[m[0]])
                                        for m in (self.splitter.finditer(text) if self.splitter else ())), (len(text), 0, None)]:
-            for piece in self.pieces.findall(text, start, stop) if start == 0 and stop == len(text) \
-                    else self.pieces.findall(text[start:stop]):
-                got = cache.get(piece)
-                if got is None:
-                    got = np.array(self.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
-                    if len(piece) <= CACHED_PIECE_CHARS:
-                        if len(cache) >= CACHED_PIECES:
-                            cache.clear()
-                        cache[piece] = got
-                out.append(got)
+            pieces = self.pieces.findall(text if start == 0 and stop == len(text) else text[start:stop])
+            out.append(b"".join(map(self.cache.__getitem__, pieces)))
             if special is not None:
-                out.append(np.array([special], "<u4").tobytes())
+                out.append(struct.pack("<I", special))
                 start = after
         return np.frombuffer(b"".join(out), "<u4")
 
@@ -225,17 +238,20 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
     return map_texts(docs, text, docs.columns if keep is None else keep, fields, work)
 
 
-def digests(coded: DataFrame, keep: list[str]) -> DataFrame:
-    """`n_tokens`, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded text, for coded rows."""
-    source = coded.select(*keep, "ids", "decoded")
-    schema = T.StructType([*source.schema.fields[:len(keep)], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, decoded = batch.column(len(keep)), batch.column(len(keep) + 1)
-            bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            made = [np.diff(bounds).astype(np.int64), [sha256(flat[a:b].tobytes()).hexdigest() for a, b in pairwise(bounds)],
-                    [sha256(t.encode()).hexdigest() for t in decoded.to_pylist()]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], *map(pa.array, made)], names=schema.names)
-    return source.mapInArrow(run, schema)
+def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`n_tokens`, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the text decoded from them, to every row.
+
+    The rows of `encode_decode` in the pass that makes them, so ids and texts do not leave it.
+    """
+    spec = shared_file(docs, path)
+
+    def work(texts: pa.Array) -> list:
+        own, sizes, ids_sha, text_sha = _vocabulary(spec), [], [], []
+        for t in texts.to_pylist():
+            ids = own.encode(t) if t else np.zeros(0, "<u4")
+            sizes.append(len(ids))
+            ids_sha.append(sha256(ids.tobytes()).hexdigest())
+            text_sha.append(sha256(own.decode_text(ids).encode()).hexdigest())
+        return [pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return map_texts(docs, text, docs.columns if keep is None else keep, fields, work)

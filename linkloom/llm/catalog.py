@@ -90,8 +90,7 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    coded = bpe.encode_decode(table(spark, sf, "documents"), tokenizer_path(), keep=["doc_id"])
-    return bpe.digests(coded, ["doc_id"])
+    return bpe.digests(table(spark, sf, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
 @query("op7_near_duplicates", r"""

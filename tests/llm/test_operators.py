@@ -312,3 +312,25 @@ def test_bpe(spark, docs, none):
         ids = own.encode(row.text or "", add_special_tokens=False).ids
         assert row.ids == ids and row.decoded == own.decode(ids, skip_special_tokens=False)
     assert bpe.encode_decode(docs, tokenizer_path()).count() == docs.count() and bpe.encode_decode(none, tokenizer_path()).count() == 0
+
+
+def test_bpe_digests(spark, docs, none, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(tokenizer_path())
+    r = random.Random(4)
+    long_text = " ".join(r.choice(WORDS) for _ in range(400_000))   # over two MiB: more than a slice
+    texts = TEXTS + ["".join(r.choice("abcdefgh  \n.,'’é😀AB12") for _ in range(r.randint(1, 80))) for _ in range(200)] + [long_text, "ab" * 700]
+    got = bpe.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path(), keep=["doc_id"]).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        ids = own.encode(texts[row.doc_id] or "", add_special_tokens=False).ids
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    # pieces pass from one generation of the cache to the next
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    vocabulary = bpe.Vocabulary(open(tokenizer_path(), encoding="utf-8").read())
+    for text in (t for t in texts[:60] if t):
+        assert vocabulary.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
+    assert len(vocabulary.cache) <= 3 and len(vocabulary.cache.older) <= 3
+    assert bpe.digests(docs, tokenizer_path()).columns[-3:] == ["n_tokens", "ids_sha256", "decoded_sha256"] and bpe.digests(none, tokenizer_path()).count() == 0
