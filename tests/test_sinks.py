@@ -41,3 +41,11 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
 def test_export_titles():
     assert console_header('  "Top_Queries  Now" ') == "top queries now"
+
+
+def test_rows_without_a_site_are_cleared_like_others(spark, tmp_path):
+    path = str(tmp_path / "links")
+    write_table(spark.createDataFrame([("u", 1, None), ("v", 2, "b.com"), ("x", 4, "a/b c.com")], SCHEMA), path)
+    none = spark.createDataFrame([], SCHEMA)
+    clear_sites(spark, path, SCHEMA, spark.createDataFrame([(None,), ("a/b c.com",)], "site string"), none)
+    assert [tuple(r) for r in spark.read.schema(SCHEMA).parquet(path).collect()] == [("v", 2, "b.com")]
