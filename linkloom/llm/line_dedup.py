@@ -15,7 +15,7 @@ all earlier sets under the word. Sets that the earliest one did not confirm are
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,28 +80,32 @@ def needed(n: Column, percent: int) -> Column:
 
 
 def line_sets(rows: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
-    """(doc_id, line_no, key, sketch, n, prefix): one row for each line: a hash of its word set, a sketch with one bit
-    flipped for each word, the set's size, and its prefix.
+    """(doc_id, line_no, key, sketch, sketch2, n, prefix): one row for each line: a hash of its word set, a sketch of 128
+    bits with one bit flipped for each word, the set's size, and its prefix.
 
     Sets below `min_words` have an empty prefix: a filter here would be moved below the projection and build every set
     again.
     """
     sets = lines_of(rows).select("doc_id", "line_no", set_codes(word_numbers(F.col("line")), ranks).alias("codes"))
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    def flipped(high: int) -> Column:   # words whose seventh bit is `high` flip a bit of this half
+        return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(
+            F.call_function("shiftleft", F.shiftright(c, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - high)).cast("long"),
+                            c.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("codes")
     length = F.when(n >= min_words, n - needed(n, percent) + 1).otherwise(0)
-    return sets.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), parity.alias("sketch"), n.alias("n"),
+    return sets.select("doc_id", "line_no", F.xxhash64("codes").alias("key"), flipped(0).alias("sketch"),
+                       flipped(1).alias("sketch2"), n.alias("n"),
                        F.slice("codes", F.lit(1), length).alias("prefix"))
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
-    """(word, sketch, size, doc_id, line_no): one row for each prefix word; `size` holds the set's size above the
+    """(word, sketch, sketch2, size, doc_id, line_no): one row for each prefix word; `size` holds the set's size above the
     word's place in the prefix."""
-    rows = sets.select("doc_id", "line_no", "sketch", "n", F.posexplode("prefix").alias("place", "word"))
+    rows = sets.select("doc_id", "line_no", "sketch", "sketch2", "n", F.posexplode("prefix").alias("place", "word"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
     # nothing is null here; said so, since filters that a join derives would keep its side from sharing the shuffle
-    known = [F.coalesce(c, F.lit(0).cast("long")).alias(name) for c, name in ((F.col("sketch"), "sketch"), (size, "size"))]
+    known = [F.coalesce(c, F.lit(0).cast("long")).alias(name) for c, name in (
+        (F.col("sketch"), "sketch"), (F.col("sketch2"), "sketch2"), (size, "size"))]
     return rows.filter("word is not null").select("word", *known, "doc_id", "line_no")
 
 
@@ -116,8 +120,8 @@ def may_match(a: str, b: str, percent: int) -> Column:
     """Length, positional and parity filters for two sets that share the prefix word at their places in it."""
     (n, at), (m, to) = ((F.shiftright(f"{t}size", 32), F.col(f"{t}size").bitwiseAND(F.lit((1 << 32) - 1))) for t in (a, b))
     overlap = F.ceil((n + m) * percent / (100 + percent) - F.lit(1e-9))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - to) >= overlap) & \
-        (F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= n + m - 2 * overlap)
+    unlike = reduce(add, [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in ("sketch", "sketch2")])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - to) >= overlap) & (unlike <= n + m - 2 * overlap)
 
 
 def place(prefix: str = "") -> Column:
@@ -135,9 +139,9 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     The kind of the former is `sole` where the word has no other earlier set, else `star`."""
     dealt = rows.repartition("word")
     order = Window.partitionBy("word").orderBy("doc_id", "line_no")
-    lead = F.first(F.struct("sketch", "size", "doc_id", "line_no")).over(order)
+    lead = F.first(F.struct("sketch", "sketch2", "size", "doc_id", "line_no")).over(order)
     led = dealt.withColumn("lead", lead).withColumn("turn", F.row_number().over(order)).select(
-        *rows.columns, "turn", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "size", "doc_id", "line_no")]).filter(
+        *rows.columns, "turn", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("sketch", "sketch2", "size", "doc_id", "line_no")]).filter(
         place() > place("lead_"))
     star = may_match("", "lead_", percent)
     alone = led.filter(star).select(place().alias("later"), place("lead_").alias("earlier"),
@@ -176,7 +180,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_
     ranks = rarity(rows)
     sets = stage(line_sets(rows, ranks, percent, min_words))
     copies = stage(later_copies(sets, min_words if copy_words is None else copy_words))
-    firsts = sets.join(small_side(copies), ["key", "doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "sketch", "n", "prefix")
+    firsts = sets.join(small_side(copies), ["key", "doc_id", "line_no"], "left_anti").select("doc_id", "line_no", "sketch", "sketch2", "n", "prefix")
     close = stage(candidates(prefix_rows(firsts), percent))
     # of several earlier sets the one met under most words is verified first; a set it settles needs no other
     best = stage(close.groupBy("later").agg(F.max_by("earlier", F.struct("n", "earlier")).alias("earlier")))
