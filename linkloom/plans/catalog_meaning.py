@@ -12,7 +12,7 @@ from ..operators.passages import passages
 from ..session import stage
 from ..sources.records import console_totals
 from . import inputs as inp
-from .catalog_phrases import EN_CFG, _english
+from .catalog_phrases import SHORT_CFG, _context
 from .catalog_text import EN_STOP, FOLD, W
 from .registry import query, with_views
 
@@ -435,17 +435,17 @@ def so04(spark, sf):
 
 @query("ud06_site_graph")
 def ud06(spark, sf):
-    """The graph of English pages with hashed page vectors: links today and the closest unlinked pages."""
+    """The graph of web pages with hashed page vectors: links today and the closest unlinked pages."""
     from ..sinks.report import graph_tables
-    c = _english(spark, sf)
+    c = _context(spark, sf)
     v = stage(c.select("site", "lang", "u", hashed_words(F.concat_ws(" ", "title", "text"), F.col("lang"), 128).alias("vector")))
     return graph_tables(c, v)["near"]
 
 
 @query("ph07_link_text_offers")
 def ph07(spark, sf):
-    """Semantic candidates from hashed vectors of English pages, with the link texts their passages offer."""
-    c = _english(spark, sf).withColumn("is_source", F.lit(True))
+    """Semantic candidates from hashed vectors of web pages, with the link texts their passages offer."""
+    c = _context(spark, sf).withColumn("is_source", F.lit(True))
     found = passages(c)
     dims = 128
     pv = stage(found.select("site", "lang", "u", "block", hashed_words(F.col("raw"), F.col("lang"), dims).alias("vector")))

@@ -10,46 +10,51 @@ from ..operators import candidates as cand, clean, context as ctx, coverage as c
 from ..operators import phrases as ph
 from ..session import stage
 from . import inputs as inp
-from .catalog_text import EN_STOP, FOLD, W, same_sql, sql_content
+from .catalog_text import EN_STOP, FOLD, PL_STOP, W, _marker_sql, same_sql, sql_content
 from .registry import query, sql_in, with_views
 
-EN_CFG = {**fixed.DEFAULTS, "min_words": 20}
+SHORT_CFG = {**fixed.DEFAULTS, "min_words": 20}
 # ordered content words of a text (first appearance first)
 _ORDERED = "list_filter({0}, lambda w, i: list_position({0}, w) = i)"
 
 
 def _ordered_content(text: str) -> str:
-    """Distinct folded English content words in order of appearance."""
-    kept = (f"list_transform(list_filter({W.format(text)}, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN {EN_STOP}), "
-            f"lambda w: {FOLD.format('w')})")
+    """Distinct folded content words of a text in the row's `lang`, in order of appearance."""
+    kept = (f"list_transform(list_filter({W.format(text)}, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') "
+            f"AND NOT (lang = 'en' AND w IN {EN_STOP}) AND NOT (lang = 'pl' AND w IN {PL_STOP})), lambda w: {FOLD.format('w')})")
     return _ORDERED.format(kept)
 
 
-def _english(spark, sf):
-    """English web pages of each registrable domain with their context; one site holds a third of them."""
-    pages = clean.one_page_per_address(inp.domain_pages(spark, sf))[0].filter("lang = 'en'")
-    return ctx.site_context(stage(pages), EN_CFG)
+def _context(spark, sf):
+    """All web pages of each registrable domain with their context (a page without a supported language has none);
+    one site holds a third of them."""
+    return ctx.site_context(stage(clean.one_page_per_address(inp.domain_pages(spark, sf))[0]), SHORT_CFG)
 
 
-# pages of the phrase queries, their names as words, vocabularies merged by inflected equality
+# pages of the phrase queries in the language declared, of the path or of the text, their names as words,
+# vocabularies merged by inflected equality
 _PAGES = with_views(inp.WEB) + f"""
-, en AS (SELECT regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS site, u, url, title, h1 FROM web WHERE lang = 'en'
+, one AS (SELECT regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS site, u, url, title, h1, article, lang AS said,
+    lower(regexp_extract(url, '^[^:]+://[^/]+/*([^/?#]*)', 1)) AS prefix FROM web
   QUALIFY row_number() OVER (PARTITION BY regexp_extract(site, '([^.]+\\.[^.]+)$', 1), u ORDER BY url) = 1),
-stem_titles AS (SELECT site, left(w, 5) AS stem, count(DISTINCT u) AS n FROM (SELECT site, u, unnest({_ordered_content("title || ' ' || h1")}) AS w FROM en) GROUP BY ALL),
-par AS (SELECT e.site, e.u, e.url, p.n, p.raw FROM en e JOIN web_paragraphs p ON p.url = e.url),
-sizes AS (SELECT site, count(*) AS pages FROM en GROUP BY ALL),
-names AS (SELECT site, array_to_string(list_sort(ws), ' ') AS name FROM (SELECT site, u, {_ordered_content('title')} AS ws FROM en)
+spoken AS (SELECT *, {W.format(inp._TEXT.format("regexp_replace(article, '<[^>]*>', ' ', 'g')"))} AS s FROM one),
+told AS (SELECT * FROM (SELECT site, u, url, title, h1,
+    CASE WHEN said IN ('pl', 'en') THEN said WHEN prefix IN ('pl', 'en') THEN prefix ELSE {_marker_sql()} END AS lang FROM spoken) WHERE lang <> ''),
+stem_titles AS (SELECT site, left(w, 5) AS stem, count(DISTINCT u) AS n FROM (SELECT site, u, unnest({_ordered_content("title || ' ' || h1")}) AS w FROM told) GROUP BY ALL),
+par AS (SELECT e.site, e.u, e.url, e.lang, p.n, p.raw FROM told e JOIN web_paragraphs p ON p.url = e.url),
+sizes AS (SELECT site, count(*) AS pages FROM told GROUP BY ALL),
+names AS (SELECT site, array_to_string(list_sort(ws), ' ') AS name FROM (SELECT site, u, {_ordered_content('title')} AS ws FROM told)
   GROUP BY ALL HAVING count(DISTINCT u) >= 3),
-nw0 AS (SELECT site, u, 1 AS f, {_ordered_content('title')} AS ws FROM en UNION ALL SELECT site, u, 2, {_ordered_content('h1')} FROM en
-  UNION ALL SELECT site, u, 3, {_ordered_content("replace(split_part(rtrim(regexp_extract(url, '^[^:]+://[^/]+([^?#]*)', 1), '/'), '/', -1), '-', ' ')")} FROM en),
+nw0 AS (SELECT site, u, 1 AS f, {_ordered_content('title')} AS ws FROM told UNION ALL SELECT site, u, 2, {_ordered_content('h1')} FROM told
+  UNION ALL SELECT site, u, 3, {_ordered_content("replace(split_part(rtrim(regexp_extract(url, '^[^:]+://[^/]+([^?#]*)', 1), '/'), '/', -1), '-', ' ')")} FROM told),
 nw AS (SELECT nw0.site, u, f, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM nw0
   WHERE f = 3 OR NOT EXISTS (SELECT 1 FROM names n WHERE n.site = nw0.site AND n.name = array_to_string(list_sort(ws), ' '))),
 seq AS (SELECT site, u, f, w, row_number() OVER (PARTITION BY site, u ORDER BY f, i) AS o FROM nw),
-vocab(site, u, o, ks) AS (SELECT site, u, 0, CAST([] AS VARCHAR[]) FROM en UNION ALL
+vocab(site, u, o, ks) AS (SELECT site, u, 0, CAST([] AS VARCHAR[]) FROM told UNION ALL
   SELECT v.site, v.u, v.o + 1, CASE WHEN len(list_filter(v.ks, lambda k: {same_sql('k', 's.w')})) > 0 THEN v.ks ELSE list_append(v.ks, s.w) END
   FROM vocab v JOIN seq s ON s.site = v.site AND s.u = v.u AND s.o = v.o + 1),
 vlast AS (SELECT site, u, ks FROM vocab QUALIFY o = max(o) OVER (PARTITION BY site, u)),
-vw AS (SELECT site, u, unnest(ks) AS v, generate_subscripts(ks, 1) - 1 AS k FROM vlast),
+vw AS (SELECT site, u, lang, unnest(ks) AS v, generate_subscripts(ks, 1) - 1 AS k FROM vlast JOIN told USING (site, u)),
 common AS (SELECT site, stem FROM stem_titles t JOIN sizes USING (site) WHERE t.n >= greatest(3, 0.1 * pages)),
 nset AS (SELECT s.site, s.u, f, min(k) AS k FROM seq s JOIN vw ON vw.site = s.site AND vw.u = s.u AND left(v, 4) = left(w, 4) AND {same_sql('v', 'w')} GROUP BY s.site, s.u, f, s.o),
 nsets AS (SELECT DISTINCT site, u, f, k FROM nset),
@@ -57,7 +62,7 @@ nsize AS (SELECT site, u, f, count(*) AS size FROM nsets GROUP BY ALL)
 """
 # words that stand on more than 80% of the pages are common too
 _COMMON = f"""
-, ptext AS (SELECT site, u, unnest({W.format("h1 || ' ' || coalesce(t, '')")}) AS w FROM en LEFT JOIN (SELECT url, string_agg(raw, ' ') AS t FROM par GROUP BY url) USING (url)),
+, ptext AS (SELECT site, u, unnest({W.format("h1 || ' ' || coalesce(t, '')")}) AS w FROM told LEFT JOIN (SELECT url, string_agg(raw, ' ') AS t FROM par GROUP BY url) USING (url)),
 stem_texts AS (SELECT site, left({FOLD.format('w')}, 5) AS stem, count(DISTINCT u) AS n FROM ptext GROUP BY ALL),
 common2 AS (SELECT site, stem FROM common UNION SELECT site, stem FROM stem_texts t JOIN sizes USING (site) WHERE t.n > 0.8 * pages)
 """
@@ -65,7 +70,7 @@ common2 AS (SELECT site, stem FROM common UNION SELECT site, stem FROM stem_text
 
 @query("ph03_target_profiles", _PAGES + "SELECT site, u, CAST(k AS INT) AS k, v FROM vw")
 def ph03(spark, sf):
-    p = ctx.target_profiles(_english(spark, sf))
+    p = ctx.target_profiles(_context(spark, sf))
     return p.select("site", "u", F.posexplode("vocab").alias("k", "v"))
 
 
@@ -87,16 +92,16 @@ def ag04(spark, sf):
 
 
 @query("jn01_likely_targets", f"""
-WITH s AS (SELECT DISTINCT 'x' AS site, doc_id, left(w, 4) AS key FROM (SELECT doc_id, unnest({sql_content('text', 'lang')}) AS w FROM documents WHERE lang = 'en')),
+WITH s AS (SELECT DISTINCT 'x' AS site, doc_id, left(w, 4) AS key FROM (SELECT doc_id, unnest({sql_content('text', 'lang')}) AS w FROM documents)),
 v AS (SELECT item_id, left(w, 4) AS key, count(*) AS n FROM (SELECT item_id, unnest({sql_content("split_part(text, '.', 1)", "'en'")}) AS w FROM benchmark) GROUP BY ALL),
 z AS (SELECT item_id, sum(n) AS size FROM v GROUP BY ALL)
 SELECT CAST(doc_id AS VARCHAR) AS src, CAST(item_id AS VARCHAR) AS dst, CAST(sum(n) AS BIGINT) AS hits FROM s JOIN v USING (key) JOIN z USING (item_id)
 GROUP BY doc_id, item_id, size HAVING sum(n) >= least(2, size)""")
 def jn01(spark, sf):
-    """Benchmark items as target names, English documents as sources."""
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    """Benchmark items as target names, documents in all languages as sources, each without its own language's stop words."""
+    d = inp.table(spark, sf, "documents")
     from ..functions.words import text_keys, word_key
-    keys = d.select(F.lit("x").alias("site"), "lang", F.col("doc_id").cast("string").alias("src"), F.explode(text_keys(F.col("text"), F.col("lang"))).alias("key"))
+    keys = d.select(F.lit("x").alias("site"), "lang", F.col("doc_id").cast("string").alias("src"), F.explode(text_keys(F.col("text"), F.col("lang"))).alias("key")).withColumn("lang", F.lit("en"))
     b = inp.table(spark, sf, "benchmark").select(F.lit("x").alias("site"), F.lit("en").alias("lang"), F.col("item_id").cast("string").alias("dst"),
                                                  F.explode(content_words(F.split_part("text", F.lit("."), F.lit(1)), F.lit("en"))).alias("w"))
     vocab = b.groupBy("site", "lang", "dst", word_key(F.col("w")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
@@ -104,13 +109,14 @@ def jn01(spark, sf):
 
 
 _TOKENS = f"""
-, toks AS (SELECT site, u AS src, n, t, i - 1 AS pos, regexp_extract(lower(t), '[0-9a-ząćęłńóśźż]+') AS norm FROM (
-   SELECT site, u, n, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT site, u, n, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS ts FROM par))),
-tk AS (SELECT *, {FOLD.format('norm')} AS w, norm <> '' AND (norm IN {EN_STOP} OR regexp_matches(norm, '^[0-9]+$')) AS filler, norm IN ('and', 'or', 'nor') AS conj,
+, toks AS (SELECT site, u AS src, lang, n, t, i - 1 AS pos, regexp_extract(lower(t), '[0-9a-ząćęłńóśźż]+') AS norm FROM (
+   SELECT site, u, lang, n, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT site, u, lang, n, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS ts FROM par))),
+tk AS (SELECT *, {FOLD.format('norm')} AS w, norm <> '' AND ((lang = 'en' AND norm IN {EN_STOP}) OR (lang = 'pl' AND norm IN {PL_STOP}) OR regexp_matches(norm, '^[0-9]+$')) AS filler,
+   (lang = 'en' AND norm IN {sql_in(fixed.CONJUNCTIONS['en'])}) OR (lang = 'pl' AND norm IN {sql_in(fixed.CONJUNCTIONS['pl'])}) AS conj,
    regexp_matches(t, '^[(\\[„“"«‘]') AS opens, regexp_matches(t, '[.!?;:…,)\\]”"»’]$') AS ends FROM toks),
 run AS (SELECT *, count(*) FILTER (NOT filler) OVER win AS content, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY site, src, n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended,
    sum(CAST(opens OR norm = '' AS INT)) OVER win AS opened, sum(CAST(conj AS INT)) OVER win AS conjs FROM tk WINDOW win AS (PARTITION BY site, src, n ORDER BY pos)),
-hit AS (SELECT r.site, r.src, r.n, r.pos, r.content, r.ended, r.opened, r.conjs, r.w, vw.u AS dst, min(vw.k) AS k, arg_min(vw.v, vw.k) AS v FROM run r JOIN vw ON vw.site = r.site AND vw.u <> r.src
+hit AS (SELECT r.site, r.src, r.n, r.pos, r.content, r.ended, r.opened, r.conjs, r.w, vw.u AS dst, min(vw.k) AS k, arg_min(vw.v, vw.k) AS v FROM run r JOIN vw ON vw.site = r.site AND vw.lang = r.lang AND vw.u <> r.src
    AND left(vw.v, 4) = left(r.w, 4) AND {same_sql('vw.v', 'r.w')} WHERE NOT filler AND norm <> '' GROUP BY ALL),
 chain AS (SELECT *, CASE WHEN lag(pos) OVER c IS NULL OR pos - lag(pos) OVER c > 3 OR content - lag(content) OVER c <> 1 OR ended > lag(ended) OVER c OR opened > lag(opened) OVER c THEN 1 ELSE 0 END AS brk
    FROM hit WINDOW c AS (PARTITION BY site, src, n, dst ORDER BY pos)),
@@ -129,7 +135,7 @@ def _close(a: str, b: str) -> str:
 
 
 _FOUND = _TOKENS + f"""
-, own AS (SELECT site, u AS src, {_ordered_content('title')} AS ws FROM en),
+, own AS (SELECT site, u AS src, {_ordered_content('title')} AS ws FROM told),
 sets AS (SELECT s.site, s.u, list(s.ks) AS ns FROM (SELECT site, u, f, list(k) AS ks FROM nsets GROUP BY ALL) s GROUP BY ALL),
 tell AS (SELECT vw.site, vw.u, list(k) AS ks FROM vw WHERE NOT EXISTS (SELECT 1 FROM common2 c WHERE c.site = vw.site AND c.stem = left(v, 5)) GROUP BY ALL),
 ev AS (SELECT p.*, coalesce(list_max(list_transform(list_filter(ns, lambda s: len(list_intersect(s, hits)) = len(s)), lambda s: len(s))), 0) AS covered,
@@ -148,7 +154,7 @@ found AS (SELECT b.site, b.src, b.dst, CASE WHEN exact THEN 'exact' ELSE 'partia
 
 @query("ph01_ph02_phrases", _PAGES + _COMMON + _FOUND + "SELECT site, src, dst, anchor, anchor_type FROM found")
 def ph01(spark, sf):
-    c = _english(spark, sf).withColumn("is_source", F.lit(True))
+    c = _context(spark, sf).withColumn("is_source", F.lit(True))
     return ph.find_phrases(cand.link_blocks(c), ctx.target_profiles(c)).select("site", "src", "dst", "anchor", "anchor_type")
 
 
@@ -157,8 +163,8 @@ WHERE s.f = 1 AND t.u <> s.u GROUP BY ALL""")
 def jn02(spark, sf):
     """Every word of a page name meets the first vocabulary word it is a form of, in all other pages."""
     from ..functions.words import same_word, word_key
-    p = stage(ctx.target_profiles(_english(spark, sf)))
-    c = _english(spark, sf)
+    p = stage(ctx.target_profiles(_context(spark, sf)))
+    c = _context(spark, sf)
     shared = ctx.shared_names(c)
     w = content_words(F.col("title"), F.col("lang"))
     mine = (c.select("site", "u", w.alias("ws")).withColumn("name", F.array_join(F.array_sort("ws"), " "))
@@ -172,15 +178,15 @@ def jn02(spark, sf):
 @query("ph05_named_pairs")
 def ph05(spark, sf):
     """Automatic mode over all web pages: phrases, links today, template and reserved phrases."""
-    c = _english(spark, sf)
-    return cand.named_pairs(c, EN_CFG).select("site", "src", "dst", "anchor", "anchor_type", "block")
+    c = _context(spark, sf)
+    return cand.named_pairs(c, SHORT_CFG).select("site", "src", "dst", "anchor", "anchor_type", "block")
 
 
 @query("pf17_sc21_pair_rows")
 def pf17(spark, sf):
     """The rows a scorer sees, with the state of every pair."""
-    c = _english(spark, sf)
-    rows = cand.pair_rows(cand.named_pairs(c, EN_CFG), c)
+    c = _context(spark, sf)
+    rows = cand.pair_rows(cand.named_pairs(c, SHORT_CFG), c)
     return rows.select("site", "source_url", "target_url", "anchor", "anchor_type", "placement", "in_menu", F.md5("context").alias("context"), F.md5(F.to_json("state")).alias("state"))
 
 
@@ -190,20 +196,21 @@ def pf17(spark, sf):
 SELECT regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS site, count(*) AS pages FROM t GROUP BY ALL""")
 def pf05(spark, sf):
     pages = inp.domain_pages(spark, sf)
-    c = ctx.site_context(stage(clean.one_page_per_address(pages)[0]), EN_CFG)
+    c = ctx.site_context(stage(clean.one_page_per_address(pages)[0]), SHORT_CFG)
     return cand.run_counters(c, pages).select("site", "pages")
 
 
 @query("jn08_resolve_keywords", f"""
-WITH kw AS (SELECT item_id AS pos, unnest({sql_content("split_part(text, '.', 1)", "'en'")}) AS k FROM benchmark),
-kn AS (SELECT pos, count(*) AS n FROM kw GROUP BY ALL),
-nm AS (SELECT doc_id, f, unnest(ws) AS w, len(ws) AS m FROM (SELECT doc_id, 1 AS f, {sql_content("split_part(text, '.', 1)", "'en'")} AS ws FROM documents WHERE lang = 'en')),
-hit AS (SELECT pos, doc_id, f, m, count(DISTINCT k) AS hk, count(DISTINCT w) AS hw FROM kw JOIN nm ON left(k, 4) = left(w, 4) AND {same_sql('k', 'w')} GROUP BY ALL)
-SELECT pos, 'en.example.com/d' || doc_id || '/' AS dst FROM hit JOIN kn USING (pos) WHERE hk / n >= 0.5
-QUALIFY row_number() OVER (PARTITION BY pos ORDER BY hk / n DESC, hw / m DESC, 'en.example.com/d' || doc_id || '/') = 1""")
+WITH langs AS (SELECT DISTINCT lang FROM documents),
+kw AS (SELECT item_id AS pos, lang, unnest({sql_content("split_part(text, '.', 1)", "lang")}) AS k FROM benchmark, langs),
+kn AS (SELECT pos, lang, count(*) AS n FROM kw GROUP BY ALL),
+nm AS (SELECT doc_id, lang, unnest(ws) AS w, len(ws) AS m FROM (SELECT doc_id, lang, {sql_content("split_part(text, '.', 1)", "lang")} AS ws FROM documents)),
+hit AS (SELECT pos, kw.lang, doc_id, m, count(DISTINCT k) AS hk, count(DISTINCT w) AS hw FROM kw JOIN nm ON kw.lang = nm.lang AND left(k, 4) = left(w, 4) AND {same_sql('k', 'w')} GROUP BY ALL)
+SELECT pos, lang || '.example.com/d' || doc_id || '/' AS dst FROM hit JOIN kn USING (pos, lang) WHERE hk / n >= 0.5
+QUALIFY row_number() OVER (PARTITION BY pos ORDER BY hk / n DESC, hw / m DESC, lang || '.example.com/d' || doc_id || '/') = 1""")
 def jn08(spark, sf):
-    """Benchmark items as keywords; documents, named by their first sentence, as pages."""
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    """Benchmark items as keywords; documents in all languages, named by their first sentence, as pages of one site."""
+    d = inp.table(spark, sf, "documents")
     c = d.select(F.lit("en.example.com").alias("site"), inp.doc_u().alias("u"), F.concat(inp.doc_u(), F.lit("?9")).alias("url"), "lang",
                  F.split_part("text", F.lit("."), F.lit(1)).alias("clean_title"), F.lit("").alias("h1"), F.lit(False).alias("archive"))
     b = inp.table(spark, sf, "benchmark").select(F.lit("en.example.com").alias("site"), F.col("item_id").alias("pos"),
@@ -221,8 +228,8 @@ def _keywords(spark, sf):
 
 @query("jn09_keyword_pairs")
 def jn09(spark, sf):
-    """Keyword mode over all English web pages: benchmark sentences as keywords on every site."""
-    c = _english(spark, sf)
+    """Keyword mode over all web pages: benchmark sentences as keywords on every site."""
+    c = _context(spark, sf)
     resolved, _ = cand.resolve_keywords(_keywords(spark, sf), c)
     return cand.keyword_pairs(c, stage(resolved)).select("site", "src", "dst", "anchor", "anchor_type", "keyword")
 
@@ -242,27 +249,31 @@ def ag10(spark, sf):
 
 
 @query("jn12_repair_suggestions", f"""
-WITH c AS (SELECT item_id, {sql_content("text || ' ' || 'x'", "'en'")} AS clue FROM benchmark), cw AS (SELECT item_id, unnest(clue) AS k FROM c),
-nm AS (SELECT doc_id, unnest(ws) AS w, len(ws) AS m FROM (SELECT doc_id, {sql_content("split_part(text, '.', 1)", "'en'")} AS ws FROM documents WHERE lang = 'en')),
-hit AS (SELECT item_id, doc_id, m, count(DISTINCT w) AS hw FROM cw JOIN nm ON left(k, 4) = left(w, 4) AND {same_sql('k', 'w')} GROUP BY ALL)
-SELECT item_id, arg_min('en.example.com/d' || doc_id || '/', (-(hw / m), -m, 'en.example.com/d' || doc_id || '/')) AS suggested FROM hit WHERE hw / m >= 0.5 GROUP BY item_id""")
+WITH langs AS (SELECT DISTINCT lang FROM documents),
+cw AS (SELECT item_id, lang, unnest({sql_content("text || ' ' || 'x'", "lang")}) AS k FROM benchmark, langs),
+nm AS (SELECT doc_id, lang, unnest(ws) AS w, len(ws) AS m FROM (SELECT doc_id, lang, {sql_content("split_part(text, '.', 1)", "lang")} AS ws FROM documents)),
+hit AS (SELECT item_id, cw.lang, doc_id, m, count(DISTINCT w) AS hw FROM cw JOIN nm ON cw.lang = nm.lang AND left(k, 4) = left(w, 4) AND {same_sql('k', 'w')} GROUP BY ALL)
+SELECT item_id, lang, arg_min(lang || '.example.com/d' || doc_id || '/', (-(hw / m), -m, lang || '.example.com/d' || doc_id || '/')) AS suggested
+FROM hit WHERE hw / m >= 0.5 GROUP BY item_id, lang""")
 def jn12(spark, sf):
-    """Benchmark texts as the link texts of broken links; documents, named by their first sentence, as pages."""
-    d = inp.table(spark, sf, "documents").filter("lang = 'en'")
+    """Benchmark texts as the link texts of broken links on the first page of every language; documents, named by their
+    first sentence, as pages."""
+    d = inp.table(spark, sf, "documents")
     c = d.select(F.lit("en.example.com").alias("site"), inp.doc_u().alias("u"), F.concat(inp.doc_u(), F.lit("?9")).alias("url"), "lang",
                  F.split_part("text", F.lit("."), F.lit(1)).alias("clean_title"), F.lit("").alias("h1"), F.lit(False).alias("archive"))
-    first = c.agg(F.min("u").alias("m")).first()["m"]
-    b = inp.table(spark, sf, "benchmark").select(F.lit("en.example.com").alias("site"), F.lit(first).alias("src"), F.lit(0).alias("block"), F.col("text").alias("anchor"),
-                                                 F.lit("en.example.com/x/").alias("href"), "item_id")
-    out = repair.suggest_pages(b, stage(c))
-    return out.filter("suggested is not null").select("item_id", "suggested")
+    c = stage(c)
+    first = c.groupBy("site", "lang").agg(F.min("u").alias("src")).withColumnRenamed("lang", "link_lang")
+    b = inp.table(spark, sf, "benchmark").select(F.lit("en.example.com").alias("site"), F.lit(0).alias("block"), F.col("text").alias("anchor"),
+                                                 F.lit("en.example.com/x/").alias("href"), "item_id").join(first, "site")
+    out = repair.suggest_pages(b, c)
+    return out.filter("suggested is not null").select("item_id", F.col("link_lang").alias("lang"), "suggested")
 
 
 @query("jn05_reserved_phrases")
 def jn05(spark, sf):
     """Page names used as if they were partial phrases for the next page of their site: reserved ones leave."""
     from pyspark.sql import Window
-    c = _english(spark, sf)
+    c = _context(spark, sf)
     nxt = F.lead("u").over(Window.partitionBy("site").orderBy("u"))
     found = c.select("site", "lang", F.col("u").alias("src"), nxt.alias("dst"), F.col("clean_title").alias("anchor"), F.lit("partial").alias("anchor_type")).filter("dst is not null")
     return cand.drop_reserved_phrases(stage(found), ctx.target_profiles(c)).select("site", "src", "dst", "anchor")
@@ -270,8 +281,8 @@ def jn05(spark, sf):
 
 @query("ph04_phrase_candidates")
 def ph04(spark, sf):
-    """Link texts every English paragraph offers for its own page's name."""
-    c = _english(spark, sf)
+    """Link texts every paragraph offers for its own page's name."""
+    c = _context(spark, sf)
     rows = clean.block_rows(c, "lang", "clean_title").filter("tag = 'p'")
     out = ph.phrase_candidates(rows.select("site", "u", "block", "lang", "text", F.col("clean_title").alias("hint")), ["site", "u", "block"])
     return out.select("site", "u", "block", F.array_join("phrases", " | ").alias("phrases"))
