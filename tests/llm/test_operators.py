@@ -111,6 +111,21 @@ def test_line_dedup_tries_every_candidate(spark):
     assert gone == brute_lines(data) and len(gone) >= 60
 
 
+def test_line_dedup_long_lines(spark):
+    # sets of 60 to 400 words on both sides of the threshold, beside unlike sets of the same sizes; the last ones nest
+    data = []
+    for s, n in enumerate((60, 90, 130, 250, 400) * 3):
+        r = random.Random(300 + s)
+        base = [f"w{i}" for i in r.sample(range(900), n)]
+        data.append((s * 10, " ".join(base)))
+        for v, changed in enumerate((n // 9 - 1, n // 9, n // 9 + 1), 1):
+            other = [f"x{s}y{v}z{i}" for i in range(changed)]
+            data.append((s * 10 + v, " ".join(r.sample(base[changed:] + other, n))))
+        data += [(s * 10 + 5, " ".join(base[:n * 4 // 5])), (s * 10 + 6, " ".join(base[:n * 4 // 5 - 1]))]
+    gone = {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert gone == brute_lines(data) and 45 <= len(gone) < len(data)
+
+
 def test_language(spark, none):
     german = ["der die und ist nicht ein schön straße " + prose(3, s) for s in range(60)]
     french = ["le la et est pas un été élève " + prose(3, s + 500) for s in range(60)]
