@@ -95,8 +95,11 @@ def drop_reserved_phrases(found: DataFrame, names: DataFrame) -> DataFrame:
     return marked.filter((F.col("anchor_type") == "exact") | F.col("_lo").isNull() | ~other).drop("_lo", "_hi")
 
 
-def named_pairs(context: DataFrame, cfg: dict = fixed.DEFAULTS) -> DataFrame:
-    """(site, lang, src, dst, anchor, anchor_type, block): pairs a phrase of the source names."""
+def named_steps(context: DataFrame, cfg: dict = fixed.DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, without template phrases, without reserved phrases), each (site, lang, src, dst, anchor, anchor_type, block).
+
+    Found are the phrases that name a page their source does not link to yet.
+    """
     profiles = target_profiles(context)
     flags = context.select("site", "u", "is_target", "archive")
     eligible = profiles.join(flags, ["site", "u"])
@@ -106,11 +109,33 @@ def named_pairs(context: DataFrame, cfg: dict = fixed.DEFAULTS) -> DataFrame:
     fresh = found.join(linked, ["site", "src", "dst"], "left_anti")
     n_sources = context.groupBy("site").agg(F.count_if("is_source").alias("sources"))
     kept = stage(drop_template_phrases(fresh, n_sources, cfg["template_share"]))
-    return drop_reserved_phrases(kept, eligible.filter("not archive").drop("is_target", "archive"))
+    return fresh, kept, drop_reserved_phrases(kept, eligible.filter("not archive").drop("is_target", "archive"))
+
+
+def named_pairs(context: DataFrame, cfg: dict = fixed.DEFAULTS) -> DataFrame:
+    """(site, lang, src, dst, anchor, anchor_type, block): pairs a phrase of the source names."""
+    return named_steps(context, cfg)[2]
+
 
+def phrase_counters(found: DataFrame, plain: DataFrame, free: DataFrame) -> DataFrame:
+    """(site, template_phrases, reserved_phrases): pairs that left as repeated by the template, and as another page's name."""
+    steps = [t.groupBy("site").agg(F.count(F.lit(1)).alias(c)) for t, c in ((found, "_found"), (plain, "_plain"), (free, "_free"))]
+    none = F.lit(0).cast("bigint")
+    return steps[0].join(steps[1], "site", "left").join(steps[2], "site", "left").select(
+        "site", (F.col("_found") - F.coalesce("_plain", none)).alias("template_phrases"),
+        (F.coalesce("_plain", none) - F.coalesce("_free", none)).alias("reserved_phrases"))
 
-def run_counters(context: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per site: pages per language, sources, listings, archives, pages without a language."""
+
+def run_counters(context: DataFrame, pages: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
+    """Per site: pages per language, sources, listings, archives, pages without a language, template and reserved phrases.
+
+    pages: one row per address; phrases: (site, template_phrases, reserved_phrases), null counts where no phrases were searched.
+    """
+    if phrases is None:
+        phrases = pages.select("site", *[F.lit(None).cast("bigint").alias(c) for c in ("template_phrases", "reserved_phrases")]).limit(0)
+        unknown = F.lit(None).cast("bigint")
+    else:
+        unknown = F.lit(0).cast("bigint")
     langs = (context.groupBy("site", "lang").agg(F.count(F.lit(1)).alias("n")).groupBy("site")
              .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "lang", "n"))), ", ").alias("languages")))
     flags = context.groupBy("site").agg(F.count_if("is_source").alias("sources"), F.count_if("listing").alias("listings"),
@@ -119,7 +144,8 @@ def run_counters(context: DataFrame, pages: DataFrame) -> DataFrame:
     spoken = context.groupBy("site").agg(F.count(F.lit(1)).alias("_spoken"))
     return (total.join(spoken, "site", "left").join(langs, "site", "left").join(flags, "site", "left")
             .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sources", "listings", "archives")})
-            .withColumn("languages", F.coalesce("languages", F.lit("")))
+            .withColumn("languages", F.coalesce("languages", F.lit(""))).join(phrases, "site", "left")
+            .withColumns({c: F.coalesce(c, unknown) for c in ("template_phrases", "reserved_phrases")})
             .withColumn("unsupported", F.col("pages") - F.coalesce("_spoken", F.lit(0))).drop("_spoken"))
 
 

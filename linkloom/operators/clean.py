@@ -9,8 +9,8 @@ from ..functions import fixed
 from ..functions.texts import block_key, excerpt_key, first_words, is_cut
 from ..functions.urls import norm_url
 from ..functions.words import n_tokens
-from ..session import stage
-from .scale import spread_join
+from ..session import only_result, stage
+from .scale import split_join, spread_join
 
 
 def one_page_per_address(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,34 +89,48 @@ def strip_templates(pages: DataFrame) -> DataFrame:
 def excerpt_hits(pages: DataFrame) -> DataFrame:
     """Blocks that repeat the description or text of a page they link to.
 
-    (site, u, block, shown, strong, n_words): a strong hit previews the page on its own. Opening words
-    found on one page only can match nothing and leave first; the remaining blocks meet the links of
-    their page before the other page's openings, so both joins have two selective equi keys.
+    (site, u, block, shown, strong, n_words): a strong hit previews the page on its own. Blocks meet the links of their
+    page and the other page's openings by digests. A block that equals the other page's description or one of its
+    blocks is decided by them; only for the others are texts read, each different block text once for a page shown.
     """
-    own = block_rows(pages, "meta").select("site", "u", "block", "raw", excerpt_key(F.col("raw")).alias("key"))
-    openings = own.select("site", "u", "block", "raw", "key", first_words(F.col("key")).alias("opening")).filter("opening is not null")
-    from_meta = pages.select("site", "u", first_words(excerpt_key(F.col("meta"))).alias("opening")).filter("opening is not null")
-    starts = openings.select("site", "u", "opening").union(from_meta).distinct()
-    shared = starts.groupBy("site", "opening").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    starts = spread_join(starts, shared, ["site", "opening"], "left_semi", ["u"])
-    candidates = spread_join(openings, shared, ["site", "opening"], "left_semi", ["u", "block"])
-
+    key = excerpt_key(F.col("raw"))
+    own = block_rows(pages).select("site", "u", "block", "raw", key.alias("key"))
+    slim = stage(own.select("site", "u", "block", _digest(first_words(F.col("key"))).alias("opening"), _digest(F.col("key")).alias("digest"),
+                            is_cut(F.col("raw")).alias("cut"), n_tokens(F.col("raw")).alias("n_words")).filter("opening is not null"))
+    meta = excerpt_key(F.col("meta"))
+    from_meta = pages.select("site", "u", _digest(first_words(meta)).alias("opening"), _digest(meta).alias("digest")).filter("opening is not null")
+    parts = slim.select("site", "u", "opening", "digest", F.lit(False).alias("of_meta")).unionByName(from_meta.withColumn("of_meta", F.lit(True)))
+    # opening words found on one page only can match nothing and leave first
+    shared = parts.select("site", "u", "opening").distinct().groupBy("site", "opening").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    starts = spread_join(parts.distinct(), shared, ["site", "opening"], "left_semi", ["u"]).withColumnRenamed("u", "shown")
+    candidates = spread_join(slim, shared, ["site", "opening"], "left_semi", ["u", "block"])
     links = pages.select("site", "u", F.explode(
         F.array_distinct(F.concat("content_links", "other_links", "breadcrumb_links"))).alias("shown")).filter("u <> shown")
-    pairs = candidates.join(links, ["site", "u"]).join(
-        starts.withColumnRenamed("u", "shown"), ["site", "shown", "opening"])
-
-    shown_text = pages.select(
-        "site", F.col("u").alias("shown"), excerpt_key(F.col("meta")).alias("shown_meta"),
-        F.array_join(F.transform("blocks", lambda b: excerpt_key(b["raw"])), " ").alias("shown_text"))
-    wide = pairs.join(shown_text, ["site", "shown"])
-    cut, key, meta, text = is_cut(F.col("raw")), F.col("key"), F.col("shown_meta"), F.col("shown_text")
-    strong = (key == meta) | (cut & (meta.startswith(key) | F.contains(text, key)))
-    weak = F.contains(text, key) | F.contains(meta, key)
-    hits = wide.select("site", "u", "block", "shown", "raw", strong.alias("strong"), weak.alias("weak")).filter("strong or weak")
-    first = F.min_by(F.struct("shown", "strong", "raw"), F.struct((~F.col("strong")).alias("s"), F.col("shown").alias("k")))
-    return (hits.groupBy("site", "u", "block").agg(first.alias("h"))
-            .select("site", "u", "block", "h.shown", "h.strong", n_tokens(F.col("h.raw")).alias("n_words")))
+    # a page shown may be linked from every page of its site: its parts are the small side
+    both = stage(candidates.join(links, ["site", "u"]))
+    met = split_join(both.withColumnRenamed("digest", "own"), stage(starts), ["site", "shown", "opening"], ["u", "block"], ["digest", "of_meta"])
+    same = F.col("own") == F.col("digest")
+    pairs = stage(met.groupBy("site", "u", "block", "shown", F.col("own").alias("digest"), "cut", "n_words").agg(
+        F.bool_or(same & F.col("of_meta")).alias("is_meta"), F.bool_or(same & ~F.col("of_meta")).alias("is_block")))
+
+    # texts of the pairs that digests leave open
+    open_ = pairs.filter("not is_meta and not is_block").select("site", "shown", "digest").distinct()
+    keys = own.withColumn("digest", _digest(F.col("key"))).join(open_.select("site", "digest").distinct(), ["site", "digest"], "left_semi")
+    keys = keys.groupBy("site", "digest").agg(F.first("key").alias("key"))   # equal digests, equal keys
+    asked = stage(spread_join(open_, keys, ["site", "digest"], "inner", ["shown"], salts=4))
+    wanted = asked.select("site", "shown").distinct()
+    texts = stage(pages.withColumnRenamed("u", "shown").join(wanted, ["site", "shown"], "left_semi").select(
+        "site", "shown", meta.alias("shown_meta"), F.array_join(F.transform("blocks", lambda b: excerpt_key(b["raw"])), " ").alias("shown_text")))
+    read = split_join(asked, texts, ["site", "shown"], ["digest"], ["shown_meta"])
+    k, m, text = F.col("key"), F.col("shown_meta"), F.col("shown_text")
+    found = read.select("site", "shown", "digest", (m.startswith(k) | F.contains(text, k)).alias("begins"),
+                        (F.contains(text, k) | F.contains(m, k)).alias("inside")).filter("inside")
+    joined = spread_join(pairs, found, ["site", "shown", "digest"], "left", ["u", "block"])
+    strong = F.col("is_meta") | (F.col("cut") & (F.col("is_block") | F.coalesce("begins", F.lit(False))))
+    hits = joined.filter("is_meta or is_block or inside").withColumn("strong", strong)
+    first = F.min_by(F.struct("shown", "strong"), F.struct((~F.col("strong")).alias("s"), F.col("shown").alias("k")))
+    return (hits.groupBy("site", "u", "block").agg(first.alias("h"), F.first("n_words").alias("n_words"))
+            .select("site", "u", "block", "h.shown", "h.strong", "n_words"))
 
 
 def excerpt_drops(hits: DataFrame) -> DataFrame:
@@ -150,6 +164,7 @@ def strip_excerpts(pages: DataFrame, min_words: int = 150) -> DataFrame:
         F.when(hit, n_drop).otherwise(F.lit(0)).alias("excerpts_removed"))
 
 
+@only_result
 def clean_pages(pages: DataFrame, min_words: int = 150) -> DataFrame:
     """Template blocks first (by declared language), then excerpts."""
     u = pages if "u" in pages.columns else pages.withColumn("u", norm_url(F.col("url")))

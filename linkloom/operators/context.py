@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions.texts import strip_suffix, title_suffix
 from ..functions.urls import is_archive, path_of, slug
 from ..functions.words import content_words, detect_lang, fold, n_tokens, same_word, words
-from ..session import stage
+from ..session import only_result, stage
 from .scale import spread_join
 
 
@@ -43,6 +43,7 @@ def on_list(pages: DataFrame, allowed: DataFrame | None, name: str) -> DataFrame
     return pages.join(marks, ["site", "u"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+@only_result
 def site_context(pages: DataFrame, cfg: dict = fixed.DEFAULTS, *, sources_re: str | None = None,
                  targets_re: str | None = None, sources: DataFrame | None = None,
                  targets: DataFrame | None = None) -> DataFrame:

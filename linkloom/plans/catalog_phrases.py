@@ -190,14 +190,25 @@ def pf17(spark, sf):
     return rows.select("site", "source_url", "target_url", "anchor", "anchor_type", "placement", "in_menu", F.md5("context").alias("context"), F.md5(F.to_json("state")).alias("state"))
 
 
-@query("pf05_pf06_ag26_counters", with_views(inp.WEB) + f"""
-, t AS (SELECT w.site, w.url, w.u, lang, {W.format("coalesce(string_agg(raw, ' '), '')")} AS s, len(list_filter(regexp_split_to_array(coalesce(string_agg(raw, ' '), ''), '\\s+'), lambda x: x <> '')) AS words
-  FROM web w LEFT JOIN web_paragraphs p USING (site, url, u, lang) GROUP BY ALL)
-SELECT regexp_extract(site, '([^.]+\\.[^.]+)$', 1) AS site, count(*) AS pages FROM t GROUP BY ALL""")
+_ARCHIVE = "(" + "|".join(fixed.DEFAULTS["archive_patterns"]) + ")"
+
+
+@query("pf05_pf06_ag26_counters", _PAGES + f"""
+, body AS (SELECT site, u, len(list_filter(regexp_split_to_array(regexp_replace(article, '<[^>]*>', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS words FROM one),
+f AS (SELECT told.site, told.u, told.lang, coalesce(words, 0) AS words, regexp_matches({inp.PATH.format('told.url')}, '{_ARCHIVE}') AS archive
+  FROM told LEFT JOIN body USING (site, u)),
+c AS (SELECT site, count(*) AS spoken, count(*) FILTER (words >= 20 AND NOT archive) AS sources, count(*) FILTER (NOT archive) AS targets,
+  count(*) FILTER (archive) AS archives FROM f GROUP BY site),
+l AS (SELECT site, string_agg(x, ', ' ORDER BY x) AS languages FROM (SELECT site, lang || ' ' || count(*) AS x FROM f GROUP BY site, lang) GROUP BY site),
+p AS (SELECT site, count(*) AS pages FROM one GROUP BY site)
+SELECT site, pages, coalesce(sources, 0) AS sources, coalesce(targets, 0) AS targets, coalesce(archives, 0) AS archives,
+  coalesce(languages, '') AS languages, pages - coalesce(spoken, 0) AS unsupported FROM p LEFT JOIN c USING (site) LEFT JOIN l USING (site)""")
 def pf05(spark, sf):
-    pages = inp.domain_pages(spark, sf)
-    c = ctx.site_context(stage(clean.one_page_per_address(pages)[0]), SHORT_CFG)
-    return cand.run_counters(c, pages).select("site", "pages")
+    pages = stage(clean.one_page_per_address(inp.domain_pages(spark, sf))[0])
+    c = ctx.site_context(pages, SHORT_CFG)
+    targets = c.groupBy("site").agg(F.count_if("is_target").alias("targets"))
+    out = cand.run_counters(c, pages).join(targets, "site", "left").withColumn("targets", F.coalesce("targets", F.lit(0)))
+    return out.select("site", "pages", "sources", "targets", "archives", "languages", "unsupported")
 
 
 @query("jn08_resolve_keywords", f"""

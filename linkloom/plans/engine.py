@@ -103,6 +103,10 @@ class LinkEngine:
         """(pairs, resolved keywords or None)."""
         if keywords is None:
             return cand.named_pairs(context, self.cfg), None
+        return self.listed_pairs(context, keywords)
+
+    @staticmethod
+    def listed_pairs(context: DataFrame, keywords: DataFrame) -> tuple[DataFrame, DataFrame]:
         resolved, _ = cand.resolve_keywords(keywords, context)
         return cand.keyword_pairs(context, resolved), resolved
 
@@ -235,7 +239,14 @@ class LinkEngine:
     def _run(self, res: Result, pages: DataFrame, hooks: Hooks, keywords: DataFrame | None, statuses: DataFrame | None, console: DataFrame | None,
              generated: DataFrame | None, semantic: bool, options: Options) -> Result:
         context = self.prepare(pages, options)
-        pairs, resolved = self.candidates(context, keywords)
+        phrases, resolved = None, None
+        if keywords is None:
+            found, plain, free = cand.named_steps(context, self.cfg)
+            pairs = stage(free)
+            phrases = cand.phrase_counters(found, plain, pairs)
+        else:
+            pairs, resolved = self.listed_pairs(context, keywords)
+        counters = stage(cand.run_counters(context, clean.one_page_per_address(pages)[0], phrases))
         rows = stage(cand.pair_rows(pairs, context))
         broken = None
         if statuses is not None:
@@ -271,10 +282,11 @@ class LinkEngine:
             items = items if items is None else self.open_sites(res, items, ["hub"])
             broken = broken if broken is None else self.open_sites(res, broken, ["source_url"])
             resolved = resolved if resolved is None else self.open_sites(res, resolved, ["keyword"])
+            counters = self.open_sites(res, counters, ["site"])
         calls = res.calls[0]
         for figures in res.calls[1:]:
             calls = calls.unionByName(figures)
-        res.tables["calls"] = calls
+        res.tables["calls"], res.tables["counters"] = calls, counters
         res.tables["failures"] = calls.filter("stopped").select("site", "step", "calls", "failed", "error")
         if broken is not None:
             res.tables["broken"] = tables.broken_output(broken)

@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,9 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
+_STAGED: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("staged", default=None)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -57,4 +63,40 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    made = _STAGED.get()
+    if made is not None:
+        made.append((path, staged))
+    return staged
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can reach it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def only_result(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that build one table: the result is staged, and all tables staged on the way are deleted.
+
+    The result reads nothing but its own table; nothing else that the function built may be used after it returns.
+    """
+    @wraps(build)
+    def run(*args, **kwargs) -> DataFrame:
+        outer, made = _STAGED.get(), []
+        _STAGED.set(made)
+        try:
+            built = build(*args, **kwargs)
+            kept = built if any(built is df for _, df in made) else stage(built)
+        except BaseException:
+            kept = None
+            raise
+        finally:
+            _STAGED.set(outer)
+            for path, df in made:
+                if df is not kept:
+                    delete_folder(df.sparkSession, path)
+                elif outer is not None:
+                    outer.append((path, df))
+        return kept
+    return run
