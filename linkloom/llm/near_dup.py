@@ -20,11 +20,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import only_result, stage
 from .graph import components
 from .texts import FOLDED, SPACES, U64, gram_hashes, map_texts, mixed, seeded, text_buffer, word_hashes, word_spans
 
@@ -140,6 +140,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def kept_ids(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(id, kept): whether any row of a document with an id is kept."""
+    found = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("doc_id is not null")
+    return found.groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, whole: DataFrame | None = None, k: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates, once; columns as given.
+
+    `whole` (doc_id, text) may hold texts of the same documents from before lines were taken out of them. Documents are
+    then grouped by these texts, too, and go if they are not the first of their group either way: what such a step
+    leaves of a near copy may resemble nothing. The first of all that are connected always stays. Documents without a
+    whole text are judged by their own alone. Rows without an id are no group's representative and stay; rows that
+    share id and text are one, the first by their columns.
+    """
+    own = only_result(kept_ids)(docs, k, percent)
+    named = docs.filter("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).join(
+        own.filter("kept").select(F.col("id").alias("_id")), "_id", "left_semi")
+    if whole is not None:
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        before = only_result(kept_ids)(whole.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), k, percent)
+        named = named.join(before.filter("not kept").select(F.col("id").alias("_id")), "_id", "left_anti")
+    order = Window.partitionBy("_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    once = named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_id")
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+
+
 def forest(linked: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest over names: enough of the links to unite all that are linked, never all of them."""
     roots, edges = names.copy(), []
