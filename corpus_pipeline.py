@@ -6,12 +6,12 @@ of documents. Null and empty texts pass every stage; an empty table passes as an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import bpe, decontaminate, line_dedup, near_dup, toxicity
 from linkloom.llm.catalog import table, tokenizer_path
-from linkloom.session import ship_package, stage
+from linkloom.session import only_result, ship_package, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines with a similar line earlier in the corpus go, and so do later copies of lines too short to compare; a document
     that loses all its words this way goes, too."""
     ship_package(spark)
-    gone = line_dedup.removed_lines(docs, copy_words=1)
+    gone = only_result(line_dedup.removed_lines)(docs, copy_words=1)
     cleaned = line_dedup.without_lines(docs.withColumn("_before", F.length("text")), gone)
     emptied = (F.length("text") < F.col("_before")) & ~F.col("text").rlike(r"\S")
     kept = cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop("_before")
@@ -36,14 +36,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (shingles of five words, similarity 0.8) the document with the smallest id stays, once.
 
+    Line dedup leaves of a near copy no more than its changed lines, which resemble nothing. So the documents are
+    compared by the texts they have here and by their whole texts in `documents`, among those that reached this stage.
     Rows without an id are no group's representative and stay.
     """
     ship_package(spark)
-    kept = near_dup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.filter("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).join(kept, "_id", "left_semi")
-    order = Window.partitionBy("_id", "text").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    once = named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_id")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    return near_dup.one_of_each_group(docs, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +72,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over `documents`."""
+@only_result
+def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the filtering stages leave of `documents`; the tables of a finished stage are deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = only_result(step)(spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over `documents`."""
+    return STAGES[-1][1](spark, filtered(spark, sf_dir), sf_dir)
