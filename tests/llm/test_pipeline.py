@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from linkloom.llm import near_dup
+from linkloom.session import stage
 
 from test_operators import PASSAGE, SCHEMA, brute_components, brute_lines, prose, rows
 
@@ -26,7 +27,7 @@ def test_stages(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     after = {}
     for name, step in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.stage(step(spark, docs, str(tmp_path)))
+        before, docs = docs, stage(step(spark, docs, str(tmp_path)))
         after[name] = (before, docs)
         if name != "bpe":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -67,5 +68,18 @@ def test_empty_and_extra_columns(spark, tmp_path):
     for docs in (extra, extra.limit(0)):
         for name, step in corpus_pipeline.STAGES:
             columns = docs.columns
-            docs = corpus_pipeline.stage(step(spark, docs, str(tmp_path)))
+            docs = stage(step(spark, docs, str(tmp_path)))
             assert name == "bpe" or docs.columns == columns
+
+
+def test_near_copies_leave_no_stubs(spark, tmp_path):
+    body = [[prose(12, 5000 + 40 * d + n) for n in range(20)] for d in range(3)]
+    copy, half = list(body[0]), [*body[1][:10], *[prose(12, 7000 + n) for n in range(10)]]
+    copy[7] = prose(12, 6000)
+    texts = ["\n".join(x) for x in (*body, copy, half)]
+    write_tables(tmp_path, texts)
+    lines = stage(corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)))
+    assert {r.doc_id: r.text for r in lines.collect()}[3] == copy[7], "a stub is left"
+    kept = corpus_pipeline.keep_one_of_each_group(spark, lines, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 4}
+    assert {r.doc_id for r in near_dup.one_of_each_group(lines).collect()} == {0, 1, 2, 3, 4}
