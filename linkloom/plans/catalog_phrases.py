@@ -190,11 +190,18 @@ def pf17(spark, sf):
     return rows.select("site", "source_url", "target_url", "anchor", "anchor_type", "placement", "in_menu", F.md5("context").alias("context"), F.md5(F.to_json("state")).alias("state"))
 
 
+_STRIPPED = "regexp_replace({0}, '<[^>]*>', ' ', 'g')"
 _ARCHIVE = "(" + "|".join(fixed.DEFAULTS["archive_patterns"]) + ")"
 
 
 @query("pf05_pf06_ag26_counters", _PAGES + f"""
-, body AS (SELECT site, u, len(list_filter(regexp_split_to_array(regexp_replace(article, '<[^>]*>', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS words FROM one),
+, inner_html AS (SELECT one.site, one.u, one.article, regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1), '(?s)<!--.*?-->', ' ', 'g') AS body
+  FROM one JOIN web ON web.url = one.url),
+chosen AS (SELECT site, u, {_STRIPPED.format('article')} AS article, {_STRIPPED.format('body')} AS all_text,
+  {_STRIPPED.format("regexp_replace(body, '(?s)<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g')")} AS own FROM inner_html),
+body AS (SELECT site, u, len(list_filter(regexp_split_to_array(
+  CASE WHEN length(regexp_replace(article, '\\s+', '', 'g')) < {fixed.ARTICLE_SHARE} * length(regexp_replace(all_text, '\\s+', '', 'g')) THEN own ELSE article END,
+  '\\s+'), lambda x: x <> '')) AS words FROM chosen),
 f AS (SELECT told.site, told.u, told.lang, coalesce(words, 0) AS words, regexp_matches({inp.PATH.format('told.url')}, '{_ARCHIVE}') AS archive
   FROM told LEFT JOIN body USING (site, u)),
 c AS (SELECT site, count(*) AS spoken, count(*) FILTER (words >= 20 AND NOT archive) AS sources, count(*) FILTER (NOT archive) AS targets,
