@@ -57,3 +57,22 @@ def test_one_word_keywords_work_when_the_user_lists_them(spark, pages_of):
     assert [r["keyword"] for r in lost.collect()] == ["spaceship"]
     got = {(r["src"], r["anchor"], r["keyword"]) for r in cand.keyword_pairs(context, resolved).collect()}
     assert ("example.com/alignment/", "winter tyre", "winter tyres") in got
+
+
+def test_phrases_that_leave_are_counted(spark, pages_of):
+    rows = [page("https://example.com/winter-tyre-change/", "Winter tyre change", f"First. {FILL}"), page("https://example.com/winter-tyre/", "Winter tyre", f"Second. {FILL}"),
+            page("https://example.com/air/", "Vehicle conditioning service", f"Third. {FILL}")]
+    rows += [page(f"https://example.com/t{n}/", word, f"{word}: book our vehicle conditioning service. {FILL}")
+             for n, word in enumerate(["Brake pads", "Summer wheels", "Garden fence", "Roof paint"])]
+    rows.append(page("https://example.com/r/", "Oil filter", f"Put a winter tyre on. {FILL}"))
+    pages = pages_of(rows)
+    context = LinkEngine(spark).prepare(pages)
+    found, plain, free = cand.named_steps(context, {**DEFAULTS, "template_share": 0.3})
+    count = lambda t, dst: t.filter(t.dst == f"example.com/{dst}/").count()
+    assert (count(found, "air"), count(plain, "air")) == (4, 0)
+    assert {(r["src"], r["dst"]) for r in free.collect() if r["src"] == "example.com/r/"} == {("example.com/r/", "example.com/winter-tyre/")}
+    counted = cand.phrase_counters(found, plain, free)
+    row = cand.run_counters(context, pages, counted).collect()[0]
+    assert (row["template_phrases"], row["reserved_phrases"]) == (found.count() - plain.count(), plain.count() - free.count())
+    assert row["template_phrases"] == 4 and row["reserved_phrases"] >= 1 and row["pages"] == 8 and row["languages"] == "en 8"
+    assert cand.run_counters(context, pages).collect()[0]["template_phrases"] is None
