@@ -107,6 +107,7 @@ def test_every_key_is_sent_once_and_a_second_run_sends_nothing(spark, pages_of,
 def test_one_failing_site_of_three(spark, pages_of, tmp_path):
     result = LinkEngine(spark, CFG).run(three_sites(pages_of), hooks_noting(str(tmp_path), "two.com"), semantic=True)
     failed = result["failures"].collect()
+    assert not {r["site"] for r in failed} & {r["site"] for r in result["counters"].collect()}
     assert [(r["site"], r["step"], r["error"]) for r in failed] == [("two.com", "scores", "timeout")] and failed[0]["failed"] == failed[0]["calls"]
     for name in ("recommendations", "links", "metrics", "coverage", "briefs"):
         assert {r["site"] for r in result[name].select("site").collect()} == {"one.com", "three.com"}, name
