@@ -35,3 +35,19 @@ def test_light_keys_are_joined_as_they_are(spark):
     left, right = sides(spark, 1000, 0.0)
     assert scale.cut_cells(left, right, ["site", "k"], ["a"], ["b"], cell=1000) is None
     assert scale.split_join(left.limit(0), right, ["site", "k"], ["a"], ["b"], cell=10).count() == 0
+
+
+def test_the_repeated_side_of_a_spread_join_is_not_taken_for_small(spark):
+    """It has 16 times its rows; a limit that lets the side itself through must not broadcast the repeats."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        small = spark.range(20_000).withColumnRenamed("id", "k")
+        big = spark.range(200_000).select((F.col("id") % 30_000).alias("k"), F.col("id").alias("a"))
+        joined = scale.spread_join(big, small, ["k"], "left_anti", ["a"])
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == big.filter("k >= 20000").count()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
