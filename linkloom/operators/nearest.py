@@ -1,9 +1,10 @@
 """Closest vectors, exactly, in tiles.
 
-Both sides of a (site, language) group are cut into tiles of bounded size by a hash of the page, so a
-group of any size is spread over many tasks. Two tiles meet in one small matrix product, and a tile
-pair emits about k rows per query: no list of all pairs ever exists. Excluded pairs are routed to the
-tile pair they belong to, before the choice, so an exclusion never costs a result.
+Both sides of a (site, language) group are cut into tiles by a hash of the page, and every pair of tiles
+is a cell of its own, so a group of any size is spread over many tasks. A row is sent once per tile of the
+other side: a group has few tiles, whatever its size, until they are as large as one task should hold. A
+cell works through matrix products of bounded size and emits about k rows per query: no list of all pairs
+ever exists. Excluded pairs are routed to their cell, before the choice, so an exclusion never costs a result.
 """
 
 from __future__ import annotations
@@ -13,44 +14,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .scale import spread_join
 
-TILE = 2048
+TILE = 2048        # rows of a tile of a small group
+TILES = 8          # tiles of a larger group; its tiles grow
+TILE_MOST = 16384  # up to this many rows; groups beyond have more tiles
+PRODUCT = 1 << 22  # scores computed at once
 
 GROUP = ["site", "lang"]
 _FOUND = "site string, lang string, id string, page string, block int, raw_score double"
 
 
-def _tiles(rows: DataFrame, spread: str, tile_rows: int, name: str) -> DataFrame:
-    """Adds the tile number and the number of tiles of the group; rows of one page stay together."""
-    sizes = rows.groupBy(*GROUP).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias(f"n_{name}"))
-    cut = spread_join(rows, sizes, GROUP, "inner", [spread])
-    return cut.withColumn(name, F.pmod(F.xxhash64(spread), F.col(f"n_{name}")).cast("int"))
+def _sizes(rows: DataFrame, tile_rows: int, name: str) -> DataFrame:
+    """Number of tiles per group."""
+    n = F.count(F.lit(1))
+    tiles = F.greatest(F.least(F.ceil(n / tile_rows), F.lit(TILES)), F.ceil(n / max(tile_rows, TILE_MOST)))
+    return rows.groupBy(*GROUP).agg(tiles.cast("int").alias(name))
 
 
-def _tile_kernel(k: int, minimum: float | None):
+def _cell_kernel(k: int, minimum: float | None):
     floor = -np.inf if minimum is None else minimum
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         """Best k pages of one item tile for every query of one query tile."""
-        row = pdf.iloc[0]
-        ids, pages, blocks = (np.asarray(row[c]) for c in ("ids", "pages", "blocks"))
-        q = np.asarray(row["q"], dtype=float).reshape(len(ids), -1)
-        m = np.asarray(row["m"], dtype=float).reshape(len(pages), -1)
-        starts = np.flatnonzero(np.r_[True, pages[1:] != pages[:-1]])     # items come sorted by page, block
-        ends, names = np.r_[starts[1:], len(pages)], pages[starts]
-        scores = q @ m.T
-        per_page = np.maximum.reduceat(scores, starts, axis=1)            # one passage per page
-        row_of, col_of = ({v: n for n, v in enumerate(vs)} for vs in (ids, names))
-        for a, b in zip(row["skip_id"], row["skip_page"]):
-            per_page[row_of[a], col_of[b]] = -np.inf
-        keep = min(k, per_page.shape[1])
-        cut = np.partition(per_page, -keep, axis=1)[:, -keep]             # ties with the k-th stay in
-        rows, cols = np.nonzero((per_page >= cut[:, None] - 1e-9) & (per_page >= floor) & np.isfinite(per_page))
-        return pd.DataFrame({
-            "site": row["site"], "lang": row["lang"], "id": ids[rows], "page": names[cols],
-            "block": [int(blocks[starts[c] + np.argmax(scores[r, starts[c]:ends[c]])]) for r, c in zip(rows, cols)],
-            "raw_score": per_page[rows, cols]}, columns=["site", "lang", "id", "page", "block", "raw_score"])
+        skip = asked["vector"].isna()
+        queries, skips = asked[~skip], asked[skip]
+        if not len(queries) or not len(items):
+            return pd.DataFrame(columns=["site", "lang", "id", "page", "block", "raw_score"])
+        pages = [p if isinstance(p, str) else None for p in items["page"]]
+        names = sorted(set(pages), key=lambda p: (p is not None, p or ""))
+        col_of = {p: n for n, p in enumerate(names)}
+        page = np.array([col_of[p] for p in pages])
+        order = np.lexsort((items["block"].to_numpy(), page))
+        page, blocks = page[order], items["block"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+        ends = np.r_[starts[1:], len(page)]
+        m = np.stack([np.asarray(v, dtype=float) for v in items["vector"]])[order].T
+        ids = queries["id"].to_numpy()
+        q = np.stack([np.asarray(v, dtype=float) for v in queries["vector"]])
+        row_of = {v: n for n, v in enumerate(ids)}
+        skip_row = np.array([row_of.get(v, -1) for v in skips["id"]], dtype=int)
+        skip_col = np.array([col_of.get(v, -1) for v in skips["skip_page"]], dtype=int)
+        known = (skip_row >= 0) & (skip_col >= 0)
+        by_row = np.argsort(skip_row[known], kind="stable")
+        skip_row, skip_col = skip_row[known][by_row], skip_col[known][by_row]
+        keep, step, out = min(k, len(names)), max(1, PRODUCT // len(page)), []
+        for low in range(0, len(ids), step):
+            scores = q[low:low + step] @ m
+            scores[np.isnan(scores)] = -np.inf
+            per_page = np.maximum.reduceat(scores, starts, axis=1)      # one passage per page
+            a, b = np.searchsorted(skip_row, [low, low + step])
+            per_page[skip_row[a:b] - low, skip_col[a:b]] = -np.inf
+            cut = per_page.max(axis=1) if keep == 1 else np.partition(per_page, -keep, axis=1)[:, -keep]
+            rows, cols = np.nonzero((per_page >= np.maximum(cut - 1e-9, floor)[:, None]) & (per_page > -np.inf))
+            score = per_page[rows, cols]
+            # ties with the k-th stay in, of equal scores the k lowest pages
+            inside = pd.DataFrame({"r": rows, "s": score}).groupby(["r", "s"]).cumcount().to_numpy() < k
+            rows, cols, score = rows[inside], cols[inside], score[inside]
+            at = starts[cols]
+            for i in np.flatnonzero(ends[cols] - at > 1):
+                at[i] += np.argmax(scores[rows[i], starts[cols[i]]:ends[cols[i]]])
+            out.append(pd.DataFrame({"id": ids[low + rows], "page": np.array(names, dtype=object)[cols], "block": blocks[at], "raw_score": score}))
+        return pd.concat(out).assign(site=key[0], lang=key[1])[["site", "lang", "id", "page", "block", "raw_score"]]
 
     return best
 
@@ -61,30 +87,26 @@ def closest(queries: DataFrame, items: DataFrame, exclude: DataFrame | None, k:
 
     queries: (site, lang, id, vector); items: (site, lang, page, block, vector), unit vectors; exclude:
     (site, id, page). Scores are compared unrounded and shown to three places; ties go to the lower page.
+    Rows without a vector are like nothing.
     """
-    q, m = _tiles(queries, "id", tile_rows, "qt"), _tiles(items, "page", tile_rows, "mt")
-    order = F.array_sort(F.collect_list(F.struct("page", "block", "vector")))
-    mt = m.groupBy(*GROUP, "mt").agg(order.alias("items"))
-    qt = q.groupBy(*GROUP, "qt").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    n_items = m.select(*GROUP, "n_mt").distinct()
-    # every query tile is sent to each item tile by number: the join key is the tile, never the group
-    sent = spread_join(qt, n_items, GROUP, "inner", ["qt"]).withColumn("mt", F.explode(F.sequence(F.lit(0), F.col("n_mt") - 1)))
-    pairs = sent.join(mt, [*GROUP, "mt"])
-    if exclude is None:
-        pairs = pairs.withColumn("skip", F.array().cast("array<struct<id:string,page:string>>"))
-    else:
+    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
+    sizes = _sizes(queries, tile_rows, "n_qt").join(_sizes(items, tile_rows, "n_mt"), GROUP)
+
+    def tiles(rows: DataFrame, spread: str, name: str) -> DataFrame:
+        """Adds the tile and the numbers of tiles of the group; rows of one page stay together."""
+        return spread_join(rows, sizes, GROUP, "inner", [spread]).withColumn(name, F.pmod(F.xxhash64(spread), F.col(f"n_{name}")).cast("int"))
+
+    q, m = stage(tiles(queries, "id", "qt")), stage(tiles(items, "page", "mt"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = q.select(*GROUP, "qt", each("n_mt").alias("mt"), "id", "vector", F.lit(None).cast("string").alias("skip_page"))
+    held = m.select(*GROUP, each("n_qt").alias("qt"), "mt", "page", "block", "vector")
+    if exclude is not None:
         at_q, at_m = q.select(*GROUP, "id", "qt").distinct(), m.select(*GROUP, "page", "mt").distinct()
-        both = exclude.select("site", "id", "page").distinct()
-        skip = (both.join(at_q, ["site", "id"]).join(at_m, ["site", "lang", "page"])
-                .groupBy(*GROUP, "qt", "mt").agg(F.collect_list(F.struct("id", "page")).alias("skip")))
-        pairs = pairs.join(skip, [*GROUP, "qt", "mt"], "left")
-    wide = pairs.select(
-        *GROUP, "qt", "mt", F.col("queries.id").alias("ids"), F.flatten("queries.vector").alias("q"),
-        F.col("items.page").alias("pages"), F.col("items.block").alias("blocks"), F.flatten("items.vector").alias("m"),
-        F.coalesce(F.col("skip.id"), F.array().cast("array<string>")).alias("skip_id"),
-        F.coalesce(F.col("skip.page"), F.array().cast("array<string>")).alias("skip_page"))
-    # grouping by tile pair hands Python one tile pair at a time, whatever the Arrow batch size
-    found = wide.groupBy(*GROUP, "qt", "mt").applyInPandas(_tile_kernel(k, minimum), _FOUND)
+        skip = exclude.select("site", "id", "page").join(at_q, ["site", "id"]).join(at_m, ["site", "lang", "page"])
+        none = F.lit(None).cast(queries.schema["vector"].dataType)
+        asked = asked.unionByName(skip.select(*GROUP, "qt", "mt", "id", none.alias("vector"), F.col("page").alias("skip_page")))
+    cell = [*GROUP, "qt", "mt"]
+    found = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(_cell_kernel(k, minimum), _FOUND)
     w = Window.partitionBy("site", "lang", "id").orderBy(F.round("raw_score", 9).desc(), "page")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("score", F.round("raw_score", 3)).drop("raw_score"))
