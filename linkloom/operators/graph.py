@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions.urls import is_archive
 from ..functions.vectors import cosine
 from ..session import stage
-from .scale import spread_join
+from .scale import split_join, spread_join
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -78,11 +78,23 @@ def links_today(pages: DataFrame, vectors: DataFrame | None = None) -> DataFrame
 
 
 def with_similarity(pairs: DataFrame, vectors: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """`similarity` of the two pages, null when a vector is missing. vectors: (site, u, vector)."""
-    a = vectors.select("site", F.col("u").alias(src), F.col("vector").alias("_a"))
-    b = vectors.select("site", F.col("u").alias(dst), F.col("vector").alias("_b"))
-    return (spread_join(spread_join(pairs, a, ["site", src], "left", [dst]), b, ["site", dst], "left", [src])
-            .withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b"))
+    """`similarity` of the two pages, null when a vector is missing. vectors: (site, u, vector).
+
+    Pairs first meet the addresses that have a vector; only pairs of two such pages get their vectors, and no vector is
+    sent more often than its pages' pairs, in cells of bounded size, need it.
+    """
+    rows = vectors.groupBy("site", "u").agg(F.count(F.lit(1)).alias("_n"))
+    a, b = (rows.select("site", F.col("u").alias(c), F.col("_n").alias(n)) for c, n in ((src, "_na"), (dst, "_nb")))
+    marked = stage(spread_join(spread_join(pairs, a, ["site", src], "left", [dst]), b, ["site", dst], "left", [src]))
+    complete = F.col("_na").isNotNull() & F.col("_nb").isNotNull()
+    times = F.coalesce("_na", F.lit(1)) * F.coalesce("_nb", F.lit(1))      # a repeated address repeats its pairs
+    without = (marked.filter(~complete).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), times))).drop("_i", "_na", "_nb")
+               .withColumn("similarity", F.lit(None).cast("double")))
+    both = marked.filter(complete).drop("_na", "_nb")
+    one = split_join(both, vectors.select("site", F.col("u").alias(src), F.col("vector").alias("_a")), ["site", src], [dst], [src])
+    two = split_join(one, vectors.select("site", F.col("u").alias(dst), F.col("vector").alias("_b")), ["site", dst], [src], [dst])
+    compared = two.withColumn("similarity", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return compared.unionByName(without).select(*pairs.columns, "similarity")
 
 
 def page_list(summary: DataFrame, accepted: DataFrame) -> DataFrame:
