@@ -65,32 +65,51 @@ def _sent(todo: DataFrame, hook: Hook, step: str, attempt: int, answer: str, kee
     columns = ["site", "key", *keep, "step", "attempt", "answer", "error", "fatal", "cost"]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The hook sees `batch` keys at a time; what it returned becomes rows once per Arrow batch."""
         stopped = None
         for pdf in batches:
+            got = []                                              # one row per key of pdf
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
+                keys = part["key"].tolist()
                 if stopped is not None:
-                    out = pd.DataFrame({"key": part["key"], "error": f"not sent after: {stopped}"})
-                else:
-                    try:
-                        out = hook(part.reset_index(drop=True))
-                    except Exception as problem:   # the batch failed as a whole; its keys may be asked again
-                        out = pd.DataFrame({"key": part["key"], "error": f"{type(problem).__name__}: {problem}"})
-                out = out.reindex(columns=["key", "answer", "error", "fatal", "cost"]).drop_duplicates("key")
-                out["answer"] = out["answer"].astype(object)
-                rows = part[["site", "key", *keep]].merge(out, on="key", how="left")
-                rows["answer"] = rows["answer"].where(rows["answer"].notna(), None)
-                silent = rows["answer"].isna() & rows["error"].isna()
-                rows["error"] = rows["error"].astype(object).where(~silent, "no answer").where(lambda e: e.notna(), None)
-                rows["fatal"] = rows["fatal"].astype(object).map(lambda x: x is True or x == 1)
-                rows["cost"] = pd.to_numeric(rows["cost"], errors="coerce").fillna(0.0)
-                rows["step"], rows["attempt"] = step, attempt
-                if stopped is None and rows["fatal"].any():
-                    stopped = rows.loc[rows["fatal"], "error"].iloc[0]
-                yield rows[columns]
+                    got += [(None, f"not sent after: {stopped}", None, None)] * len(keys)
+                    continue
+                try:
+                    out = _first_by_key(hook(part.reset_index(drop=True)))
+                except Exception as problem:   # the batch failed as a whole; its keys may be asked again
+                    out = dict.fromkeys(keys, (None, f"{type(problem).__name__}: {problem}", None, None))
+                mine = [out.get(key, (None, None, None, None)) for key in keys]
+                got += mine
+                refused = [error for _, error, fatal, _ in mine if _true(fatal)]
+                if refused:
+                    stopped = "no answer" if refused[0] is None else refused[0]
+            rows = pdf[["site", "key", *keep]].reset_index(drop=True)
+            for n, name in enumerate(["answer", "error", "fatal", "cost"]):
+                rows[name] = pd.Series([row[n] for row in got], dtype=object)
+            rows["answer"] = rows["answer"].where(rows["answer"].notna(), None)
+            silent = rows["answer"].isna() & rows["error"].isna()
+            rows["error"] = rows["error"].where(~silent, "no answer").where(lambda e: e.notna(), None)
+            rows["fatal"] = rows["fatal"].map(_true).astype(object)
+            rows["cost"] = pd.to_numeric(rows["cost"], errors="coerce").fillna(0.0).astype(float)
+            rows["step"], rows["attempt"] = step, attempt
+            yield rows[columns]
     return todo.mapInPandas(call, schema)
 
 
+def _true(fatal: object) -> bool:
+    return fatal is True or fatal == 1
+
+
+def _first_by_key(out: pd.DataFrame) -> dict:
+    """key → (answer, error, fatal, cost) of its first row; a column the hook left out is empty."""
+    columns = [out[c].astype(object).tolist() if c in out.columns else [None] * len(out) for c in ("key", "answer", "error", "fatal", "cost")]
+    found: dict = {}
+    for key, *row in zip(*columns):
+        found.setdefault(key, tuple(row))
+    return found
+
+
 def call_once(asked: DataFrame, hook: Hook, step: str, *, payload: list[str], answer: str = "string", usable: Column | None = None,
               keep: list[str] = [], attempts: int = 1, batch: int = CALL_KEYS, tolerant: bool = False) -> Ledger:
     """Sends every key of `asked` (site, key and the columns `payload`) to the hook, once, and stores what came back.

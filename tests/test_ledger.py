@@ -174,3 +174,22 @@ def test_malformed_lists_are_not_cached(spark, tmp_path):
 def test_nothing_to_send(spark):
     ledger = call_once(asked(spark, 0), lambda pdf: 1 / 0, "step", payload=["x"])
     assert ledger.rows.count() == 0 and ledger.by_site().count() == 0
+
+
+def test_rows_of_many_calls_are_built_at_once(spark):
+    """A call's rows for keys of another call are not read, of repeated rows the first counts, a missing column is empty."""
+    def hook(pdf):
+        keys = [int(k) for k in pdf["key"]]
+        if 7 in keys:
+            raise ValueError("late")
+        out = pd.DataFrame({"key": [str(k) for k in keys if k % 5] + ["3", str(keys[0])], "answer": [k * 2 for k in keys if k % 5] + [99, 98]})
+        return out.assign(error=None, cost=0.5) if keys[0] % 2 else out
+
+    asked = spark.createDataFrame([("s", str(k)) for k in range(1, 40)], "site string, key string").coalesce(1)
+    rows = {int(r["key"]): r for r in call_once(asked, hook, "score", payload=[], answer="int", batch=3).rows.collect()}
+    late = {k for k, r in rows.items() if r["error"] == "ValueError: late"}
+    assert len(rows) == 39 and 7 in late and len(late) == 3
+    for k, r in rows.items():
+        if k not in late:
+            assert r["answer"] in ([98] if k % 5 == 0 and r["answer"] is not None else [2 * k] if k % 5 else [None]), (k, r)
+            assert (r["error"] == "no answer") == (r["answer"] is None)
