@@ -1,9 +1,11 @@
 """Phrase search and the candidate run on small sites."""
 
 from conftest import page
+from pyspark.sql import functions as F
 
 from linkloom.functions.fixed import DEFAULTS
-from linkloom.operators import candidates as cand
+from linkloom.operators import candidates as cand, phrases
+from linkloom.operators.scale import split_join
 from linkloom.plans.engine import LinkEngine
 
 FILL = " ".join(["The local company carries out orders across town."] * 25)
@@ -76,3 +78,29 @@ def test_phrases_that_leave_are_counted(spark, pages_of):
     assert (row["template_phrases"], row["reserved_phrases"]) == (found.count() - plain.count(), plain.count() - free.count())
     assert row["template_phrases"] == 4 and row["reserved_phrases"] >= 1 and row["pages"] == 8 and row["languages"] == "en 8"
     assert cand.run_counters(context, pages).collect()[0]["template_phrases"] is None
+
+
+def _matches(spark, n):
+    """A phrase that grows word by word, on targets of which every second knows no word of it."""
+    words = ["winter", "tyres", "change"]
+    rows = [("s", "en", f"u{i % 7}", 0, 0, [], [(k, w, False) for k, w in enumerate(words)], words, f"t{i}",
+             ["winter", "tyre", "change"] if i % 2 else ["garden", "fence"], [[0, 1, 2]] if i % 2 else [[0, 1]], [0, 1]) for i in range(n)]
+    return spark.createDataFrame(rows, "site string, lang string, src string, block int, at int, own array<string>, run array<struct<off:int,w:string,conj:boolean>>, "
+                                 "raw array<string>, dst string, vocab array<string>, names array<array<int>>, distinctive array<int>")
+
+
+def test_a_phrase_is_rated_once_per_row(spark):
+    best = phrases.best_in_row(_matches(spark, 6))
+    assert [(r["dst"], r["best"]["phrase"], r["best"]["exact"], r["best"]["hits"]) for r in best.orderBy("dst").collect()] == [
+        (f"t{i}", "winter tyres change", True, 3) for i in (1, 3, 5)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except(") == 1
+
+
+def test_texts_and_names_meet_in_many_partitions_however_few_bytes_they_have(spark):
+    left = spark.range(2000).selectExpr("'k' || id % 5 as k", "id as a")
+    right = spark.range(50).selectExpr("'k' || id % 5 as k", "id as b")
+    joined = split_join(left, right, ["k"], ["a"], ["b"], 64, spread=True)
+    rows = joined.select("k", "a", "b", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == 2000 * 10
+    assert len({r["p"] for r in rows}) > 8
