@@ -67,11 +67,18 @@ def suggest_pages(broken: DataFrame, context: DataFrame) -> DataFrame:
                       (F.col("clean_title"), F.col("h1"), last_segment(F.col("url")))])
     names = (context.filter("not archive").select("site", "lang", "u", "url", F.explode(forms).alias("f"))
              .select("site", "lang", "u", "url", "f.words").filter(F.size("words") > 0).distinct())
-    sought = stage(asked.withColumn("key", F.explode(F.array_distinct(F.transform("clue", word_key)))))
-    held = stage(names.withColumn("key", F.explode(F.array_distinct(F.transform("words", word_key)))))
-    touch = (split_join(sought, held, ["site", "lang", "key"], ["clue"], ["u", "words"])
-             .groupBy("site", "lang", "clue", "u", "url", "words").agg(F.lit(1).alias("_n")))
-    scored = touch.withColumn("cover", covered_share(F.col("words"), F.col("clue"))).filter(F.col("cover") >= fixed.MIN_COVER)
+    asked = stage(asked.withColumn("_clue", F.monotonically_increasing_id()))
+    names = stage(names.withColumn("_name", F.monotonically_increasing_id()))
+    keys = names.select("site", "lang", "_name", F.size("words").alias("_size"), F.explode(F.transform("words", word_key)).alias("key"))
+    sought = stage(asked.select("site", "lang", "_clue", F.explode(F.array_distinct(F.transform("clue", word_key))).alias("key")))
+    held = stage(keys.groupBy("site", "lang", "_name", "_size", "key").agg(F.count(F.lit(1)).alias("_n")))
+    # a covered word's key is a key of the clue, so names with too few such words need no look at the words
+    touch = (split_join(sought, held, ["site", "lang", "key"], ["_clue"], ["_name"])
+             .groupBy("_clue", "_name", "_size").agg(F.sum("_n").alias("_hits")).filter(F.col("_hits") / F.col("_size") >= fixed.MIN_COVER))
+    wide = touch.select("_clue", "_name").join(names, "_name").join(asked.select("_clue", "clue"), "_clue")
+    # exploded from a list of at most one: a filter on the share would compute it twice
+    share = F.filter(F.array(covered_share(F.col("words"), F.col("clue"))), lambda c: c >= fixed.MIN_COVER)
+    scored = wide.select("site", "lang", "clue", "u", "url", "words", F.explode(share).alias("cover"))
     best = F.min_by(F.struct("u", "url"), F.struct((-F.col("cover")).alias("c"), (-F.size("words")).alias("n"), F.col("url").alias("p")))
     picked = scored.groupBy("site", "lang", "clue").agg(best.alias("_b"))
     return (clues.join(picked, ["site", "lang", "clue"], "left")
