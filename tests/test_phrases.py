@@ -104,3 +104,16 @@ def test_texts_and_names_meet_in_many_partitions_however_few_bytes_they_have(spa
     rows = joined.select("k", "a", "b", F.spark_partition_id().alias("p")).collect()
     assert len(rows) == len({(r["a"], r["b"]) for r in rows}) == 2000 * 10
     assert len({r["p"] for r in rows}) > 8
+
+
+def test_tokens_ahead_are_read_without_walking_the_passage(spark):
+    text = "Book a winter tyre change, or a Wheel (alignment) setup in town; winter tyre change for cars"
+    rows = spark.createDataFrame([("s", 1, "en", text, "winter tyres"), ("s", 2, "en", "Oil filter", ""), ("s", 3, "en", None, "oil")],
+                                 "site string, block int, lang string, text string, hint string")
+    offered = phrases.phrase_candidates(rows, ["site", "block"])
+    got = {r["block"]: r["phrases"] for r in offered.collect()}
+    assert set(got) == {1, 2} and got[2] == ["Oil filter"]
+    assert got[1] and all("winter" in p.lower() or "tyre" in p for p in got[1]) and "winter tyre change" in got[1]
+    starts = phrases.phrase_starts(rows.selectExpr("site", "lang", "'u' as src", "block", "text", "array('x') as own"))
+    for df, whole in ((offered, "slice(_t#"), (starts, "slice(table#")):
+        assert whole not in df._jdf.queryExecution().optimizedPlan().toString()
