@@ -64,22 +64,23 @@ def filtered_out(kind: str = "all", lang: str = "all", keyword: str = "all", sea
 PAIR = ["site", "source_url", "target_url"]
 
 
+ORDER = ["place", "source_url", "target_url"]   # the common order: best first; equal scores by address
+
+
 def _place() -> Column:
-    """Position in the common order: best first; equal scores by address."""
-    return F.struct((-_c("score")).alias("s"), (-_c("p_context")).alias("c"),
-                    (-F.coalesce("similarity", F.lit(0.0))).alias("m"), _c("source_url").alias("u"), _c("target_url").alias("t"))
+    return F.struct((-_c("score")).alias("s"), (-_c("p_context")).alias("c"), (-F.coalesce("similarity", F.lit(0.0))).alias("m"))
 
 
 def _best(rows: DataFrame, group: list[str], k: int) -> DataFrame:
     """The k best rows per group. Spark cuts each map task to k rows per group before the shuffle, so a
     group holding most rows does not end in one sort."""
-    w = Window.partitionBy(*group).orderBy("place")
+    w = Window.partitionBy(*group).orderBy(*ORDER)
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
 
 
 def _filled(accepted: DataFrame, group: list[str], k: int, name: str) -> DataFrame:
     """Place of the k-th accepted row of every full group; nothing after it gets in."""
-    return _best(accepted, group, k).filter(F.col("_rn") == k).select(*group, F.col("place").alias(name))
+    return _best(accepted, group, k).filter(F.col("_rn") == k).select(*group, F.struct(*ORDER).alias(name))
 
 
 def settle(passing: DataFrame, max_links: int, max_per_target: int) -> DataFrame:
@@ -123,7 +124,11 @@ def units(slim: DataFrame, max_per_target: int) -> DataFrame:
     page, target = F.xxhash64(F.lit("page"), "site", "source_url"), F.xxhash64(F.lit("target"), "site", "target_url")
     full = rest.groupBy("site", "target_url").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_per_target).select("site", "target_url")
     bound = spread_join(rest, full, ["site", "target_url"], "left_semi", ["source_url"])
-    parts = connected(bound.select(page.alias("a"), target.alias("b")))
+    # targets of a page are one unit: each is linked with the page's smallest, so only targets, which are few, are nodes
+    held = stage(bound.select(page.alias("node"), target.alias("b")).distinct())
+    first = stage(held.groupBy("node").agg(F.min("b").alias("a")))
+    of_target = connected(held.join(first, "node").select("a", "b").distinct())
+    parts = spread_join(first, of_target.withColumnRenamed("node", "a"), ["a"], "inner", ["node"]).drop("a")
     placed = rest.withColumn("node", page).join(parts, "node", "left").withColumn("unit", F.coalesce("unit", "node")).drop("node")
     large = stage(placed.groupBy("unit").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TOGETHER).select("unit", F.lit(True).alias("_large")))
     cut = spread_join(placed, large, ["unit"], "left", PAIR[1:]).withColumn("unit", F.when(F.col("_large").isNull(), F.col("unit"))).drop("_large")
@@ -133,12 +138,12 @@ def units(slim: DataFrame, max_per_target: int) -> DataFrame:
 def _sequential(max_links: int, max_per_target: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows in the common order; each sees the limits that the accepted ones before it have used up."""
-        order = sorted(range(len(pdf)), key=lambda i: tuple(places[i].values())) if (places := pdf["place"].tolist()) else []
         phrases: set = set()
         pages, targets = Counter(), Counter()
         reasons = [""] * len(pdf)
         sites, sources, aims, lows, free = (pdf[c].tolist() for c in ("site", "source_url", "target_url", "low", "exempt"))
-        for i in order:
+        places = pdf["place"].tolist()
+        for i in sorted(range(len(pdf)), key=lambda i: (*places[i].values(), sources[i], aims[i])):
             page, target = (sites[i], sources[i]), (sites[i], aims[i])
             if (*page, lows[i]) in phrases:
                 reasons[i] = "duplicate_phrase"
@@ -158,38 +163,41 @@ def _in_rounds(slim: DataFrame, max_links: int, max_per_target: int) -> DataFram
     """Each round accepts every open row that no open or accepted row can push out (best of its phrase, among the first
     of its page and of its target) and rejects open rows behind a full group. The best open row always settles, so the
     rounds end with the sequential result. Each round writes its state to the shared folder."""
-    phrase, page, target = ["site", "source_url", "low"], ["site", "source_url"], ["site", "target_url"]
+    page, target = ["site", "source_url"], ["site", "target_url"]
     open_rows = slim = stage(slim)
     accepted = open_rows.filter(F.lit(False))
+    # what is better than one of the first of its page is among them, too: they tell which is the first of its phrase
+    of_phrase = Window.partitionBy(*page, "low").orderBy(*ORDER)
     while not open_rows.isEmpty():
         live = open_rows.unionByName(accepted)
-        fits = (_best(live, phrase, 1).select(*PAIR)
-                .join(_best(live, page, max_links).select(*PAIR), PAIR, "left_semi"))
-        room = _best(live, target, max_per_target).select(*PAIR, F.lit(True).alias("room"))
+        fits = _best(live.drop("exempt"), page, max_links).withColumn("_nth", F.row_number().over(of_phrase)).filter("_nth = 1").select(*PAIR)
+        room = _best(live.drop("exempt", "low"), target, max_per_target).select(*PAIR, F.lit(True).alias("room"))
         chosen = (open_rows.join(fits, PAIR, "left_semi").join(room, PAIR, "left")
                   .filter(F.col("room") | F.col("exempt")).drop("room"))
         accepted = stage(accepted.unionByName(chosen))
-        left = open_rows.join(accepted.select(*PAIR), PAIR, "left_anti")
-        open_rows = _reasons(left, accepted, max_links, max_per_target, keep="open")
-        open_rows = stage(open_rows)
+        open_rows = stage(_reasons(open_rows, accepted, max_links, max_per_target, keep="open"))
     return _reasons(slim, accepted, max_links, max_per_target)
 
 
 def _reasons(rows: DataFrame, accepted: DataFrame, max_links: int, max_per_target: int, keep: str = "all") -> DataFrame:
-    """Why a row is not accepted given the accepted ones; keep='open' returns rows nothing excludes."""
-    taken = accepted.select("site", "source_url", "low", F.col("place").alias("p1"))
-    marked = (rows.join(taken, ["site", "source_url", "low"], "left")
-              .join(_filled(accepted, ["site", "source_url"], max_links, "p2"), ["site", "source_url"], "left"))
+    """Why a row is not accepted given the accepted ones; keep='open' returns rows that are not accepted and that nothing
+    excludes. The accepted rows of a page, max_links at most, are one list, so a row meets its page once."""
+    lists = accepted.groupBy("site", "source_url").agg(F.collect_list(F.struct("place", "low", F.col("target_url").alias("t"))).alias("_got"))
+    marked = rows.join(lists, ["site", "source_url"], "left")
+    if keep == "open":
+        marked = marked.filter(~F.coalesce(F.exists("_got", lambda g: g["t"] == F.col("target_url")), F.lit(False)))
     if max_per_target:
         # few rows per target on the right, possibly most rows on one target on the left
         marked = spread_join(marked, _filled(accepted, ["site", "target_url"], max_per_target, "p3"),
                              ["site", "target_url"], "left", ["source_url"])
     else:
-        marked = marked.withColumn("p3", F.lit(None).cast(dict(accepted.dtypes)["place"]))
-    later = lambda c: F.coalesce(F.col(c) < F.col("place"), F.lit(False))
-    reason = (F.when(later("p1"), "duplicate_phrase").when(later("p2"), "limit")
-              .when(later("p3") & ~F.col("exempt"), "target_limit").otherwise(""))
-    out = marked.withColumn("reason", reason).drop("p1", "p2", "p3")
+        marked = marked.withColumn("p3", F.lit(None).cast(accepted.select(F.struct(*ORDER)).schema[0].dataType))
+    earlier = F.filter("_got", lambda g: F.struct(g["place"], g["t"]) < F.struct("place", "target_url"))
+    named = F.coalesce(F.exists(earlier, lambda g: g["low"] == F.col("low")), F.lit(False))
+    full = F.coalesce(F.size(earlier) >= max_links, F.lit(False))
+    reason = (F.when(named, "duplicate_phrase").when(full, "limit")
+              .when(F.coalesce(F.col("p3") < F.struct(*ORDER), F.lit(False)) & ~F.col("exempt"), "target_limit").otherwise(""))
+    out = marked.withColumn("reason", reason).drop("_got", "p3")
     return out.filter("reason = ''").drop("reason") if keep == "open" else out.select(*PAIR, "reason")
 
 
