@@ -5,6 +5,8 @@ import os
 from conftest import page
 from pyspark.sql import functions as F
 
+from linkloom.functions import texts
+from linkloom.functions.words import squash
 from linkloom.operators import clean
 from linkloom.session import only_result, stage
 
@@ -75,3 +77,20 @@ def test_tables_on_the_way_are_deleted(spark):
     except ValueError:
         pass
     assert len(folders(spark) - before) == 1 and len(folders(spark)) == len(before) + 1
+
+
+def test_block_keys_are_computed_once_per_block(pages_of):
+    told = clean.block_digests(pages_of([shown("x", [LEAD, "short", f"{LEAD}… Read  more"])]).withColumn("u", F.col("url")))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("lower(lambda") == 1
+    assert [(r["block"], r["cut"], r["n_words"]) for r in told.orderBy("block").collect()] == [(0, False, 10), (2, True, 12)]
+    assert told.select("digest").distinct().count() == 1   # the tail is no part of the key
+
+
+def test_keys_keep_their_form_on_odd_texts(spark):
+    rows = [(None,), ("",), (" \t ",), ("A\u00a0b\n c",), ("– A  b … […] READ MORE",), ("...",), (" x ]…;",), ("1 2 3 4 5 6 7 8",), ("1 2 3 4 5 6 7",), ("a\x85read more\u2028",)]
+    t = F.col("t")
+    got = spark.createDataFrame(rows, "t string").select(texts.excerpt_key(t), texts.is_cut(t), texts.first_words(texts.excerpt_key(t)), squash(t)).collect()
+    assert [tuple(r) for r in got] == [
+        (None, None, None, None), ("", False, None, ""), ("", False, None, ""), ("a b c", False, None, "A b c"),
+        ("a b", True, None, "– A b … […] READ MORE"), ("", True, None, "..."), ("x ]…", False, None, "x ]…;"),
+        ("1 2 3 4 5 6 7 8", False, "1 2 3 4 5 6 7 8", "1 2 3 4 5 6 7 8"), ("1 2 3 4 5 6 7", False, None, "1 2 3 4 5 6 7"), ("a", True, None, "a read more")]
