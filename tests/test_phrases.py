@@ -1,5 +1,7 @@
 """Phrase search and the candidate run on small sites."""
 
+import random
+
 from conftest import page
 from pyspark.sql import functions as F
 
@@ -117,3 +119,32 @@ def test_tokens_ahead_are_read_without_walking_the_passage(spark):
     starts = phrases.phrase_starts(rows.selectExpr("site", "lang", "'u' as src", "block", "text", "array('x') as own"))
     for df, whole in ((offered, "slice(_t#"), (starts, "slice(table#")):
         assert whole not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_names_are_the_exact_phrases(spark):
+    rnd = random.Random(5)
+    known = ["winter", "winters", "tyre", "tyres", "change", "repair", "wheel", "garden", "gardens", "roof", "the", "and"]
+    texts = [("s", rnd.choice(["en", "pl"]), f"t{i}", i % 3, " ".join(rnd.choice(known) + rnd.choice(["", "", "", ",", "."]) for _ in range(rnd.randint(2, 9))),
+              rnd.sample(known, rnd.randint(0, 2))) for i in range(300)]
+    profiles = []
+    for i in range(150):
+        vocab = rnd.sample(["winter", "tyre", "changing", "repair", "wheel", "garden", "roofs"], rnd.randint(1, 4))
+        names = [rnd.sample(range(len(vocab)), rnd.randint(1, len(vocab))) for _ in range(rnd.randint(0, 2))]
+        profiles.append(("s", rnd.choice(["en", "pl"]), f"t{i}" if i % 5 else f"p{i}", vocab, names, rnd.sample(range(len(vocab)), rnd.randint(0, len(vocab)))))
+    texts = spark.createDataFrame(texts, "site string, lang string, src string, block int, text string, own array<string>")
+    profiles = spark.createDataFrame(profiles, "site string, lang string, u string, vocab array<string>, names array<array<int>>, distinctive array<int>")
+    key = ["site", "lang", "src", "dst"]
+    exact = {tuple(r) for r in phrases.find_phrases(texts, profiles).filter("anchor_type = 'exact'").select(key).collect()}
+    got = [tuple(r) for r in phrases.find_whole_names(texts, profiles).select(key).collect()]
+    assert len(got) == len(set(got)) and set(got) == exact and len(exact) > 100
+
+
+def test_keyword_mode_finds_the_words_of_a_text_once(spark, pages_of, monkeypatch):
+    asked = []
+    starts = phrases.phrase_starts
+    monkeypatch.setattr(phrases, "phrase_starts", lambda texts: asked.append(1) or starts(texts))
+    context = LinkEngine(spark).prepare(pages_of(site()))
+    resolved = spark.createDataFrame([("example.com", 0, "winter tyres", "", "partial", "example.com/winter-tyre-change/", "en"), ("example.com", 1, "contact", "", "partial", "example.com/contact/", "en")],
+                                     "site string, pos int, keyword string, target_url string, match string, dst string, target_lang string")
+    assert {r["keyword"] for r in cand.keyword_pairs(context, resolved).collect()} >= {"winter tyres"}
+    assert len(asked) == 1
