@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import fold, is_filler, word_key, words
-
-
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once: a lambda evaluates what it captures per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from .words import bind, fold, is_filler, word_key, words
 
 
 def norm(v: Column) -> Column:
