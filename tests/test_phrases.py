@@ -6,7 +6,7 @@ from conftest import page
 from pyspark.sql import functions as F
 
 from linkloom.functions.fixed import DEFAULTS
-from linkloom.operators import candidates as cand, phrases
+from linkloom.operators import candidates as cand, phrases, scale
 from linkloom.operators.scale import split_join
 from linkloom.plans.engine import LinkEngine
 
@@ -148,3 +148,36 @@ def test_keyword_mode_finds_the_words_of_a_text_once(spark, pages_of, monkeypatc
                                      "site string, pos int, keyword string, target_url string, match string, dst string, target_lang string")
     assert {r["keyword"] for r in cand.keyword_pairs(context, resolved).collect()} >= {"winter tyres"}
     assert len(asked) == 1
+
+
+def test_pairs_rated_in_arrays_are_those_rated_row_by_row(spark, monkeypatch):
+    rnd = random.Random(11)
+    known = ["winter", "winters", "wintering", "tyre", "tyres", "change", "changes", "repair", "wheel", "wheels", "garden", "roofing", "the", "and", "żółty", "żółta", "abc"]
+    words = ["winter", "wintergarden", "tyre", "changing", "repair", "wheel", "garden", "roofs", "zolte", "abc", "abcde"]
+    texts = [(f"s{i % 2}", rnd.choice(["en", "pl"]), f"t{i}", i % 3, " ".join(rnd.choice(["", "", "", "("]) + rnd.choice(known) + rnd.choice(["", "", "", ",", "."]) for _ in range(rnd.randint(0, 25))),
+              None if i % 17 == 0 else rnd.sample(known, rnd.randint(0, 2))) for i in range(300)]
+    profiles = []
+    for i in range(150):
+        vocab = rnd.sample(words, rnd.randint(1, 5))
+        names = [rnd.sample(range(len(vocab)), rnd.randint(1, len(vocab))) for _ in range(rnd.randint(0, 3))]
+        profiles.append((f"s{i % 2}", rnd.choice(["en", "pl"]), f"t{i}" if i % 5 else f"p{i}", vocab, names, rnd.sample(range(len(vocab)), rnd.randint(0, len(vocab)))))
+    texts = spark.createDataFrame(texts, "site string, lang string, src string, block int, text string, own array<string>")
+    profiles = spark.createDataFrame(profiles, "site string, lang string, u string, vocab array<string>, names array<array<int>>, distinctive array<int>")
+    starts, names = phrases.text_starts(texts).filter("a is not null"), phrases.name_pairs(profiles.withColumnRenamed("u", "dst"))
+    by_row = phrases.best_per_pair(phrases.best_in_row(phrases._meant(starts.join(names, ["site", "lang", "a", "b"]))))
+    want = {tuple(r) for r in by_row.collect()}
+    assert len(want) > 500 and len({r[5] for r in want}) == 2
+
+    def never(*_):
+        raise AssertionError("pairs are rated one by one")
+    monkeypatch.setattr(phrases, "best_in_row", never)
+    monkeypatch.setattr(phrases, "GRID", 20)   # heavy keys are cut into cells
+    got = [tuple(r) for r in phrases.find_phrases(texts, profiles).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_only_rows_with_a_key_on_the_other_side_stay(spark):
+    left = spark.range(100).selectExpr("'k' || id as k", "id")
+    right = spark.range(3).selectExpr("'k' || id as k", "id as other")
+    assert {r["id"] for r in scale.meeting(left, right, ["k"]).collect()} == {0, 1, 2}
+    assert scale.meeting(left, right.limit(0), ["k"]).count() == 0
