@@ -181,3 +181,14 @@ def test_only_rows_with_a_key_on_the_other_side_stay(spark):
     right = spark.range(3).selectExpr("'k' || id as k", "id as other")
     assert {r["id"] for r in scale.meeting(left, right, ["k"]).collect()} == {0, 1, 2}
     assert scale.meeting(left, right.limit(0), ["k"]).count() == 0
+
+
+def test_pair_rows_hold_both_pages_and_the_passage(spark, pages_of):
+    context = LinkEngine(spark).prepare(pages_of(site()))
+    pairs = cand.named_pairs(context, DEFAULTS)
+    rows = {(r["src"], r["dst"]): r for r in cand.pair_rows(pairs, context).collect()}
+    r = rows[("example.com/alignment/", "example.com/winter-tyre-change/")]
+    assert r["state"]["source_page"]["title"] == r["source_title"] == "Wheel alignment setup" and r["state"]["target_page"]["title"] == "Winter tyre change"
+    assert "winter tyre changes" in r["context"] == r["state"]["passage_with_phrase"] and len(rows) == pairs.count()
+    marked = cand.pair_rows(pairs.withColumn("mark", F.lit("pairs are computed here")), context)   # stored once, as two joins read them
+    assert "pairs are computed here" not in marked._jdf.queryExecution().optimizedPlan().toString() and marked.first()["mark"]
