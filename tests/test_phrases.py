@@ -192,3 +192,19 @@ def test_pair_rows_hold_both_pages_and_the_passage(spark, pages_of):
     assert "winter tyre changes" in r["context"] == r["state"]["passage_with_phrase"] and len(rows) == pairs.count()
     marked = cand.pair_rows(pairs.withColumn("mark", F.lit("pairs are computed here")), context)   # stored once, as two joins read them
     assert "pairs are computed here" not in marked._jdf.queryExecution().optimizedPlan().toString() and marked.first()["mark"]
+
+
+def test_words_of_names_meet_other_pages_without_a_shuffle_of_the_pairs(spark, monkeypatch):
+    def same(a, b):
+        stem = max(4, max(len(a), len(b)) - 3)
+        return a == b or (min(len(a), len(b)) >= stem and a[:stem] == b[:stem])
+    rnd = random.Random(3)
+    known = ["winter", "winterly", "wintergarden", "winters", "tyre", "tyres", "wheel", "wheeling", "abc", "abcde"]   # forms of a word need not be forms of each other
+    mine = [(f"s{i % 2}", f"u{i}", w) for i in range(60) for w in rnd.sample(known, rnd.randint(1, 3))]
+    profiles = [(f"s{i % 2}", f"u{i}", rnd.sample(known, rnd.randint(0, 5))) for i in range(80)]
+    want = {(s, u, w, d, k[0]) for s, u, w in mine for t, d, vocab in profiles if s == t and u != d and (k := [i for i, v in enumerate(vocab) if same(v, w)])}
+    monkeypatch.setattr(cand, "MET", 7)   # frequent words are cut into cells
+    got = cand.word_matches(spark.createDataFrame(mine, "site string, u string, w string"), spark.createDataFrame(profiles, "site string, u string, vocab array<string>"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want and any(r[4] for r in rows)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
