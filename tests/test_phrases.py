@@ -208,3 +208,11 @@ def test_words_of_names_meet_other_pages_without_a_shuffle_of_the_pairs(spark, m
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want and any(r[4] for r in rows)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_words_that_no_keyword_has_are_not_shuffled(spark):
+    texts = spark.createDataFrame([("s", "en", "u1", 0, "Contact our company about winter tyres today", [])], "site string, lang string, src string, block int, text string, own array<string>")
+    profiles = spark.createDataFrame([("s", "en", "k1", ["contact"], [[0]], [0])], "site string, lang string, u string, vocab array<string>, names array<array<int>>, distinctive array<int>")
+    found = phrases.find_single_words(texts, profiles)
+    assert [(r["src"], r["dst"], r["anchor"]) for r in found.collect()] == [("u1", "k1", "Contact")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
