@@ -206,24 +206,33 @@ def regression_figures(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """A decided run against hand labels per (source, phrase, target): found, accepted, good, lost, …
 
     labels: (site, source_url, target_url, anchor, ok boolean). One row per site.
+
+    Run and labels are dealt once, by pair, and counted by triple and then by pair. As in a join, a null in a key meets nothing.
     """
-    triple = [*PAIR, "anchor"]
-    lab = labels.select(*triple, F.col("ok").alias("label")).dropDuplicates(triple)
-    lab_pair = lab.groupBy(*PAIR).agg(F.max_by("label", "anchor").alias("pair_label"))
-    run = rows.select(*triple, "decision", F.col("score").isNull().alias("unjudged"))
-    joined = run.join(lab, triple, "left").join(lab_pair, PAIR, "left")
-    accepted = F.col("decision") == "accept"
-    per = joined.groupBy("site").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if("unjudged").alias("to_judge"),
-        F.count_if(F.col("label").isNotNull()).alias("labelled_found"), F.count_if(accepted).alias("accepted"),
-        F.count_if(accepted & F.col("label").isNotNull()).alias("accepted_labelled"),
-        F.count_if(accepted & F.col("label")).alias("accepted_good"),
-        F.count_if(F.col("label").isNull() & F.col("pair_label").isNotNull()).alias("rephrased"))
-    seen = lab.join(run.select(*triple).distinct().withColumn("_t", F.lit(True)), triple, "left").join(
-        run.select(*PAIR).distinct().withColumn("_p", F.lit(True)), PAIR, "left")
-    side = seen.groupBy("site").agg(
-        F.count(F.lit(1)).alias("labelled"), F.count_if("label").alias("good_labelled"),
-        F.count_if(F.col("label") & F.col("_t").isNull() & F.col("_p").isNull()).alias("lost_good"),
-        F.count_if(~F.col("label") & F.col("_t").isNull()).alias("dropped_bad"))
-    return per.join(side, "site", "left").withColumn(
+    triple, known = [*PAIR, "anchor"], lambda *cs: F.greatest(*[F.col(c).isNull() for c in cs]) == F.lit(False)
+    none = F.lit(None).cast("int")
+    code = F.when(F.col("ok").isNull(), 0).when(F.col("ok"), 2).otherwise(1)
+    run = rows.select(*triple, none.alias("mark"), F.coalesce(F.col("decision") == "accept", F.lit(False)).cast("int").alias("acc"), F.col("score").isNull().cast("int").alias("unjudged"))
+    lab = labels.select(*triple, code.alias("mark"), none.alias("acc"), none.alias("unjudged"))
+    per_triple = run.unionByName(lab).repartition(*PAIR).groupBy(*triple).agg(
+        F.count("acc").alias("n"), F.coalesce(F.sum("acc"), F.lit(0)).alias("acc"), F.coalesce(F.sum("unjudged"), F.lit(0)).alias("unjudged"),
+        F.first("mark", True).alias("mark"))
+    mark, n, acc = F.col("mark"), F.col("n"), F.col("acc")
+    own = F.when(known(*triple), F.coalesce(mark, F.lit(0))).otherwise(0)   # the label that rows of the run meet
+    total = lambda c, x: F.coalesce(F.sum(x), F.lit(0)).alias(c)
+    per_pair = per_triple.groupBy(*PAIR).agg(
+        total("pairs", n), total("to_judge", "unjudged"), total("labelled_found", F.when(own > 0, n)), total("accepted", acc),
+        total("accepted_labelled", F.when(own > 0, acc)), total("accepted_good", F.when(own == 2, acc)), total("others", F.when(own == 0, n)),
+        F.max_by("mark", F.when(mark.isNotNull(), F.col("anchor"))).alias("pair_mark"),
+        F.count("mark").alias("labelled"), F.count_if(mark == 2).alias("good_labelled"),
+        F.count_if((mark == 1) & ((n == 0) | ~known(*triple))).alias("dropped_bad"))
+    met = known(*PAIR)
+    per_pair = (per_pair.withColumn("rephrased", F.when(met & (F.coalesce("pair_mark", F.lit(0)) > 0), F.col("others")).otherwise(0))
+                .withColumn("lost_good", F.when(met & (F.col("pairs") > 0), 0).otherwise(F.col("good_labelled"))))
+    of_run = ["pairs", "to_judge", "labelled_found", "accepted", "accepted_labelled", "accepted_good", "rephrased"]
+    of_labels = ["labelled", "good_labelled", "lost_good", "dropped_bad"]
+    sums = per_pair.groupBy("site").agg(*[F.sum(c).alias(c) for c in [*of_run, *of_labels]]).filter("pairs > 0")
+    # a site without labels has none of their figures
+    per = sums.withColumns({c: F.when((F.col("labelled") > 0) & F.col("site").isNotNull(), F.col(c)) for c in of_labels})
+    return per.withColumn(
         "precision", F.when(F.col("accepted_labelled") > 0, F.col("accepted_good") / F.col("accepted_labelled")))

@@ -414,13 +414,14 @@ SELECT (SELECT count(*) FROM r) AS pairs, (SELECT count(*) FROM r JOIN lab USING
  (SELECT count(*) FROM r JOIN lab USING (source_url, target_url, anchor) WHERE acc AND ok) AS accepted_good,
  (SELECT count(*) FROM lab ANTI JOIN r USING (source_url, target_url) WHERE ok) AS lost_good, (SELECT count(*) FROM lab ANTI JOIN r USING (source_url, target_url, anchor) WHERE NOT ok) AS dropped_bad""")
 def ag28(spark, sf):
-    rows = _decided(spark, sf)
-    labels = inp.scored_items(spark, sf).filter("p_cannibal < 0.5").select("site", "source_url", "target_url", "anchor", (F.col("score") > 0.5).alias("ok"))
+    scored = stage(inp.scored_items(spark, sf).select("site", "source_url", "target_url", "anchor", "score", "p_context", "p_cannibal"))
+    rows = _decided(scored)
+    labels = scored.filter("p_cannibal < 0.5").select("site", "source_url", "target_url", "anchor", (F.col("score") > 0.5).alias("ok"))
     return quality.regression_figures(rows, labels).select("pairs", "labelled_found", "accepted", "accepted_good", "lost_good", "dropped_bad")
 
 
-def _decided(spark, sf):
-    return inp.scored_items(spark, sf).filter("p_context > 0.2").withColumn("decision", F.when(F.col("score") > 0.9, "accept").otherwise("reject"))
+def _decided(scored):
+    return scored.filter("p_context > 0.2").withColumn("decision", F.when(F.col("score") > 0.9, "accept").otherwise("reject"))
 
 
 @query("so04_distinct_texts", """SELECT count(DISTINCT text) AS texts FROM (SELECT text FROM documents UNION ALL SELECT text FROM documents)""")
